@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.numbers import count_where
-from tagloom.functions.text import clean_text, only_mark
+from tagloom.functions.text import EMOJI, URL, clean_text, only_mark
 
 
 def drop_missing(df: DataFrame, col: str = "text") -> DataFrame:
@@ -41,9 +41,19 @@ def keep_first(df: DataFrame, col: str = "clean_text", id_col: str = "id") -> Da
 def clean_rows(df: DataFrame, id_col: str = "id", text_col: str = "text", entities: str = "full") -> DataFrame:
     """Missing, repeated raw text, cleaning, empty, marks only, length: in that order."""
     rows = keep_first(drop_missing(df, text_col), text_col, id_col)
-    rows = rows.withColumn("clean_text", clean_text(F.col(text_col), entities))
-    rows = drop_only_marks(drop_empty(rows))
-    return rows.withColumn("text_length", F.length("clean_text"))
+    return cleaned_rows(rows, text_col, entities).withColumn("text_length", F.length("clean_text"))
+
+
+def cleaned_rows(df: DataFrame, text_col: str = "text", entities: str = "full") -> DataFrame:
+    """Add `clean_text` and drop the rows where it is empty or marks only; NULL text is dropped too.
+
+    The same as `drop_only_marks(drop_empty(..))`, but a filter on a computed column is pushed below
+    it and cleans each text again for every condition. Exploding a filtered one-element array
+    cleans it once.
+    """
+    kept = F.filter(F.array(clean_text(F.col(text_col), entities)), lambda text: ~(only_mark(text) | (text == "")))
+    others = [name for name in df.columns if name != "clean_text"]
+    return df.select(*others, F.explode(kept).alias("clean_text"))
 
 
 def stage_report(df: DataFrame, text_col: str = "text", entities: str = "full") -> DataFrame:
@@ -53,11 +63,17 @@ def stage_report(df: DataFrame, text_col: str = "text", entities: str = "full")
     after it there is one small row per distinct text.
     """
     text = F.col(text_col)
-    cleaned = df.select(text_digest(text).alias("digest"), clean_text(text, entities).alias("cleaned"))
-    distinct = cleaned.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("copies"),
-        F.max(F.col("cleaned") == "").alias("empty"),
-        F.max(only_mark(F.col("cleaned"))).alias("marks"),
+    # One lookup, so that the text is cleaned once: 1 for empty, 2 for marks only, else NULL.
+    outcomes = F.create_map(F.lit(""), F.lit(1), F.lit(URL), F.lit(2), F.lit(EMOJI), F.lit(2))
+    cleaned = df.select(
+        text_digest(text).alias("digest"), F.element_at(outcomes, clean_text(text, entities)).alias("outcome")
+    )
+    distinct = cleaned.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.max("outcome").alias("outcome"))
+    distinct = distinct.select(
+        "digest",
+        "copies",
+        F.col("outcome").eqNullSafe(1).alias("empty"),
+        F.col("outcome").eqNullSafe(2).alias("marks"),
     )
     known = F.col("digest").isNotNull()
     totals = distinct.agg(

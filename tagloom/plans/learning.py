@@ -9,6 +9,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
+from math import ceil
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LinearSVC, LogisticRegression
@@ -31,6 +32,7 @@ from tagloom.session import new_path
 # Fixed values
 LABEL_BUDGET = 2_000
 TRAIN_SET = "train"
+ROWS_PER_TASK = 2_000
 STAMP = "%Y%m%dT%H%M%S"
 
 
@@ -65,7 +67,7 @@ class Round:
 
 def svm(n_rows: int, max_iter: int = 100) -> Estimator:
     """Linear SVM with the penalty that corresponds to a cost of 1 per training row."""
-    return LinearSVC(maxIter=max_iter, regParam=1.0 / max(n_rows, 1), standardization=False)
+    return LinearSVC(maxIter=max_iter, tol=1e-4, regParam=1.0 / max(n_rows, 1), standardization=False)
 
 
 def logistic(n_rows: int, max_iter: int = 3) -> Estimator:
@@ -73,13 +75,17 @@ def logistic(n_rows: int, max_iter: int = 3) -> Estimator:
     return LogisticRegression(maxIter=max_iter, family="binomial")
 
 
-def fit(estimator: Estimator, rows: DataFrame) -> Model:
+def fit(classifier: Callable[[int], Estimator], rows: DataFrame) -> Model:
     """Fit on `<label, features>`. An SVM needs both classes."""
-    if isinstance(estimator, LinearSVC):
-        sizes = class_sizes(rows, "label")
-        if not (sizes[0] and sizes[1]):
-            raise TooFewRows(f"training needs both classes, have {sizes}")
-    return estimator.fit(rows.select(F.col("label").cast("double").alias("label"), "features"))
+    sizes = class_sizes(rows, "label")
+    n_rows = sum(sizes.values())
+    estimator = classifier(n_rows)
+    if isinstance(estimator, LinearSVC) and not (sizes[0] and sizes[1]):
+        raise TooFewRows(f"training needs both classes, have {sizes}")
+    rows = rows.select(F.col("label").cast("double").alias("label"), "features")
+    # Solvers run one job per step. A labelled set of a few thousand rows belongs in one task; a large
+    # one has more partitions than this and keeps them as they are, since coalesce never adds any.
+    return estimator.fit(rows.coalesce(ceil(n_rows / ROWS_PER_TASK) or 1))
 
 
 def predict(model: Model, rows: DataFrame) -> DataFrame:
@@ -171,8 +177,7 @@ def run_supervised(train: DataFrame, tests: DataFrame, settings: Settings, class
         rows = rows.withColumn("is_valid", F.lit(False))
     rows.write.parquet(f"{result.labelled_path}/round=0")
     labelled = result.labelled(spark)
-    part = _train_part(labelled)
-    _evaluate(fit(classifier(part.count()), part), labelled, tests, result, 0)
+    _evaluate(fit(classifier, _train_part(labelled)), labelled, tests, result, 0)
     return result
 
 
@@ -201,8 +206,7 @@ def run_active(train: DataFrame, tests: DataFrame, settings: Settings, classifie
     iteration = 0
     while True:
         labelled = result.labelled(spark)
-        part = _train_part(labelled)
-        model = fit(classifier(part.count()), part)
+        model = fit(classifier, _train_part(labelled))
         _evaluate(model, labelled, tests, result, iteration)
         n = min(settings.query_n, settings.budget - n_labelled)
         if n <= 0:

@@ -7,15 +7,14 @@ on a stream, "the first" copy would be the first to arrive, not the one with the
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import clean_text
-from tagloom.operators.clean import drop_empty, drop_missing, drop_only_marks
+from tagloom.operators.clean import cleaned_rows, drop_missing
 from tagloom.plans.corpus import add_weak_label
 
 
 def clean_stream(rows: DataFrame, id_col: str = "id", text_col: str = "text", entities: str = "full") -> DataFrame:
     """`<id, clean_text, text_length>` of the rows that survive the stateless drops."""
-    cleaned = drop_missing(rows, text_col).select(id_col, clean_text(F.col(text_col), entities).alias("clean_text"))
-    return drop_only_marks(drop_empty(cleaned)).withColumn("text_length", F.length("clean_text"))
+    rows = cleaned_rows(drop_missing(rows, text_col).select(id_col, text_col), text_col, entities)
+    return rows.select(id_col, "clean_text", F.length("clean_text").alias("text_length"))
 
 
 def weak_label_stream(rows: DataFrame, keywords: list[str], threshold: float, id_col: str = "id") -> DataFrame:

@@ -59,10 +59,10 @@ ENCODE = f"""
   found AS (SELECT doc_id, regexp_extract_all(text, {quote(WORD_PATTERN)}) AS words FROM cleaned),
   vocabulary AS (SELECT word, {sql_rank('word', '0')} - 1 + {FIRST_WORD_ID} AS word_id FROM
     (SELECT DISTINCT unnest(words) AS word FROM found) WHERE word NOT IN ('[USER]', '[URL]', '[EMOJI]')),
-  spread AS (SELECT doc_id, unnest(words[:{MAX_LENGTH - 2}]) AS word, generate_subscripts(words[:{MAX_LENGTH - 2}], 1) AS at
+  spread AS (SELECT doc_id, unnest(words[:{MAX_LENGTH - 2}]) AS word, generate_subscripts(words[:{MAX_LENGTH - 2}], 1) AS place
              FROM found),
   ids AS (SELECT doc_id, list(CASE word WHEN '[USER]' THEN 4 WHEN '[URL]' THEN 5 WHEN '[EMOJI]' THEN 6
-                              ELSE word_id END ORDER BY at) AS ids
+                              ELSE word_id END ORDER BY place) AS ids
           FROM spread LEFT JOIN vocabulary USING (word) GROUP BY doc_id),
   bodies AS (SELECT doc_id, list_concat(list_concat([2::BIGINT], coalesce(ids, []::BIGINT[])), [3::BIGINT]) AS body
              FROM found LEFT JOIN ids USING (doc_id))

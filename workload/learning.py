@@ -45,27 +45,23 @@ def _test_sets(test):
     return materialize(base.unionByName(sample.withColumn("test_set", F.lit("test_50"))), "tests")
 
 
-def _fitted(train, classifier):
-    return fit(classifier(train.count()), train)
-
-
 @query("svm_predict")
 def svm_predict(spark, folder):
     train, test = _text_sets(spark, folder)
-    rows = predict(_fitted(train, svm), test)
+    rows = predict(fit(svm, train), test)
     return rows.select("id", "label", "prediction", F.round("confidence", 4).alias("confidence"))
 
 
 @query("svm_metrics")
 def svm_metrics(spark, folder):
     train, test = _text_sets(spark, folder)
-    return binary_scores(predict(_fitted(train, svm), test), places=6)
+    return binary_scores(predict(fit(svm, train), test), places=6)
 
 
 @query("embedding_classifier")
 def embedding_classifier(spark, folder):
     train, test = _vector_sets(spark, folder)
-    rows = predict(_fitted(train, logistic), test)
+    rows = predict(fit(logistic, train), test)
     return rows.select("id", "label", "prediction")
 
 

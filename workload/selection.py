@@ -71,16 +71,16 @@ def reveal_labels(spark, folder):
 
 
 CENTRES = """
-  SELECT {by} AS cls, at, avg(x::DOUBLE) AS x FROM (SELECT *, unnest(embedding) AS x,
-    generate_subscripts(embedding, 1) AS at FROM embeddings) GROUP BY ALL"""
+  SELECT {by} AS cls, place, avg(x::DOUBLE) AS x FROM (SELECT *, unnest(embedding) AS x,
+    generate_subscripts(embedding, 1) AS place FROM embeddings) GROUP BY ALL"""
 
 
 @query(
     "query_least_confidence",
     f"""WITH centres AS ({CENTRES.format(by='(label < 5)::INT')}),
-    w AS (SELECT at, sum(CASE cls WHEN 1 THEN x ELSE -x END) AS w FROM centres GROUP BY at),
+    w AS (SELECT place, sum(CASE cls WHEN 1 THEN x ELSE -x END) AS w FROM centres GROUP BY place),
     scored AS (SELECT vec_id, abs(sum(x::DOUBLE * w)) AS confidence
-      FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS at FROM ({POOL})) JOIN w USING (at)
+      FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS place FROM ({POOL})) JOIN w USING (place)
       GROUP BY vec_id)
     SELECT vec_id, round(confidence, 6) AS confidence FROM scored ORDER BY scored.confidence, vec_id LIMIT {N_QUERY}""",
 )
@@ -97,8 +97,8 @@ def query_least_confidence(spark, folder):
     "nearest_to_centre",
     f"""WITH centres AS ({CENTRES.format(by='label')}),
     gaps AS (SELECT vec_id, label, sqrt(sum((p.x::DOUBLE - c.x) * (p.x::DOUBLE - c.x))) AS distance
-      FROM (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS at FROM embeddings) p
-      JOIN centres c ON p.label = c.cls AND p.at = c.at GROUP BY ALL)
+      FROM (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS place FROM embeddings) p
+      JOIN centres c ON p.label = c.cls AND p.place = c.place GROUP BY ALL)
     SELECT label, vec_id, round(distance, 6) AS distance FROM gaps
     QUALIFY row_number() OVER (PARTITION BY label ORDER BY gaps.distance, vec_id) = 1""",
 )
