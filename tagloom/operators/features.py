@@ -6,7 +6,6 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     CountVectorizer,
     ElementwiseProduct,
-    IDF,
     Normalizer,
     RegexTokenizer,
     StopWordsRemover,
@@ -67,9 +66,10 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, stop_words=STOP_WORDS
     Rows are placed by id once; counting per (id, term) and the length norm per id then need no
     further shuffle. One group is one text.
     """
-    placed = df.select(id_col, terms(F.col(text_col)).alias("terms")).repartition(id_col)
+    # The text is moved, not its terms: they take more room.
+    placed = df.select(id_col, text_col).repartition(id_col)
     return (
-        placed.select(id_col, F.explode("terms").alias("term"))
+        placed.select(id_col, F.explode(terms(F.col(text_col))).alias("term"))
         .filter(_without(stop_words))
         .groupBy(id_col, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
@@ -103,20 +103,19 @@ def fit_tfidf_vectors(
     A linear model holds one number per term on the driver, so the vocabulary is counted first and
     refused, not cut, above `max_terms`.
     """
+    model = fit_tfidf(df, text_col, stop_words)
+    if model.n_terms > max_terms:
+        raise ValueError(f"{model.n_terms} terms, more than max_terms={max_terms}; raise it if the driver can hold them")
     tokens = RegexTokenizer(
         inputCol=text_col, outputCol="_found", pattern=TERM_PATTERN, gaps=False, toLowercase=True, minTokenLength=2
     )
     stops = StopWordsRemover(inputCol="_found", outputCol="_terms", stopWords=list(stop_words), caseSensitive=True)
-    found = stops.transform(tokens.transform(df.select(text_col))).select("_terms")
-    n_terms = found.select(F.explode("_terms").alias("term")).distinct().count()
-    if n_terms > max_terms:
-        raise ValueError(f"{n_terms} terms; raise max_terms (now {max_terms}) if the driver can hold a model this wide")
-    counts = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max(n_terms, 1), minDF=1.0).fit(found)
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counts.transform(found)).idf
-    # MLlib's idf lacks the smoothing term 1.
-    scale = ElementwiseProduct(
-        inputCol="_tf", outputCol="_raw", scalingVec=Vectors.dense(idf.toArray() + 1.0)
-    )
+    # The texts were read for the vocabulary. Numbering its terms needs the vocabulary alone: one row per term.
+    single = model.vocabulary.select(F.array("term").alias("_terms"))
+    counts = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max(model.n_terms, 1), minDF=1.0).fit(single)
+    idf = dict(model.vocabulary.select("term", "idf").toPandas().itertuples(index=False))
+    weights = Vectors.dense([idf[term] for term in counts.vocabulary])
+    scale = ElementwiseProduct(inputCol="_tf", outputCol="_raw", scalingVec=weights)
     return PipelineModel([tokens, stops, counts, scale, Normalizer(inputCol="_raw", outputCol=out, p=2.0)])
 
 
@@ -151,8 +150,9 @@ def encode_fixed(ids: WordIds, df: DataFrame, id_col: str = "id", text_col: str
     fixed length means. Unseen words share one id. Words are looked up once per text and distinct
     word position, and gathered per text: a group is at most `max_length` rows.
     """
-    placed = df.select(id_col, F.slice(words(F.col(text_col)), 1, max_length - 2).alias("words")).repartition(id_col)
-    spread = placed.select(id_col, F.posexplode_outer("words").alias("at", "word"))
+    placed = df.select(id_col, text_col).repartition(id_col)
+    kept = F.slice(words(F.col(text_col)), 1, max_length - 2)
+    spread = placed.select(id_col, F.posexplode_outer(kept).alias("at", "word"))
     looked_up = lookup_join(spread, ids.table, "word", ids.n_words, id_col, "left")
     word_id = F.col("word_id")
     for mark, reserved in RESERVED.items():

@@ -8,7 +8,8 @@ position at which every bucket starts; the rest is work inside single buckets:
 * `flag_first` finds the n-th key from the one bucket that holds it, and is then a plain filter on
   the full rows, which are never shuffled.
 
-Ids must be unique. Groups are classes (labels, strata): a small domain, one row each in the tables
+The input is read three times, twice for its ids and groups alone; store it first if it is costly to
+compute. Ids must be unique. Groups are classes (labels, strata): a small domain, one row each in the tables
 that get broadcast.
 """
 
@@ -61,39 +62,35 @@ def flag_first(df: DataFrame, id_col: str, seed, n, group: str | None = None, ou
     DataFrame `<group, n>`, where groups without a row get none. Without `group` all rows form one
     group.
     """
-    keyed = _keyed(df, id_col, seed).withColumn("_all", F.lit(0))
+    whole = group is None
     group = group or "_all"
-    starts = _bucket_starts(keyed.select(group, KEY, BUCKET), [group])
+    keyed = _keyed(df, id_col, seed).withColumn("_all", F.lit(0))
+    starts = _bucket_starts(keyed.select(group, BUCKET), [group])
     if isinstance(n, DataFrame):
-        quotas = n.select(group, F.col("n").cast("long").alias(QUOTA))
-        starts = starts.join(F.broadcast(quotas), group)
+        starts = starts.join(F.broadcast(n.select(group, F.col("n").cast("long").alias(QUOTA))), group)
     else:
-        quota = n if isinstance(n, Column) else F.lit(int(n))
-        starts = starts.withColumn(QUOTA, quota.cast("long"))
-    # The bucket of each group in which its quota runs out; at most one row per group.
-    edge = starts.filter((F.col(START) < F.col(QUOTA)) & (F.col(START) + F.col(COUNT) >= F.col(QUOTA)))
-    # Groups smaller than their quota have no such bucket: all their rows are taken.
-    short = (
-        starts.filter((F.col(START) == 0) & (F.col(GROUP_SIZE) < F.col(QUOTA)))
-        .select(group, F.lit("g").alias("_last_key"), F.lit(None).cast(df.schema[id_col].dataType).alias("_last_id"))
+        starts = starts.withColumn(QUOTA, (n if isinstance(n, Column) else F.lit(int(n))).cast("long"))
+    # The bucket of each group in which its quota, or else the group, runs out: at most one per group.
+    quota = F.least(QUOTA, GROUP_SIZE)
+    edge = starts.withColumn(QUOTA, quota).filter(
+        (F.col(START) < F.col(QUOTA)) & (F.col(START) + F.col(COUNT) >= F.col(QUOTA))
     )
+    # The last row taken, from the rows of those buckets only.
     within = Window.partitionBy(group).orderBy(KEY, id_col)
     last = (
         keyed.select(group, KEY, BUCKET, id_col)
         .join(F.broadcast(edge.select(group, BUCKET, START, QUOTA)), [group, BUCKET])
         .withColumn("_rank", F.col(START) + F.row_number().over(within))
         .filter(F.col("_rank") == F.col(QUOTA))
-        .select(group, F.col(KEY).alias("_last_key"), F.col(id_col).alias("_last_id"))
-    )
-    cuts = last.unionByName(short)
-    inside = (F.col(KEY) < F.col("_last_key")) | (
-        (F.col(KEY) == F.col("_last_key")) & (F.col(id_col) <= F.col("_last_id"))
-    )
-    return (
-        keyed.join(F.broadcast(cuts), group, "left")
-        .withColumn(out, F.coalesce(inside, F.lit(False)))
-        .select(*df.columns, out)
+        .select(group, F.struct(F.col(KEY).alias("key"), F.col(id_col).alias("id")).alias("_last"))
     )
+    if whole:  # one row: a scalar subquery instead of a join
+        limit = last.agg(F.min("_last")).scalar()
+    else:
+        limit = F.col("_last")
+        keyed = keyed.join(F.broadcast(last), group, "left")
+    inside = F.struct(F.col(KEY).alias("key"), F.col(id_col).alias("id")) <= limit
+    return keyed.withColumn(out, F.coalesce(inside, F.lit(False))).select(*df.columns, out)
 
 
 def take_first(df: DataFrame, id_col: str, seed, n, group: str | None = None) -> DataFrame:

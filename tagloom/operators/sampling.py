@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.numbers import count_where
 from tagloom.operators.ordering import GROUP_SIZE, flag_first, take_first, with_position
+from tagloom.session import materialize
 
 # Fixed values
 NEG_SHARES = (0.95, 0.9, 0.5)
@@ -54,7 +55,8 @@ def budget_sample(
     n_neg, n_pos, _ = budget_parts(budget, neg_share)
     _require(class_sizes(df, label_col), n_neg, n_pos)
     seed = f"{seed}:{neg_share}"
-    sample = take_first(df, id_col, seed, per_class(label_col, n_neg, n_pos), label_col)
+    # The sample is as small as its budget; stored, it is not drawn again to be put in order.
+    sample = materialize(take_first(df, id_col, seed, per_class(label_col, n_neg, n_pos), label_col), "sample")
     return with_position(sample, id_col, f"{seed}:order")
 
 

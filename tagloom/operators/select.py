@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tagloom.operators.joins import lookup_join
 from tagloom.operators.ordering import take_first
+from tagloom.session import materialize
 
 
 def rows_by_id(df: DataFrame, ids: DataFrame, n_ids: int, id_col: str = "id") -> DataFrame:
@@ -91,7 +92,8 @@ def kmeans_query(
     """
     vector = F.col(vector_col)
     vectors = pool.select(id_col, (unit(vector) if normalize else vector.cast("array<double>")).alias("_unit"))
-    vectors = vectors.withColumn("_vector", array_to_vector("_unit"))
+    # The solver passes over the vectors many times; what leads up to the pool must not run each time.
+    vectors = materialize(vectors, "vectors").withColumn("_vector", array_to_vector("_unit"))
     model = KMeans(k=n, seed=seed, maxIter=max_iter, featuresCol="_vector", predictionCol="_cluster").fit(vectors)
     centres = [(i, [float(x) for x in centre]) for i, centre in enumerate(model.clusterCenters())]
     centres = pool.sparkSession.createDataFrame(centres, "_cluster int, centre array<double>")

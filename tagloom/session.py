@@ -57,3 +57,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle an input that has fewer splits than the session has task slots; else leave it alone.
+
+    For work that costs far more than moving the rows, such as cleaning text from one small file. A
+    large input has more splits than slots and is never shuffled here. Meant for plain scans: asking
+    a plan with shuffles for its number of partitions would run them.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df

@@ -55,8 +55,7 @@ def list_result_files(spark: SparkSession, root: str) -> DataFrame:
 
 def read_result_files(spark: SparkSession, root: str) -> DataFrame:
     """`<folder, file_name, content>` of the JSON files one folder below `root`."""
-    options = {"recursiveFileLookup": True, "pathGlobFilter": "*.json", "wholetext": True}
-    files = spark.read.options(**options).text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     path = F.col("_metadata.file_path")
     return files.select(
         F.regexp_extract(path, FOLDER_AND_FILE, 1).alias("folder"),

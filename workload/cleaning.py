@@ -6,7 +6,7 @@ from tagloom.functions.text import clean_text, decode_entities, drop_corpus_mark
 from tagloom.operators.clean import clean_rows, keep_first, length_summary, stage_report
 from tagloom.session import new_path
 from tagloom.streaming.rows import clean_stream, run_available
-from workload.registry import query, quote, sql_clean, sql_entities, table
+from workload.registry import query, quote, sql_clean, sql_entities, table, texts
 
 MARKS = ("[URL]", "[EMOJI]")
 CLEANED = f"""
@@ -18,13 +18,13 @@ KEPT = "clean_text <> '' AND clean_text NOT IN ('[URL]', '[EMOJI]')"
 
 @query("clean_text_documents", f"SELECT doc_id, {sql_clean('text')} AS clean_text FROM documents")
 def clean_text_documents(spark, folder):
-    documents = table(spark, folder, "documents")
+    documents = texts(spark, folder)
     return documents.select("doc_id", clean_text(F.col("text")).alias("clean_text"))
 
 
 @query("clean_text_pages", f"SELECT page_id, {sql_clean('concat_ws(chr(32), url, html)')} AS clean_text FROM pages")
 def clean_text_pages(spark, folder):
-    pages = table(spark, folder, "pages").withColumn("raw", F.concat_ws(" ", "url", "html"))
+    pages = texts(spark, folder, "pages", "page_id").withColumn("raw", F.concat_ws(" ", "url", "html"))
     return pages.select("page_id", clean_text(F.col("raw"), entities="common").alias("clean_text"))
 
 
@@ -37,7 +37,7 @@ DECORATED = (
 
 @query("clean_text_decorated", f"SELECT doc_id, {sql_clean(DECORATED)} AS clean_text FROM documents")
 def clean_text_decorated(spark, folder):
-    documents = table(spark, folder, "documents")
+    documents = texts(spark, folder)
     raw = F.concat(
         F.lit("\n>>> MENTION"), F.col("doc_id").cast("string"), F.lit(" "), F.col("text"), F.lit("\thttp://"),
         F.col("source"), F.lit(".example/@"), F.col("doc_id").cast("string"), F.lit(" @"), F.col("source"),
@@ -81,7 +81,7 @@ def dedup_keep_first(spark, folder):
     f"{CLEANED} SELECT doc_id, clean_text, length(clean_text)::INT AS text_length FROM cleaned WHERE {KEPT}",
 )
 def clean_rows_documents(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = texts(spark, folder).select("doc_id", "text")
     return clean_rows(documents, "doc_id").select("doc_id", "clean_text", "text_length")
 
 
@@ -99,7 +99,7 @@ def clean_rows_documents(spark, folder):
     UNION ALL SELECT 4, 'marks_only', filled, filled - kept, kept FROM totals""",
 )
 def drop_stages_report(spark, folder):
-    return stage_report(table(spark, folder, "documents"))
+    return stage_report(texts(spark, folder))
 
 
 @query(
@@ -110,7 +110,7 @@ def drop_stages_report(spark, folder):
       quantile_cont(size, 0.75)::DOUBLE AS q75, max(size)::BIGINT AS max_len FROM sizes""",
 )
 def text_length_summary(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = texts(spark, folder).select("doc_id", "text")
     summary = length_summary(clean_rows(documents, "doc_id"))
     return summary.withColumns({name: F.round(name, 6) for name in ("mean_len", "std_len")})
 

@@ -16,11 +16,11 @@ from tagloom.operators.features import (
 )
 from tagloom.operators.sampling import flag_test
 from tagloom.session import materialize
-from workload.registry import query, quote, sql_clean, sql_rank, table
+from workload.registry import query, quote, sql_clean, sql_rank, texts
 
 
 def _parts(spark, folder):
-    flagged = flag_test(table(spark, folder, "documents").select("doc_id", "text"), id_col="doc_id")
+    flagged = flag_test(texts(spark, folder).select("doc_id", "text"), id_col="doc_id")
     # Read by the fit and by the transform.
     flagged = materialize(flagged, "split")
     return flagged.filter("NOT is_test"), flagged.filter("is_test")
@@ -75,7 +75,7 @@ ENCODE = f"""
 def encode_fixed_length(spark, folder):
     text = clean_text(F.col("text"))
     # Read by the vocabulary and by the encoding.
-    documents = materialize(table(spark, folder, "documents").select("doc_id", text.alias("text")), "clean")
+    documents = materialize(texts(spark, folder).select("doc_id", text.alias("text")), "clean")
     rows = encode_fixed(fit_word_ids(documents), documents, "doc_id")
     return rows.select(
         "doc_id",

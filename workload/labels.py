@@ -27,6 +27,7 @@ from workload.registry import (
     sql_matches,
     sql_scores,
     table,
+    texts,
 )
 
 VOTES = """SELECT l_orderkey, (avg(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) > 0.5)::INT AS label
@@ -71,7 +72,7 @@ def binarize_category(spark, folder):
     FROM (SELECT doc_id, text, {sql_matches('text')} AS matches FROM documents)""",
 )
 def keyword_matches(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = texts(spark, folder).select("doc_id", "text")
     rows = add_weak_label(documents, KEYWORDS)
     return rows.select(
         "doc_id",
@@ -87,7 +88,7 @@ def keyword_matches(spark, folder):
     f"SELECT doc_id, ({sql_density('text')} > 0.01)::INT AS weak_pos_keywords FROM documents",
 )
 def weak_label(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = texts(spark, folder).select("doc_id", "text")
     return add_weak_label(documents, KEYWORDS, 0.01).select("doc_id", "weak_pos_keywords")
 
 
@@ -107,7 +108,7 @@ SWEEP_SQL = sql_scores(
 @query("threshold_sweep", SWEEP_SQL)
 def threshold_sweep(spark, folder):
     """Clean, dedup, label, weak-label and compare: the whole data preparation."""
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = texts(spark, folder).select("doc_id", "text")
     rows = clean_rows(documents, "doc_id").select("doc_id", F.col("clean_text").alias("text"))
     labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
     return sweep(rows.join(labels, "doc_id"), KEYWORDS, SWEEP_THRESHOLDS)
@@ -124,7 +125,7 @@ def threshold_sweep(spark, folder):
     ),
 )
 def weak_label_scores(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    documents = texts(spark, folder).select("doc_id", "lang", "text")
     labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
     rows = add_weak_label(documents, KEYWORDS, 0.01).join(labels, "doc_id")
     return binary_scores(rows, "label", "weak_pos_keywords", ["lang"], places=6)

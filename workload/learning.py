@@ -8,12 +8,12 @@ from tagloom.operators.sampling import budget_sample, class_sizes, flag_test
 from tagloom.plans.corpus import add_weak_label
 from tagloom.plans.learning import Settings, fit, logistic, predict, run_experiment, run_once, svm
 from tagloom.session import materialize
-from workload.registry import KEYWORDS, labelled_documents, query, table
+from workload.registry import KEYWORDS, labelled_documents, query, table, texts
 
 
 def _text_sets(spark, folder):
     """(train, test) with features: the labelled documents, split three to one."""
-    rows = add_weak_label(labelled_documents(spark, folder), KEYWORDS, 0.01)
+    rows = add_weak_label(labelled_documents(spark, folder, texts), KEYWORDS, 0.01)
     rows = rows.select("id", "text", "label", F.col("weak_pos_keywords").alias("weak_label"))
     rows = materialize(flag_test(rows, 0.25), "split")
     features = fit_tfidf_vectors(rows.filter("NOT is_test"))

@@ -1,6 +1,7 @@
 """Registry of queries, table access, and SQL fragments used by several of them."""
 
 from tagloom.functions.text import BLANK, COMMON_ENTITIES, EMOJI_CLASS
+from tagloom.session import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -25,9 +26,14 @@ def table(spark, folder: str, name: str):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def labelled_documents(spark, folder: str):
-    """`<id, text, label>`: the documents that have a label."""
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+def texts(spark, folder: str, name: str = "documents", key: str = "doc_id"):
+    """A text table, on all task slots even if it is one small file."""
+    return spread(table(spark, folder, name), key)
+
+
+def labelled_documents(spark, folder: str, source=table):
+    """`<id, text, label>`: the documents that have a label. `source=texts` for work on the text."""
+    documents = source(spark, folder, "documents").select("doc_id", "text")
     labels = table(spark, folder, "labels").selectExpr("doc_id", "toxic AS label")
     return documents.join(labels, "doc_id").withColumnRenamed("doc_id", "id")
 

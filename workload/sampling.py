@@ -16,7 +16,7 @@ from tagloom.operators.sampling import (
 from tagloom.operators.clean import clean_rows
 from tagloom.plans.corpus import add_weak_label
 from tagloom.session import materialize
-from workload.registry import KEYWORDS, LABELLED, labelled_documents, query, sql_density, sql_key, sql_rank, table
+from workload.registry import KEYWORDS, LABELLED, labelled_documents, query, sql_density, sql_key, sql_rank, table, texts
 
 SEED = 7
 
@@ -105,7 +105,7 @@ def split_balanced(spark, folder):
 
 
 def _weak(spark, folder):
-    rows = add_weak_label(labelled_documents(spark, folder), KEYWORDS, 0.01)
+    rows = add_weak_label(labelled_documents(spark, folder, texts), KEYWORDS, 0.01)
     return rows.select("id", "label", F.col("weak_pos_keywords").alias("weak_label"))
 
 

@@ -18,7 +18,7 @@ from tagloom.sources.corpora import (
 )
 from tagloom.sources.results import read_grid, write_grid
 from workload.experiments import sql_grid
-from workload.registry import KEYWORDS, LABELLED, labelled_documents, query, sql_rank, table
+from workload.registry import KEYWORDS, LABELLED, labelled_documents, query, sql_rank, table, texts
 from workload.sampling import SEED, WEAK, sql_budget_sample
 
 
@@ -74,7 +74,7 @@ def keywords_round_trip(spark, folder):
 )
 def samples_round_trip(spark, folder):
     path = new_path(spark, "samples")
-    rows = add_weak_label(labelled_documents(spark, folder), KEYWORDS, 0.01)
+    rows = add_weak_label(labelled_documents(spark, folder, texts), KEYWORDS, 0.01)
     rows = rows.select("id", "text", "label", F.col("weak_pos_keywords").alias("weak_label"))
     budget = class_sizes(rows, "label")[1]
     write_sample(budget_sample(rows, budget, 0.9, SEED), path, "docs", "train", "10", budget)
