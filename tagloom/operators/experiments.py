@@ -28,7 +28,7 @@ AL_KEY = [
     "method", "framework", "dataset", "class_imbalance", "init_n", "cold_strategy", "query_strategy", "query_n",
 ]
 KINDS = ("START", "END", "FAILED")
-STAMP_FORMAT = "yyyyMMdd'T'HHmmss"
+STAMPED_NAME = r"^\w+?_(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})\.json$"
 # ----------------------------------------------------------------------------------------------
 
 
@@ -94,8 +94,8 @@ def file_kind(file_name: Column) -> Column:
 
 def file_stamp(file_name: Column) -> Column:
     """Time in a result file name such as `END_20220101T100000.json`; NULL if there is none."""
-    stamp = F.regexp_extract(file_name, r"_(\d{8}T\d{6})\.json$", 1)
-    return F.try_to_timestamp(F.when(stamp != "", stamp), F.lit(STAMP_FORMAT))
+    # A wall-clock time without zone, as in the name. Other names stay as they are and fail the cast.
+    return F.regexp_replace(file_name, STAMPED_NAME, "$1-$2-$3 $4:$5:$6").try_cast("timestamp_ntz")
 
 
 def experiment_status(files: DataFrame, expected: DataFrame | None = None) -> DataFrame:
@@ -141,7 +141,7 @@ def summarize(files: DataFrame) -> DataFrame:
     is_active = F.col("folder").startswith("AL_")
     status = F.when(F.col("end").isNotNull(), "done").when(is_active & F.col("failed").isNotNull(), "failed")
     rows = firsts.withColumn("status", status).filter(F.col("status").isNotNull())
-    done = F.col("status") == "done"
+    done = F.col("status") == "done"  # never NULL here
     content = F.when(done, F.col("end.content")).otherwise(F.col("failed.content"))
     start = F.when(done, file_stamp(F.col("start.file_name")))
     end = F.when(done, file_stamp(F.col("end.file_name")))
@@ -152,7 +152,7 @@ def summarize(files: DataFrame) -> DataFrame:
         end.alias("end_time"),
         F.from_json(content, RECORD_SCHEMA).alias("record"),
     )
-    seconds = F.col("end_time").cast("bigint") - F.col("start_time").cast("bigint")
+    seconds = F.timestamp_diff("SECOND", F.col("start_time"), F.col("end_time"))
     return rows.select("folder", "status", "start_time", "end_time", seconds.alias("run_seconds"), "record.*")
 
 

@@ -135,7 +135,8 @@ class WordIds:
 def fit_word_ids(df: DataFrame, text_col: str = "text", seed=0) -> WordIds:
     """Number the distinct words 7, 8, ... in md5 order, which needs no global sort."""
     distinct = df.select(F.explode(words(F.col(text_col))).alias("word")).distinct()
-    plain = distinct.filter(~F.col("word").isin(list(RESERVED)))
+    # Numbering reads the words twice; stored, the texts are read once.
+    plain = materialize(distinct.filter(~F.col("word").isin(list(RESERVED))), "distinct-words")
     numbered = with_position(plain, "word", seed).select(
         "word", (F.col("pos") + FIRST_WORD_ID).cast("int").alias("word_id")
     )

@@ -12,6 +12,8 @@ from tagloom.operators.joins import lookup_join
 from tagloom.operators.ordering import take_first
 from tagloom.session import materialize
 
+MAX_LABELLED = 100_000  # vectors of labelled rows that a task may hold; label budgets are thousands
+
 
 def rows_by_id(df: DataFrame, ids: DataFrame, n_ids: int, id_col: str = "id") -> DataFrame:
     """Rows whose id is listed."""
@@ -147,7 +149,10 @@ def coreset_query(
     vector = unit(vector) if normalize else vector.cast("array<double>")
     points = pool.select(id_col, vector.alias("_point"))
     size = candidates or max(256, 2 * n)
-    centres = [np.asarray(row[0], dtype="float64") for row in labelled.select(vector).collect()]
+    known = labelled.select(vector).limit(MAX_LABELLED + 1).collect()
+    if len(known) > MAX_LABELLED:
+        raise ValueError(f"more than {MAX_LABELLED} labelled rows: far beyond any label budget")
+    centres = [np.asarray(row[0], dtype="float64") for row in known]
     picked: list = []
     while len(picked) < n:
         distance = _min_distance(np.array(centres))("_point") if centres else F.lit(float("inf"))

@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.operators.joins import lookup_join
 from tagloom.operators.metrics import set_scores
 from tagloom.operators.sampling import TooFewRows, class_sizes, cold_start, flag_al_validation, flag_sl_validation
 from tagloom.operators.select import (
@@ -198,8 +199,7 @@ def run_active(train: DataFrame, tests: DataFrame, settings: Settings, classifie
         initial = flag_al_validation(initial, settings.init_n, settings.seed)
     else:
         initial = initial.withColumn("is_valid", F.lit(False))
-    # At most init_n rows.
-    start = train.join(F.broadcast(initial.select("id", "is_valid")), "id")
+    start = lookup_join(train, initial.select("id", "is_valid"), "id", settings.init_n, "id")
     start.write.parquet(f"{result.labelled_path}/round=0")
     n_labelled = settings.init_n
 

@@ -47,8 +47,8 @@ def test_active_run(spark, sets, strategy):
 def test_same_seed_same_rows(spark, sets):
     train, tests = sets
     settings = L.Settings(init_n=20, cold_strategy="BalancedWeak", query_n=10, budget=30, seed=4)
-    first = L.run_once(train, tests, settings)
-    second = L.run_once(train.repartition(5), tests, settings)
+    first = L.run_once(train, tests, settings, L.logistic)
+    second = L.run_once(train.repartition(5), tests, settings, L.logistic)
     rows = [sorted((r.id, r["round"]) for r in run.labelled(spark).collect()) for run in (first, second)]
     assert rows[0] == rows[1]
 
@@ -71,7 +71,7 @@ def test_pool_too_small(sets):
     train, tests = sets
     settings = L.Settings(init_n=10, cold_strategy="BalancedRandom", query_n=20, budget=60)
     with pytest.raises(TooFewRows, match="the pool has"):
-        L.run_once(train.filter("id < 40"), tests, settings)
+        L.run_once(train.filter("id < 40"), tests, settings, L.logistic)
 
 
 def test_supervised_run(spark, sets):
