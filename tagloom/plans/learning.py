@@ -14,9 +14,10 @@ from math import ceil
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.operators.features import fit_tfidf_vectors
 from tagloom.operators.joins import lookup_join
 from tagloom.operators.metrics import set_scores
 from tagloom.operators.sampling import TooFewRows, class_sizes, cold_start, flag_al_validation, flag_sl_validation
@@ -28,7 +29,9 @@ from tagloom.operators.select import (
     rows_by_id,
     unlabelled,
 )
-from tagloom.session import new_path
+from tagloom.session import materialize, new_path
+from tagloom.sources.corpora import read_tests, read_train
+from tagloom.sources.results import write_run_table, write_status
 
 # Fixed values
 LABEL_BUDGET = 2_000
@@ -127,6 +130,38 @@ STRATEGIES: dict[str, Callable[[Round], DataFrame]] = {
 }
 
 
+# --- inputs ------------------------------------------------------------------------------------
+
+
+def settings_from(params: dict, seed: int = 0) -> Settings:
+    """Settings of a run from a row of a parameter grid; what the row lacks keeps its default."""
+    names = ("method", "framework", "init_n", "cold_strategy", "query_n", "query_strategy")
+    return Settings(**{name: params[name] for name in names if params.get(name) is not None}, seed=seed)
+
+
+def classifier_from(params: dict) -> Callable[[int], Estimator]:
+    """The SVM for SK; for TF the embedding classifier with the row's epochs."""
+    if params.get("framework") == "TF":
+        return lambda n_rows: logistic(n_rows, params.get("n_epochs") or 3)
+    return svm
+
+
+def text_sets(train: DataFrame, tests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add `features` to both: TF-IDF fitted on the training texts. Stored, since every round reads them."""
+    model = fit_tfidf_vectors(train)
+
+    def with_features(df: DataFrame, name: str) -> DataFrame:
+        return materialize(model.transform(df).select(*(c for c in df.columns if c != "text"), "features"), name)
+
+    return with_features(train, "train-features"), with_features(tests, "test-features")
+
+
+def load_text_sets(spark: SparkSession, path: str, params: dict) -> tuple[DataFrame, DataFrame]:
+    """Stored training sample and test sets of a grid row, with features."""
+    train = read_train(spark, path, params["dataset"], params["train_n"], params["class_imbalance"])
+    return text_sets(train, read_tests(spark, path, params["dataset"], params["test_n"]))
+
+
 # --- one run -----------------------------------------------------------------------------------
 
 
@@ -280,3 +315,11 @@ def run_experiment(
     )
     status = spark.createDataFrame(events, "folder string, file_name string, content string")
     return Experiment(metrics, predictions, status)
+
+
+def store_experiment(experiment: Experiment, root: str) -> None:
+    """Write metrics, predictions and status events below `root`; runs stored before are replaced."""
+    if experiment.predictions is not None:
+        write_run_table(experiment.metrics, f"{root}/metrics")
+        write_run_table(experiment.predictions, f"{root}/predictions")
+    write_status(experiment.status, f"{root}/status")

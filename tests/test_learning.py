@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tagloom.operators.experiments import metrics_long, summarize
 from tagloom.operators.sampling import TooFewRows
 from tagloom.plans import learning as L
+from tagloom.plans.corpus import store_sets
 from tagloom.session import materialize
 from tagloom.sources.results import write_run_table
 
@@ -95,8 +96,10 @@ def test_experiment_end_to_end(spark, sets, tmp_path):
     assert {(r.run, int(r.iteration), r.metric): r.value for r in long} == {
         (r.run, r.iteration, r.metric): r.value for r in direct
     }
-    write_run_table(result.predictions, str(tmp_path / "predictions"))
+    L.store_experiment(result, str(tmp_path))
     write_run_table(result.predictions.filter("run = 'run_1'"), str(tmp_path / "predictions"))
+    assert spark.read.parquet(str(tmp_path / "metrics")).count() == len(direct)
+    assert spark.read.parquet(str(tmp_path / "status")).count() == 2
     assert spark.read.parquet(str(tmp_path / "predictions")).count() == result.predictions.count() == 80 * 2 * 2
 
 
@@ -109,3 +112,22 @@ def test_failed_experiment_is_recorded(sets):
     names = [r.file_name.split("_")[0] for r in result.status.collect()]
     assert names == ["START", "FAILED"] and result.metrics.count() == 0
     assert json.loads(result.status.collect()[1].content)["Error_Code"] == row.Error_Code
+
+
+def test_grid_row_to_run_on_stored_sets(spark, tmp_path):
+    text = F.concat(F.when(F.col("id") % 4 == 0, "bad awful ").otherwise("fine nice "), (F.col("id") % 17).cast("string"))
+    rows = spark.range(600).select("id", F.concat(text, F.lit(" x"), "id").alias("text"), (F.col("id") % 4 == 0).cast("int").alias("label"))
+    store_sets(rows.filter("id < 400"), rows.filter("id >= 400"), ["bad"], str(tmp_path), "d", 100, 40)
+    params = {
+        "method": "AL", "framework": "SK", "dataset": "d", "class_imbalance": 50, "init_n": 10,
+        "cold_strategy": "BalancedWeak", "query_n": 10, "query_strategy": "RandomSampling()", "train_n": 100, "test_n": 20,
+    }
+    train, tests = L.load_text_sets(spark, str(tmp_path), params)
+    assert train.count() == 100 and tests.count() == 80
+    settings = L.settings_from(params, seed=1)
+    assert settings.init_n == 10 and settings.budget == L.LABEL_BUDGET and settings.seed == 1
+    model = L.fit(L.classifier_from(params), train)
+    rows = L.predict(model, tests).collect()
+    assert all(r.label == r.prediction for r in rows)
+    epochs = L.classifier_from({"framework": "TF", "n_epochs": 7})(10)
+    assert epochs.getMaxIter() == 7

@@ -1,12 +1,12 @@
 """Models and whole runs. Solvers iterate, so these have no SQL; tests check their properties."""
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tagloom.operators.features import fit_tfidf_vectors
 from tagloom.operators.metrics import binary_scores
 from tagloom.operators.sampling import budget_sample, class_sizes, flag_test
 from tagloom.plans.corpus import add_weak_label
-from tagloom.plans.learning import Settings, fit, logistic, predict, run_experiment, run_once, svm
+from tagloom.plans.learning import Settings, fit, logistic, predict, run_experiment, run_once, svm, text_sets
 from tagloom.session import materialize
 from workload.registry import KEYWORDS, labelled_documents, query, table, texts
 
@@ -16,16 +16,11 @@ def _text_sets(spark, folder):
     rows = add_weak_label(labelled_documents(spark, folder, texts), KEYWORDS, 0.01)
     rows = rows.select("id", "text", "label", F.col("weak_pos_keywords").alias("weak_label"))
     rows = materialize(flag_test(rows, 0.25), "split")
-    features = fit_tfidf_vectors(rows.filter("NOT is_test"))
-    vectors = features.transform(rows).select("id", "label", "weak_label", "is_test", "features")
-    vectors = materialize(vectors, "features")
-    return vectors.filter("NOT is_test").drop("is_test"), vectors.filter("is_test").drop("is_test")
+    return text_sets(rows.filter("NOT is_test").drop("is_test"), rows.filter("is_test").drop("is_test"))
 
 
 def _vector_sets(spark, folder):
     """(train, test) on the embeddings; the first class against the rest."""
-    from pyspark.ml.functions import array_to_vector
-
     vector = F.col("embedding").cast("array<double>")
     rows = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("id"),
