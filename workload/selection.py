@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tagloom.operators.experiments import map_predictions
+from tagloom.operators.metrics import set_scores
 from tagloom.operators.ordering import take_first
 from tagloom.operators.select import (
     coreset_query,
@@ -18,7 +19,7 @@ from tagloom.operators.select import (
     unit,
     unlabelled,
 )
-from workload.registry import query, sql_rank, table
+from workload.registry import query, sql_cells, sql_rank, sql_scores, table
 
 N_LABELLED, N_QUERY = 60, 25
 LABELLED_IDS = f"SELECT vec_id FROM embeddings QUALIFY {sql_rank('vec_id', 'start')} <= {N_LABELLED}"
@@ -93,6 +94,33 @@ def query_least_confidence(spark, folder):
     return least_confident(scored, N_QUERY, id_col="vec_id").withColumn("confidence", F.round("confidence", 6))
 
 
+@query(
+    "set_scores",
+    f"""WITH centres AS ({CENTRES.format(by='(label < 5)::INT')}),
+    w AS (SELECT place, sum(CASE cls WHEN 1 THEN x ELSE -x END) AS w FROM centres GROUP BY place),
+    scored AS (SELECT vec_id, label, sum(x::DOUBLE * w) > 0 AS positive
+      FROM (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS place FROM embeddings)
+      JOIN w USING (place) GROUP BY vec_id, label),
+    rows AS (SELECT concat('test_', vec_id % 4) AS test_set, (label < 5)::INT AS label, positive::INT AS prediction FROM scored)
+    SELECT test_set, round(f1_macro, 6) AS f1, round((tp + fn)::DOUBLE / (tn + fp + fn + tp), 6) AS imbalance,
+      tn + fp + fn + tp AS n
+    FROM ({sql_scores(f"SELECT test_set, {sql_cells('label', 'prediction')} FROM rows GROUP BY test_set", 'test_set')})""",
+)
+def set_scores_embeddings(spark, folder):
+    """A fixed linear model, the difference of the class means, scored on four test sets at once."""
+    vectors = _vectors(spark, folder)
+    positive = (F.col("label") < 5).cast("int")
+    centres = mean_vectors(vectors.select(positive.alias("cls"), "embedding"), "cls", "embedding").collect()  # two rows
+    centres = {row["cls"]: row["centre"] for row in centres}
+    weights = F.array(*(F.lit(a - b) for a, b in zip(centres[1], centres[0])))
+    rows = vectors.select(
+        F.concat(F.lit("test_"), (F.col("vec_id") % 4).cast("string")).alias("test_set"),
+        positive.alias("label"),
+        (dot(F.col("embedding"), weights) > 0).cast("int").alias("prediction"),
+    )
+    return set_scores(rows).withColumns({name: F.round(name, 6) for name in ("f1", "imbalance")})
+
+
 @query(
     "nearest_to_centre",
     f"""WITH centres AS ({CENTRES.format(by='label')}),
