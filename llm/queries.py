@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from llm import bpe, decontaminate, simhash  # noqa: F401
+from llm import bpe, decontaminate, repeats, simhash  # noqa: F401
 from llm.registry import QUERIES, SQL  # noqa: F401
