@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from llm import bpe, chat, decontaminate, quality_rules, repeats, simhash  # noqa: F401
+from llm import bpe, chat, decontaminate, pii, quality_rules, repeats, simhash  # noqa: F401
 from llm.registry import QUERIES, SQL  # noqa: F401
