@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from llm.components import components
 from llm.registry import query, table
+from llm.rows import text_key
 from tagloom.session import materialize, spread
 
 BITS = 2
@@ -62,7 +63,7 @@ def fingerprint(text: str | None, run: int = 3) -> int:
 
 
 def fingerprints(documents: DataFrame, run: int = 3) -> DataFrame:
-    """`<doc_id, print bigint>` for every row of `<doc_id, text>`."""
+    """`<doc_id, text_key, print bigint>` for every row of `<doc_id, text>`."""
 
     def scan(batches):
         for batch in batches:
@@ -70,11 +71,14 @@ def fingerprints(documents: DataFrame, run: int = 3) -> DataFrame:
                 part = batch.slice(at, 256)
                 prints = [fingerprint(text, run) for text in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "print"]
+                    [part.column("doc_id"), part.column("text_key"), pa.array(prints, pa.int64())],
+                    names=["doc_id", "text_key", "print"],
                 )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, print bigint")
+    return documents.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(
+        scan, f"doc_id {kind}, text_key string, print bigint"
+    )
 
 
 def distance_table(prints: np.ndarray) -> np.ndarray:
@@ -135,8 +139,8 @@ def links(distinct: DataFrame) -> DataFrame:
     crowded = listed.groupBy("cell").count().filter(F.col("count") > CELL).select("cell", F.lit(True).alias("crowded"))
     listed = materialize(listed.join(crowded, "cell", "left"), "cells")
     spark = distinct.sparkSession
-    # Groups of about 20,000 rows; a cell of at most CELL rows is never cut.
-    groups = max(spark.sparkContext.defaultParallelism, listed.count() // 20_000)
+    # Groups of about 4,000 rows; a cell of at most CELL rows is never cut.
+    groups = max(spark.sparkContext.defaultParallelism, listed.count() // 4_000)
     inside = (
         listed.filter(F.col("crowded").isNull())
         .select("print", "cell", F.pmod(F.xxhash64("cell"), F.lit(groups)).alias("g"))
@@ -160,19 +164,24 @@ def _bit(i: int) -> int:
     return 1 << i if i < 63 else -(1 << 63)
 
 
-def near_duplicates(documents: DataFrame, run: int = 3) -> DataFrame:
-    """`<doc_id, fingerprint, component_id>` for every row of `<doc_id, text>`.
+def near_duplicates(documents: DataFrame, run: int = 3, key: bool = False) -> DataFrame:
+    """`<doc_id, fingerprint, component_id>` for every row of `<doc_id, text>`, with `key` also `<text_key, root>`.
 
-    `fingerprint` has 16 hex digits; `component_id` is the smallest doc_id that links reach, itself included.
+    `fingerprint` has 16 hex digits; `component_id` is the smallest doc_id that links reach, itself included; `root` is
+    the smallest fingerprint of the component and names it even where no row has an id.
     """
-    prints = materialize(fingerprints(documents, run), "fingerprints")
+    prints = fingerprints(documents, run)
+    prints = materialize(prints if key else prints.drop("text_key"), "fingerprints")
     distinct = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(links(distinct)).select(F.col("node").alias("print"), "root")
     placed = distinct.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.join(named, "root").select("print", "component_id")
+    placed = placed.join(named, "root").select("print", "component_id", "root")
     return prints.join(placed, "print").select(
-        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id",
+        F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
+        "component_id",
+        *(["text_key", "root"] if key else []),
     )
 
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from llm.registry import query, table
 from llm.rows import text_key
@@ -194,7 +195,8 @@ def _score(batches, model: Model, extra: list[str], passages: bool):
                         [{"start": x, "end": y + 1, "score": s} for (x, y, s), g in zip(here, good, strict=True) if g]
                     )
                 columns |= {"score": model.probability(features), "passages": pa.array(listed, pa.list_(span))}
-            yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns.values()], names=list(columns))
+            arrays = [pa.array(x) if isinstance(x, np.ndarray) else x for x in columns.values()]
+            yield pa.RecordBatch.from_arrays(arrays, names=list(columns))
 
 
 def held_out():
@@ -269,6 +271,18 @@ def toxicity(documents: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def with_scores(documents: DataFrame, model: Model) -> DataFrame:
+    """All columns of `documents`, which has a `text`, and its `score`."""
+    columns = documents.columns
+
+    def run(batches):
+        for scored in _score(batches, model, columns, True):
+            yield scored.select([*columns, "score"])
+
+    schema = T.StructType([*documents.schema.fields, T.StructField("score", T.DoubleType())])
+    return documents.mapInArrow(run, schema)
+
+
 @query("op10_toxicity")
 def op10_toxicity(spark, folder):
     documents = spread(table(spark, folder, "documents", "doc_id", "text"))
