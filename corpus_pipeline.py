@@ -26,7 +26,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return toxicity.with_scores(docs, model).filter(F.col("score") < toxicity.TOXIC_FROM).select(*COLUMNS)
+    return toxicity.with_scores(docs.select(*COLUMNS), model).filter(F.col("score") < toxicity.TOXIC_FROM).select(*COLUMNS)
 
 
 def near_duplicates_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -158,19 +158,23 @@ def read_back(tokenizer: Tokenizer, ids: np.ndarray, mask: np.ndarray) -> tuple[
     """Turns as (role, text), and all text under the mask, from ids alone."""
     base = tokenizer.get_vocab_size()
     marks = np.flatnonzero(ids >= base)
-    segments = [ids[a + 1 : b].tolist() for a, b in zip(marks, [*marks[1:], len(ids)], strict=True)]
-    texts = [unescape(x) for x in tokenizer.decode_batch(segments, skip_special_tokens=False)]
+    segments = list(zip((marks + 1).tolist(), [*marks[1:].tolist(), len(ids)], strict=True))
+    decoded = tokenizer.decode_batch([ids[a:b].tolist() for a, b in segments], skip_special_tokens=False)
+    texts = dict(zip(segments, map(unescape, decoded), strict=True))
     named = dict(enumerate(RESERVED, base))
     turns: list[tuple[str, str]] = []
     role = ""
-    for mark, text in zip(ids[marks].tolist(), texts, strict=True):
+    for mark, text in zip(ids[marks].tolist(), texts.values(), strict=True):
         if named[mark] == "[TURN]":
             role = text
         elif named[mark] == "[TEXT]":
             turns.append((role, text))
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]])))
-    learned = [ids[a:b].tolist() for a, b in zip(edges[::2], edges[1::2], strict=True)]
-    return turns, "".join(unescape(x) for x in tokenizer.decode_batch(learned, skip_special_tokens=False))
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]]))).tolist()
+    learned = []
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        whole = texts.get((a, b))  # a run of the mask is a segment, or it would be decoded by itself
+        learned.append(unescape(tokenizer.decode(ids[a:b].tolist(), False)) if whole is None else whole)
+    return turns, "".join(learned)
 
 
 def _digest(batches, path):

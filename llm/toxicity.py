@@ -272,7 +272,8 @@ def toxicity(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def with_scores(documents: DataFrame, model: Model) -> DataFrame:
-    """All columns of `documents`, which has a `text`, and its `score`."""
+    """The columns of `documents`, which has a `text`, and its `score`; columns named like a result are left out."""
+    documents = documents.drop("best", "total", "n", "score", "passages")
     columns = documents.columns
 
     def run(batches):
