@@ -2,22 +2,15 @@
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import (
-    CountVectorizer,
-    ElementwiseProduct,
-    Normalizer,
-    RegexTokenizer,
-    StopWordsRemover,
-)
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.functions.text import EMOJI, URL, USER
 from tagloom.operators.joins import lookup_join
 from tagloom.operators.ordering import with_position
-from tagloom.session import materialize
+from tagloom.session import materialize, new_path
 
 # --- fixed values -----------------------------------------------------------------------------
 # Runs of two or more word characters: letters, digits and the underscore of any script.
@@ -53,27 +46,29 @@ def _without(stop_words) -> Column:
 
 @dataclass
 class TfidfModel:
-    """Fitted vocabulary `<term, df, idf>` as a stored table, with its counted size."""
+    """Fitted vocabulary `<term, df, idf>` as a stored table."""
 
     vocabulary: DataFrame
-    n_terms: int
     stop_words: list[str]
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, stop_words=STOP_WORDS) -> DataFrame:
-    """`<id, term, tf>`.
-
-    Rows are placed by id once; counting per (id, term) and the length norm per id then need no
-    further shuffle. One group is one text.
-    """
-    # The text is moved, not its terms: they take more room.
-    placed = df.select(id_col, text_col).repartition(id_col)
-    return (
-        placed.select(id_col, F.explode(terms(F.col(text_col))).alias("term"))
-        .filter(_without(stop_words))
-        .groupBy(id_col, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    """`<id, term, tf>`. Terms are counted inside each text, so no text and no term is shuffled for it."""
+    listed = F.array_sort(terms(F.col(text_col)))
+    # Equal terms are neighbours: a term's count is the gap between places where the term changes.
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("_terms") - 1),
+        lambda i: (i == 0) | (F.get("_terms", i) != F.coalesce(F.get("_terms", i - 1), F.lit(""))),
+    )
+    found = df.select(id_col, listed.alias("_terms")).filter(F.size("_terms") > 0).select(id_col, "_terms", starts.alias("_at"))
+    runs = F.transform(
+        "_at",
+        lambda at, i: F.struct(
+            F.get("_terms", at).alias("term"),
+            (F.coalesce(F.get("_at", i + 1), F.size("_terms")) - at).cast("bigint").alias("tf"),
+        ),
     )
+    return found.select(id_col, F.inline(runs)).filter(_without(stop_words))
 
 
 def fit_tfidf(df: DataFrame, text_col: str = "text", stop_words=STOP_WORDS) -> TfidfModel:
@@ -82,41 +77,71 @@ def fit_tfidf(df: DataFrame, text_col: str = "text", stop_words=STOP_WORDS) -> T
     found = df.select(F.explode(F.array_distinct(terms(F.col(text_col)))).alias("term"))
     counts = found.filter(_without(stop_words)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((n_docs + 1) / (F.col("df") + 1)) + 1
-    vocabulary = materialize(counts.withColumn("idf", idf), "vocabulary")
-    return TfidfModel(vocabulary, vocabulary.count(), list(stop_words))
+    return TfidfModel(materialize(counts.withColumn("idf", idf), "vocabulary"), list(stop_words))
+
+
+def _weighted(known: DataFrame, id_col: str, *keep: str) -> DataFrame:
+    """`<id, .., weight>` with length 1 per id, from `<id, .., tf, idf>`; one text is one group."""
+    raw = F.col("tf") * F.col("idf")
+    gathered = known.groupBy(id_col).agg(F.collect_list(F.struct(*keep, raw.alias("raw"))).alias("_rows"))
+    norm = F.sqrt(F.aggregate("_rows", F.lit(0.0), lambda total, row: total + row["raw"] * row["raw"]))
+    rows = gathered.select(id_col, norm.alias("_norm"), F.inline("_rows"))
+    return rows.select(id_col, *keep, (F.col("raw") / F.col("_norm")).alias("weight"))
 
 
 def transform_tfidf(model: TfidfModel, df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """`<id, term, weight>`, each text with length 1. Terms outside the vocabulary vanish."""
     counts = term_counts(df, id_col, text_col, model.stop_words)
-    known = lookup_join(counts, model.vocabulary.select("term", "idf"), "term", model.n_terms, id_col)
-    weighted = known.withColumn("raw", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
-    return weighted.select(id_col, "term", (F.col("raw") / norm).alias("weight"))
+    known = lookup_join(counts, model.vocabulary.select("term", "idf", "df"), "term", counts="df", spread_by=id_col)
+    return _weighted(known, id_col, "term")
 
 
-def fit_tfidf_vectors(
-    df: DataFrame, text_col: str = "text", out: str = "features", stop_words=STOP_WORDS, max_terms: int = 1 << 22
-) -> PipelineModel:
-    """MLlib pipeline with the same weights as `transform_tfidf`, as sparse vectors.
+@dataclass
+class TextVectors:
+    """A fitted vocabulary whose terms are numbered 0, 1, .. in md5 order: `<term, df, idf, term_id>`, stored."""
 
-    A linear model holds one number per term on the driver, so the vocabulary is counted first and
-    refused, not cut, above `max_terms`.
-    """
+    terms: DataFrame
+    n_terms: int
+    stop_words: list[str]
+
+    def weights(self, df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+        """`<id, term_id, weight>`, the weights of `transform_tfidf`."""
+        counts = term_counts(df, id_col, text_col, self.stop_words)
+        lookup = self.terms.select("term", "term_id", "idf", "df")
+        return _weighted(lookup_join(counts, lookup, "term", counts="df", spread_by=id_col), id_col, "term_id")
+
+    def transform(self, df: DataFrame, id_col: str = "id", text_col: str = "text", out: str = "features") -> DataFrame:
+        """`df` without its text but with sparse vectors, stored. Rows with one id have one text.
+
+        Vectors are put together in Spark as the columns they consist of, and read back as vectors.
+        """
+        pairs = F.array_sort(F.collect_list(F.struct(F.col("term_id").cast("int").alias("i"), "weight")))
+        distinct = df.select(id_col, text_col).dropDuplicates([id_col])
+        gathered = self.weights(distinct, id_col, text_col).groupBy(id_col).agg(pairs.alias("_pairs"))
+        vector = F.struct(
+            F.lit(0).cast("tinyint").alias("type"),
+            F.lit(self.n_terms).alias("size"),
+            F.coalesce("_pairs.i", F.array().cast("array<int>")).alias("indices"),
+            F.coalesce("_pairs.weight", F.array().cast("array<double>")).alias("values"),
+        )
+        others = [name for name in df.columns if name != text_col]
+        rows = df.select(*others).join(gathered, id_col, "left").select(*others, vector.alias(out))
+        path = new_path(df.sparkSession, "vectors")
+        rows.write.parquet(path)
+        schema = T.StructType([*(df.schema[name] for name in others), T.StructField(out, VectorUDT())])
+        return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def fit_tfidf_vectors(df: DataFrame, text_col: str = "text", stop_words=STOP_WORDS) -> TextVectors:
+    """Vocabulary for sparse vectors. It stays a table of any size; only a model fitted on the vectors holds a number
+    per term. Vectors number their places with 32 bits, so 2 ** 31 terms are the end of the format."""
     model = fit_tfidf(df, text_col, stop_words)
-    if model.n_terms > max_terms:
-        raise ValueError(f"{model.n_terms} terms, more than max_terms={max_terms}; raise it if the driver can hold them")
-    tokens = RegexTokenizer(
-        inputCol=text_col, outputCol="_found", pattern=TERM_PATTERN, gaps=False, toLowercase=True, minTokenLength=2
-    )
-    stops = StopWordsRemover(inputCol="_found", outputCol="_terms", stopWords=list(stop_words), caseSensitive=True)
-    # The texts were read for the vocabulary. Numbering its terms needs the vocabulary alone: one row per term.
-    single = model.vocabulary.select(F.array("term").alias("_terms"))
-    counts = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max(model.n_terms, 1), minDF=1.0).fit(single)
-    idf = dict(model.vocabulary.select("term", "idf").toPandas().itertuples(index=False))
-    weights = Vectors.dense([idf[term] for term in counts.vocabulary])
-    scale = ElementwiseProduct(inputCol="_tf", outputCol="_raw", scalingVec=weights)
-    return PipelineModel([tokens, stops, counts, scale, Normalizer(inputCol="_raw", outputCol=out, p=2.0)])
+    numbered = with_position(model.vocabulary, "term", 0, out="term_id")
+    table = materialize(numbered, "numbered-vocabulary")
+    n_terms = table.count()
+    if n_terms >= 1 << 31:
+        raise ValueError(f"{n_terms} terms: vectors number their places with 32 bits")
+    return TextVectors(table, n_terms, model.stop_words)
 
 
 def words(text: Column) -> Column:
@@ -126,46 +151,46 @@ def words(text: Column) -> Column:
 
 @dataclass
 class WordIds:
-    """Stored table `<word, word_id>` with its counted size; marks have reserved ids."""
+    """Stored table `<word, n_texts, word_id>`; marks have reserved ids."""
 
     table: DataFrame
-    n_words: int
 
 
 def fit_word_ids(df: DataFrame, text_col: str = "text", seed=0) -> WordIds:
     """Number the distinct words 7, 8, ... in md5 order, which needs no global sort."""
-    distinct = df.select(F.explode(words(F.col(text_col))).alias("word")).distinct()
+    found = df.select(F.explode(F.array_distinct(words(F.col(text_col)))).alias("word"))
+    counted = found.groupBy("word").agg(F.count(F.lit(1)).alias("n_texts"))
     # Numbering reads the words twice; stored, the texts are read once.
-    plain = materialize(distinct.filter(~F.col("word").isin(list(RESERVED))), "distinct-words")
+    plain = materialize(counted.filter(~F.col("word").isin(list(RESERVED))), "distinct-words")
     numbered = with_position(plain, "word", seed).select(
-        "word", (F.col("pos") + FIRST_WORD_ID).cast("int").alias("word_id")
+        "word", "n_texts", (F.col("pos") + FIRST_WORD_ID).alias("word_id")
     )
-    table = materialize(numbered, "words")
-    return WordIds(table, table.count())
+    return WordIds(materialize(numbered, "words"))
 
 
 def encode_fixed(ids: WordIds, df: DataFrame, id_col: str = "id", text_col: str = "text", max_length=MAX_LENGTH):
     """Add `input_ids` and `attention_mask`, both exactly `max_length` long.
 
     A text is start, its words, end, then padding; longer texts are cut to fit, which is what a
-    fixed length means. Unseen words share one id. Words are looked up once per text and distinct
-    word position, and gathered per text: a group is at most `max_length` rows.
+    fixed length means. Unseen words share one id. Each text looks its distinct words up once and gets
+    them back as a map of at most `max_length` entries.
     """
-    placed = df.select(id_col, text_col).repartition(id_col)
     kept = F.slice(words(F.col(text_col)), 1, max_length - 2)
-    spread = placed.select(id_col, F.posexplode_outer(kept).alias("at", "word"))
-    looked_up = lookup_join(spread, ids.table, "word", ids.n_words, id_col, "left")
-    word_id = F.col("word_id")
-    for mark, reserved in RESERVED.items():
-        word_id = F.when(F.col("word") == mark, reserved).otherwise(word_id)
-    word_id = F.when(F.col("word").isNotNull(), F.coalesce(word_id, F.lit(UNKNOWN)))
-    pairs = F.when(F.col("at").isNotNull(), F.struct("at", word_id.alias("word_id")))
-    gathered = looked_up.groupBy(id_col).agg(F.array_sort(F.collect_list(pairs)).alias("pairs"))
-    body = F.concat(F.array(F.lit(START)), F.col("pairs.word_id"), F.array(F.lit(END)))
+    placed = df.select(id_col, kept.alias("_words"))
+    spread = placed.select(id_col, F.explode(F.array_distinct("_words")).alias("word"))
+    known = lookup_join(spread, ids.table, "word", counts="n_texts", spread_by=id_col)
+    found = known.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("word", "word_id"))).alias("_ids"))
+
+    def number(word):
+        out = F.coalesce(F.try_element_at("_ids", word), F.lit(UNKNOWN).cast("bigint"))
+        for mark, reserved in RESERVED.items():
+            out = F.when(word == mark, reserved).otherwise(out)
+        return out
+
+    body = F.concat(F.array(F.lit(START)), F.transform("_words", number), F.array(F.lit(END)))
     padding = F.lit(max_length) - F.size("body")
-    return gathered.select(id_col, body.alias("body")).select(
+    return placed.join(found, id_col, "left").select(id_col, body.alias("body")).select(
         id_col,
         F.concat("body", F.array_repeat(F.lit(PAD), padding)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), F.size("body")), F.array_repeat(F.lit(0), padding)).alias("attention_mask"),
     )
-

@@ -1,23 +1,40 @@
-"""Joins of a large table with a lookup table whose size is known."""
+"""Joins of a large table with a lookup table that is unique on its key."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000  # lookup rows of a few dozen bytes each: some tens of MB at most
-SALTS = 16
+# A key with more than one in HEAD of all rows is split; there can be at most HEAD of them.
+HEAD = 1_000
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Do the planner's bytes for `df` (file sizes for a stored table) stay below its broadcast threshold?"""
+    spark = df.sparkSession
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(threshold)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= limit
 
 
 def lookup_join(
-    big: DataFrame, lookup: DataFrame, key: str, lookup_rows: int, spread_by: str, how: str = "inner"
+    big: DataFrame, lookup: DataFrame, key: str, how: str = "inner", counts: str | None = None, spread_by: str | None = None
 ) -> DataFrame:
-    """Join `big` with `lookup` (unique on `key`), whatever the share of one key in `big`.
+    """Join `big` with `lookup`, whatever the share of one key in `big`.
 
-    `lookup_rows` is the counted size of `lookup`. Up to `BROADCAST_ROWS` it is broadcast. Beyond
-    that both sides are shuffled on the key and a salt taken from `spread_by`, so that a key held
-    by a third of all rows is spread over `SALTS` tasks.
+    The planner broadcasts `lookup` by its bytes if it is small enough. Beyond that, without `counts` no key is
+    expected to be frequent (ids, say) and both sides are shuffled on it. With `counts`, a column of `lookup`
+    that says how often each key occurs, every key with more than one in HEAD of all rows is cut into as many
+    parts as its share asks for, by `spread_by`; only those keys of `lookup` are copied.
     """
-    if lookup_rows <= BROADCAST_ROWS:
-        return big.join(F.broadcast(lookup), key, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    if counts is None or fits_broadcast(lookup):
+        columns = [c for c in lookup.columns if c != counts]
+        return big.join(lookup.select(columns), key, how)
+    total = lookup.agg(F.sum(counts)).first()[0] or 0
+    parts = F.ceil(F.col(counts) * HEAD / F.lit(max(total, 1))).cast("int")
+    sized = lookup.withColumn("_parts", F.greatest(parts, F.lit(1)))
+    # Proven size: counts add up to the total, so at most HEAD keys have more than one part.
+    head = sized.filter("_parts > 1").select(key, F.col("_parts").alias("_split"))
+    salt = F.pmod(F.xxhash64(spread_by), F.coalesce("_split", F.lit(1))).cast("int")
+    salted = big.join(F.broadcast(head), key, "left").withColumn("_salt", salt).drop("_split")
+    copies = sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts", counts)
     return salted.join(copies, [key, "_salt"], how).drop("_salt")

@@ -8,21 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.operators.joins import lookup_join
 from tagloom.operators.ordering import take_first
 from tagloom.session import materialize
 
-MAX_LABELLED = 100_000  # vectors of labelled rows that a task may hold; label budgets are thousands
-
-
-def rows_by_id(df: DataFrame, ids: DataFrame, n_ids: int, id_col: str = "id") -> DataFrame:
+def rows_by_id(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows whose id is listed."""
-    return lookup_join(df, ids.select(id_col), id_col, n_ids, id_col, "left_semi")
+    return df.join(ids.select(id_col), id_col, "left_semi")
 
 
-def unlabelled(pool: DataFrame, labelled: DataFrame, n_labelled: int, id_col: str = "id") -> DataFrame:
+def unlabelled(pool: DataFrame, labelled: DataFrame, id_col: str = "id") -> DataFrame:
     """The pool without the rows that are labelled already."""
-    return lookup_join(pool, labelled.select(id_col), id_col, n_labelled, id_col, "left_anti")
+    return pool.join(labelled.select(id_col), id_col, "left_anti")
 
 
 def reveal(picked: DataFrame, truth: DataFrame, id_col: str = "id") -> DataFrame:
@@ -72,13 +68,13 @@ def mean_vectors(df: DataFrame, by: str, vector_col: str) -> DataFrame:
 
 
 def nearest_to_centre(
-    df: DataFrame, centres: DataFrame, n_centres: int, cluster_col: str, vector_col: str, id_col: str = "id"
+    df: DataFrame, centres: DataFrame, cluster_col: str, vector_col: str, id_col: str = "id"
 ) -> DataFrame:
     """`<cluster, id, distance>` of the row nearest its own centre; ties go to the smaller id.
 
     An aggregate, not a window: each task keeps one row per cluster, however large a cluster is.
     """
-    joined = lookup_join(df.select(id_col, cluster_col, vector_col), centres, cluster_col, n_centres, id_col)
+    joined = df.select(id_col, cluster_col, vector_col).join(centres, cluster_col)
     distance = F.sqrt(squared_distance(F.col(vector_col), F.col("centre")))
     best = F.min(F.struct(distance.alias("distance"), F.col(id_col).alias(id_col)))
     return joined.groupBy(cluster_col).agg(best.alias("best")).select(cluster_col, f"best.{id_col}", "best.distance")
@@ -100,7 +96,7 @@ def kmeans_query(
     centres = [(i, [float(x) for x in centre]) for i, centre in enumerate(model.clusterCenters())]
     centres = pool.sparkSession.createDataFrame(centres, "_cluster int, centre array<double>")
     clustered = model.transform(vectors)
-    picks = nearest_to_centre(clustered, centres, n, "_cluster", "_unit", id_col).select(id_col)
+    picks = nearest_to_centre(clustered, centres, "_cluster", "_unit", id_col).select(id_col)
     # At most n ids: fixed on the driver so that the pick is made once.
     ids = [row[0] for row in picks.collect()]
     if len(ids) < n:
@@ -109,21 +105,24 @@ def kmeans_query(
     return pool.filter(F.col(id_col).isin(ids)) if ids else pool.limit(0)
 
 
-def _min_distance(centres: np.ndarray, chunk: int = 512):
-    """Pandas function: array column to distance from the nearest of `centres`."""
+def _distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Distance of each row to the nearest centre; differences come first, so near copies keep their digits."""
+    best = np.full(len(rows), np.inf)
+    for centre in centres:
+        np.minimum(best, ((rows - centre) ** 2).sum(axis=1), out=best)
+    return np.round(np.sqrt(best), 9)
+
 
-    # Nested so that it is shipped by value. The centres are bounded by the label budget.
+def _closer(centres: np.ndarray):
+    """Pandas function: vectors and their distance so far to the distance with `centres` added."""
+
+    # Nested so that it is shipped by value; callers bound the number of centres.
     @F.pandas_udf("double")
-    def nearest(vectors: pd.Series) -> pd.Series:
+    def nearest(vectors: pd.Series, so_far: pd.Series) -> pd.Series:
         if len(vectors) == 0:
             return pd.Series([], dtype="float64")
         rows = np.stack(vectors.to_numpy()).astype("float64")
-        best = np.full(len(rows), np.inf)
-        for at in range(0, len(centres), chunk):
-            part = centres[at : at + chunk]
-            squares = (rows**2).sum(1)[:, None] + (part**2).sum(1)[None, :] - 2.0 * rows @ part.T
-            best = np.minimum(best, np.round(np.sqrt(np.maximum(squares.min(1), 0.0)), 9))
-        return pd.Series(best)
+        return pd.Series(np.minimum(so_far.to_numpy(), _distances(rows, centres)))
 
     return nearest
 
@@ -136,35 +135,46 @@ def coreset_query(
     id_col: str = "id",
     normalize: bool = True,
     candidates: int | None = None,
+    block: int = 4_096,
 ) -> DataFrame:
     """`<id, picked_rank>`: greedy k-centre, `n` times the row farthest from all labelled or picked.
 
     Exact, but with far fewer passes than picks. A pass takes the `candidates` farthest rows. Distances
     only ever shrink, so while a candidate is still at least as far as the last one of the list, no
     row outside the list can beat it and it may be picked without looking at the pool again.
-    `labelled` is bounded by the label budget, the candidate list by its parameter.
+    Each row's distance so far is stored; labelled rows are taken in blocks of `block` vectors and a pass compares
+    the pool with the rows picked since the last one only. NULL vectors are an error.
     """
     spark = pool.sparkSession
     vector = F.col(vector_col)
     vector = unit(vector) if normalize else vector.cast("array<double>")
-    points = pool.select(id_col, vector.alias("_point"))
+    state = pool.select(id_col, vector.alias("_point"), F.lit(float("inf")).alias("_distance"))
+    known = materialize(labelled.select(id_col, vector.alias("_point")), "labelled-points")
+    missing = F.count_if(F.col("_point").isNull())
+    bad = state.agg(missing).first()[0] + known.agg(missing).first()[0]
+    if bad:
+        raise ValueError(f"{bad} rows without a vector in {vector_col}")
     size = candidates or max(256, 2 * n)
-    known = labelled.select(vector).limit(MAX_LABELLED + 1).collect()
-    if len(known) > MAX_LABELLED:
-        raise ValueError(f"more than {MAX_LABELLED} labelled rows: far beyond any label budget")
-    centres = [np.asarray(row[0], dtype="float64") for row in known]
+    blocks = -(-known.count() // block)
+    bucket = F.pmod(F.xxhash64(id_col), F.lit(max(blocks, 1)))
+    for at in range(blocks):
+        rows = known.filter(bucket == at).select("_point").collect()  # about one block
+        if rows:
+            centres = np.array([row[0] for row in rows], dtype="float64")
+            state = materialize(state.withColumn("_distance", _closer(centres)("_point", "_distance")), "distances")
+    if not blocks:
+        state = materialize(state, "distances")
     picked: list = []
     while len(picked) < n:
-        distance = _min_distance(np.array(centres))("_point") if centres else F.lit(float("inf"))
-        rest = points.filter(~F.col(id_col).isin(picked)) if picked else points
+        rest = state.filter(~F.col(id_col).isin(picked)) if picked else state
         # Ids and distances first: vectors are fetched only for the rows of the list.
-        order = rest.select(id_col, distance.alias("_distance")).orderBy(F.desc("_distance"), id_col)
+        order = rest.select(id_col, "_distance").orderBy(F.desc("_distance"), id_col)
         listed = [(row[0], row[1]) for row in order.limit(size).collect()]
         if not listed:
             break
         whole_pool = len(listed) < size
-        ids = spark.createDataFrame([(i,) for i, _ in listed], T.StructType([points.schema[id_col]]))
-        found = {row[0]: row[1] for row in points.join(F.broadcast(ids), id_col, "left_semi").collect()}
+        ids = spark.createDataFrame([(i,) for i, _ in listed], T.StructType([state.schema[id_col]]))
+        found = {row[0]: row[1] for row in state.select(id_col, "_point").join(F.broadcast(ids), id_col, "left_semi").collect()}
         rows = np.array([found[i] for i, _ in listed], dtype="float64")
         far = np.array([d for _, d in listed])
         # Positions in the list are in (distance desc, id asc) order, so they also break ties.
@@ -172,21 +182,19 @@ def coreset_query(
         id_rank = np.array([by_id[i] for i, _ in listed])
         bound, bound_rank = far[-1], id_rank[-1]
         open_rows = np.ones(len(listed), dtype=bool)
+        new = []
         while len(picked) < n and open_rows.any():
             top = np.lexsort((id_rank, -far, ~open_rows))[0]
             safe = far[top] > bound or (far[top] == bound and id_rank[top] <= bound_rank)
             if not (safe or whole_pool):
                 break
             picked.append(listed[top][0])
-            centres.append(rows[top])
+            new.append(rows[top])
             open_rows[top] = False
-            far = np.minimum(far, _distances_to(rows, rows[top]))
+            far = np.minimum(far, _distances(rows, rows[top : top + 1]))
+        if len(picked) < n and new:
+            closer = _closer(np.array(new))("_point", "_distance")
+            state = materialize(state.withColumn("_distance", closer), "distances")
     picks = [(i, rank) for rank, i in enumerate(picked)]
-    schema = T.StructType([points.schema[id_col], T.StructField("picked_rank", T.IntegerType(), False)])
+    schema = T.StructType([state.schema[id_col], T.StructField("picked_rank", T.IntegerType(), False)])
     return spark.createDataFrame(picks, schema)
-
-
-def _distances_to(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
-    """Distance of each row to one point, rounded as in `_min_distance`."""
-    squares = (rows**2).sum(1) + (point**2).sum() - 2.0 * rows @ point
-    return np.round(np.sqrt(np.maximum(squares, 0.0)), 9)

@@ -6,6 +6,7 @@ pool, and a lost executor costs one task, not the run.
 """
 
 import json
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
@@ -18,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.operators.features import fit_tfidf_vectors
-from tagloom.operators.joins import lookup_join
 from tagloom.operators.metrics import set_scores
 from tagloom.operators.sampling import TooFewRows, class_sizes, cold_start, flag_al_validation, flag_sl_validation
 from tagloom.operators.select import (
@@ -114,7 +114,7 @@ def _query_least_confident(state: Round) -> DataFrame:
 
 
 def _query_kmeans(state: Round) -> DataFrame:
-    seed = sum(state.seed.encode())
+    seed = zlib.crc32(state.seed.encode())
     return kmeans_query(state.pool.select("id", state.vector_col), state.n, seed, state.vector_col)
 
 
@@ -149,11 +149,7 @@ def classifier_from(params: dict) -> Callable[[int], Estimator]:
 def text_sets(train: DataFrame, tests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add `features` to both: TF-IDF fitted on the training texts. Stored, since every round reads them."""
     model = fit_tfidf_vectors(train)
-
-    def with_features(df: DataFrame, name: str) -> DataFrame:
-        return materialize(model.transform(df).select(*(c for c in df.columns if c != "text"), "features"), name)
-
-    return with_features(train, "train-features"), with_features(tests, "test-features")
+    return model.transform(train), model.transform(tests)
 
 
 def load_text_sets(spark: SparkSession, path: str, params: dict) -> tuple[DataFrame, DataFrame]:
@@ -234,7 +230,7 @@ def run_active(train: DataFrame, tests: DataFrame, settings: Settings, classifie
         initial = flag_al_validation(initial, settings.init_n, settings.seed)
     else:
         initial = initial.withColumn("is_valid", F.lit(False))
-    start = lookup_join(train, initial.select("id", "is_valid"), "id", settings.init_n, "id")
+    start = train.join(initial.select("id", "is_valid"), "id")
     start.write.parquet(f"{result.labelled_path}/round=0")
     n_labelled = settings.init_n
 
@@ -248,14 +244,14 @@ def run_active(train: DataFrame, tests: DataFrame, settings: Settings, classifie
             return result
         iteration += 1
         state = Round(
-            pool=unlabelled(train, labelled, n_labelled),
+            pool=unlabelled(train, labelled),
             labelled=labelled,
             model=model,
             n=n,
             seed=f"{settings.seed}:{iteration}",
             vector_col=vector_col,
         )
-        picks = rows_by_id(train, strategy(state), n).withColumn("is_valid", F.lit(False))
+        picks = rows_by_id(train, strategy(state)).withColumn("is_valid", F.lit(False))
         path = f"{result.labelled_path}/round={iteration}"
         picks.write.parquet(path)
         picked = spark.read.parquet(path).count()

@@ -55,30 +55,43 @@ def test_tfidf_against_brute_force(spark, docs):
 
 
 def test_tfidf_with_a_vocabulary_too_large_to_broadcast(docs, monkeypatch):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
     close(as_dict(X.transform_tfidf(X.fit_tfidf(docs), docs)), brute(DOCS, DOCS))
 
 
-def test_vectors_have_the_same_weights(docs):
-    pipeline = X.fit_tfidf_vectors(docs)
-    vocabulary = pipeline.stages[2].vocabulary
-    want = brute(DOCS, DOCS)
-    got = {}
-    for row in pipeline.transform(docs).collect():
+def test_vectors_have_the_same_weights(spark, docs):
+    vectors = X.fit_tfidf_vectors(docs)
+    vocabulary = {row.term_id: row.term for row in vectors.terms.collect()}
+    assert sorted(vocabulary) == list(range(vectors.n_terms))
+    got, rows = {}, vectors.transform(docs).collect()
+    for row in rows:
+        assert row.features.size == vectors.n_terms
         got |= {(row.id, vocabulary[i]): v for i, v in zip(row.features.indices, row.features.values)}
-    close(got, want)
-    with pytest.raises(ValueError, match="max_terms"):
-        X.fit_tfidf_vectors(docs, max_terms=2)
+    close(got, brute(DOCS, DOCS))
+    assert sorted(row.id for row in rows) == [1, 2, 3, 4, 5]
+    again = {row.term: row.term_id for row in X.fit_tfidf_vectors(docs.repartition(7)).terms.collect()}
+    assert again == {term: i for i, term in vocabulary.items()}
 
 
-@pytest.mark.parametrize("limit", [0, 100])
+def test_vectors_with_a_term_in_every_text(spark, monkeypatch):
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(joins, "HEAD", 50)
+    rows = [(i, f"common common word{i} word{i % 7}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    close(as_dict(X.transform_tfidf(X.fit_tfidf(df), df)), brute(rows, rows))
+
+
+@pytest.mark.parametrize("fits", [True, False])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_lookup_join_paths_agree(spark, monkeypatch, limit, how):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
+def test_lookup_join_paths_agree(spark, monkeypatch, fits, how):
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df: fits)
     big = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).alias("k"))
     lookup = spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    got = sorted(tuple(r) for r in lookup_join(big, lookup, "k", 10, "id", how).select("id", "k").collect())
-    assert got == sorted(tuple(r) for r in big.join(lookup, "k", how).select("id", "k").collect())
+    counted = lookup.join(big.groupBy("k").count(), "k", "left").fillna(0)
+    got = lookup_join(big, counted, "k", how, counts="count", spread_by="id")
+    want = big.join(lookup, "k", how)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_encode_fixed(spark):

@@ -72,7 +72,7 @@ def test_nearest_to_centre(spark):
         "id long, c int, embedding array<double>",
     )
     centres = Q.mean_vectors(df, "c", "embedding")
-    got = Q.nearest_to_centre(df, centres, 2, "c", "embedding").orderBy("c").collect()
+    got = Q.nearest_to_centre(df, centres, "c", "embedding").orderBy("c").collect()
     assert [(r.c, r.id) for r in got] == [(0, 3), (1, 4)]
 
 
@@ -86,8 +86,8 @@ def test_vector_helpers(spark):
 def test_pool_joins(spark):
     pool = spark.range(20)
     labelled = spark.range(5)
-    assert sorted(r.id for r in Q.unlabelled(pool, labelled, 5).collect()) == list(range(5, 20))
-    assert sorted(r.id for r in Q.rows_by_id(pool, labelled, 5).collect()) == list(range(5))
+    assert sorted(r.id for r in Q.unlabelled(pool, labelled).collect()) == list(range(5, 20))
+    assert sorted(r.id for r in Q.rows_by_id(pool, labelled).collect()) == list(range(5))
     assert Q.extend(labelled, spark.range(5, 8)).count() == 8
 
 

@@ -11,6 +11,7 @@ from tagloom.operators.features import (
     WORD_PATTERN,
     encode_fixed,
     fit_tfidf,
+    fit_tfidf_vectors,
     fit_word_ids,
     transform_tfidf,
 )
@@ -54,6 +55,21 @@ def tfidf_transform(spark, folder):
     return _rounded(transform_tfidf(fit_tfidf(train), test, "doc_id"))
 
 
+@query(
+    "tfidf_vectors",
+    f"""WITH weights AS ({TFIDF} WHERE NOT is_test),
+        numbered AS (SELECT term, {sql_rank('term', '0')} - 1 AS term_id FROM (SELECT DISTINCT term FROM weights))
+        SELECT doc_id, term_id, weight FROM weights JOIN numbered USING (term)""",
+)
+def tfidf_vectors(spark, folder):
+    """The stored vectors, taken apart again."""
+    train, _ = _parts(spark, folder)
+    vectors = fit_tfidf_vectors(train).transform(train, "doc_id")
+    parts = F.unwrap_udt("features")
+    pairs = F.arrays_zip(parts["indices"].alias("term_id"), parts["values"].alias("weight"))
+    return _rounded(vectors.select("doc_id", F.inline(pairs)).withColumn("term_id", F.col("term_id").cast("bigint")))
+
+
 ENCODE = f"""
   WITH cleaned AS (SELECT doc_id, {sql_clean('text')} AS text FROM documents),
   found AS (SELECT doc_id, regexp_extract_all(text, {quote(WORD_PATTERN)}) AS words FROM cleaned),

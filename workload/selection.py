@@ -35,7 +35,7 @@ def _labelled(vectors):
 
 
 def _pool(vectors):
-    return unlabelled(vectors, _labelled(vectors), N_LABELLED, "vec_id")
+    return unlabelled(vectors, _labelled(vectors), "vec_id")
 
 
 PICKED = f"SELECT vec_id FROM ({POOL}) QUALIFY {sql_rank('vec_id', 'next')} <= {N_QUERY}"
@@ -49,7 +49,7 @@ def query_random(spark, folder):
 @query("rows_by_ids", f"SELECT vec_id, label FROM embeddings WHERE vec_id IN ({LABELLED_IDS})")
 def rows_by_ids(spark, folder):
     vectors = _vectors(spark, folder).select("vec_id", "label")
-    return rows_by_id(vectors, _labelled(vectors.select("vec_id")), N_LABELLED, "vec_id")
+    return rows_by_id(vectors, _labelled(vectors.select("vec_id")), "vec_id")
 
 
 @query(
@@ -60,7 +60,7 @@ def rows_by_ids(spark, folder):
 def pool_update(spark, folder):
     ids = _vectors(spark, folder).select("vec_id")
     labelled = extend(_labelled(ids), random_query(_pool(ids), N_QUERY, "next", "vec_id"))
-    rest = unlabelled(ids, labelled, N_LABELLED + N_QUERY, "vec_id")
+    rest = unlabelled(ids, labelled, "vec_id")
     return labelled.withColumn("part", F.lit("labelled")).unionByName(rest.withColumn("part", F.lit("pool")))
 
 
@@ -133,7 +133,7 @@ def set_scores_embeddings(spark, folder):
 def nearest_to_centre_labels(spark, folder):
     vectors = _vectors(spark, folder)
     centres = mean_vectors(vectors, "label", "embedding")
-    nearest = nearest_to_centre(vectors, centres, centres.count(), "label", "embedding", "vec_id")
+    nearest = nearest_to_centre(vectors, centres, "label", "embedding", "vec_id")
     return nearest.withColumn("distance", F.round("distance", 6))
 
 
