@@ -40,7 +40,7 @@ from tagloom.session import materialize, spread
 WINDOW = 50
 RUN = 8  # words in an anchor
 GROUP = 1_000  # documents of an anchor that are gathered into one tree
-PART_ROWS = 4_000  # stretches in one part, about 72 words each
+PART_ROWS = 2_000  # stretches in one part, about 72 words each
 
 _LAST = (1 << 63) - 1
 
@@ -148,7 +148,8 @@ def _trees(frame):
     """Removed spans `<doc, words_sha256, a, b>` (words a to b, exclusive) of one part of anchor groups."""
     import pandas as pd
 
-    empty = pd.DataFrame({"doc": [], "words_sha256": [], "a": [], "b": []})
+    none = np.zeros(0, np.int64)
+    empty = pd.DataFrame({"doc": none, "words_sha256": none.astype(object), "a": none, "b": none})
     texts = pa.array(frame["words"], pa.string())
     out = []
     kept = ("doc", "words_sha256", "start", "count")
@@ -183,22 +184,26 @@ def _trees(frame):
 
 
 def _digests(batches):
-    """One row for each window of crowded stretches: `<doc, words_sha256, at, window>`."""
+    """One row for each distinct window of a crowded stretch, with its places: `<doc, words_sha256, at, window>`."""
     for batch in batches:
         out: dict[str, list] = {"doc": [], "words_sha256": [], "at": [], "window": []}
         columns = (batch.column(c).to_pylist() for c in ("doc", "words_sha256", "start", "count", "words"))
         for doc, key, start, count, words in zip(*columns, strict=True):
             words = words.encode().split()
+            places: dict[bytes, list[int]] = {}
             for i in range(count):
+                window = hashlib.md5(b" ".join(words[i : i + WINDOW])).digest()
+                places.setdefault(window, []).append(start + i)
+            for window, at in places.items():
                 out["doc"].append(doc)
                 out["words_sha256"].append(key)
-                out["at"].append(start + i)
-                out["window"].append(hashlib.md5(b" ".join(words[i : i + WINDOW])).digest())
+                out["at"].append(at)
+                out["window"].append(window)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(out["doc"], pa.int64()),
                 pa.array(out["words_sha256"], pa.string()),
-                pa.array(out["at"], pa.int64()),
+                pa.array(out["at"], pa.list_(pa.int64())),
                 pa.array(out["window"], pa.binary()),
             ],
             names=list(out),
@@ -287,13 +292,14 @@ def _analyze(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         .applyInPandas(lambda frame: _trees(frame), _SPAN)
     )
     windows = stretches.filter("crowded").mapInArrow(
-        _digests, "doc bigint, words_sha256 string, at bigint, window binary"
+        _digests, "doc bigint, words_sha256 string, at array<bigint>, window binary"
     )
     least = windows.groupBy("window").agg(F.min("doc").alias("least"))
     hot = (
         windows.join(least, "window")
         .filter("least < doc")
-        .select("doc", "words_sha256", F.col("at").alias("a"), (F.col("at") + WINDOW).alias("b"))
+        .select("doc", "words_sha256", F.explode("at").alias("a"))
+        .withColumn("b", F.col("a") + WINDOW)
     )
     spans = (
         trees.unionByName(hot)
