@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.numbers import count_where
 from tagloom.functions.text import EMOJI, URL, clean_text, only_mark
+from tagloom.session import materialize
 
 
 def drop_missing(df: DataFrame, col: str = "text") -> DataFrame:
@@ -27,15 +28,34 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+class RepeatedIds(ValueError):
+    """An id stands for more than one row."""
+
+
+def repeated_rows(df: DataFrame, col: str = "clean_text", id_col: str = "id") -> DataFrame:
+    """`<id>` of the rows whose text already occurs with a smaller id. An id that occurs twice is an error.
+
+    Only ids and digests are shuffled, and they are stored, so the texts are read once for it. The smallest id per
+    digest is combined before the shuffle, so a text that fills a third of the table costs one row per task.
+    """
+    keys = materialize(df.select(id_col, text_digest(F.col(col)).alias("_digest")), "digests")
+    twice = keys.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
+    if twice:
+        raise RepeatedIds(f"{id_col} {twice[0][0]} stands for {twice[0]['n']} rows")
+    firsts = keys.groupBy("_digest").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    # Rows without a text share a NULL digest; like any other repeated text they leave their first row.
+    same = keys["_digest"].eqNullSafe(firsts["_digest"])
+    return keys.join(firsts.select("_digest", "_first"), same).filter(F.col(id_col) > F.col("_first")).select(id_col)
+
+
 def keep_first(df: DataFrame, col: str = "clean_text", id_col: str = "id") -> DataFrame:
     """Of the rows with equal text keep the one with the smallest id.
 
-    The smallest id per digest is combined before the shuffle, so a text that fills a third of the
-    table costs one row per task. Full rows meet the surviving ids on the id, which is unique and
-    spreads evenly; long texts are never a shuffle key.
+    Few rows lose, so the losers are stored by id and left out: texts stay where they are if the planner can
+    broadcast that table, and never are a shuffle key.
     """
-    survivors = df.groupBy(text_digest(F.col(col)).alias("_digest")).agg(F.min(id_col).alias(id_col)).select(id_col)
-    return df.join(survivors, id_col, "left_semi")
+    losers = materialize(repeated_rows(df, col, id_col), "repeated")
+    return df.join(losers, id_col, "left_anti")
 
 
 def clean_rows(df: DataFrame, id_col: str = "id", text_col: str = "text", entities: str = "full") -> DataFrame:

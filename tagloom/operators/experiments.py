@@ -119,9 +119,21 @@ def experiment_status(files: DataFrame, expected: DataFrame | None = None) -> Da
     return counts.withColumn("status", status)
 
 
-def overlapping(statuses: DataFrame) -> DataFrame:
-    """Folders with more than one status row; empty when the lists do not overlap."""
-    return statuses.groupBy("folder").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+def status_lists(statuses: DataFrame) -> DataFrame:
+    """`<folder, list>`: the lists of failed, running and not started experiments, each by its own condition on the
+    files of a folder that has no END."""
+    lists = {
+        "failed": F.col("n_failed") >= 1,
+        "running": (F.col("n_start") >= 1) & (F.col("n_failed") == 0),
+        "non_starter": F.col("n_start") == 0,
+    }
+    named = F.array_compact(F.array(*(F.when(condition, F.lit(name)) for name, condition in lists.items())))
+    return statuses.filter("n_end = 0").select("folder", F.explode(named).alias("list"))
+
+
+def overlapping(lists: DataFrame) -> DataFrame:
+    """`<folder, n>`: folders on more than one list, such as one that failed without ever having started."""
+    return lists.groupBy("folder").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 def summarize(files: DataFrame) -> DataFrame:

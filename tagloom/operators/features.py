@@ -54,13 +54,16 @@ class TfidfModel:
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, stop_words=STOP_WORDS) -> DataFrame:
     """`<id, term, tf>`. Terms are counted inside each text, so no text and no term is shuffled for it."""
-    listed = F.array_sort(terms(F.col(text_col)))
+    listed = F.sort_array(terms(F.col(text_col)))
     # Equal terms are neighbours: a term's count is the gap between places where the term changes.
+    # No filter on empty lists: it would be pushed to the scan and find all terms twice.
+    places = F.when(F.size("_terms") > 0, F.sequence(F.lit(0), F.size("_terms") - 1)).otherwise(F.array().cast("array<int>"))
     starts = F.filter(
-        F.sequence(F.lit(0), F.size("_terms") - 1),
+        places,
         lambda i: (i == 0) | (F.get("_terms", i) != F.coalesce(F.get("_terms", i - 1), F.lit(""))),
     )
-    found = df.select(id_col, listed.alias("_terms")).filter(F.size("_terms") > 0).select(id_col, "_terms", starts.alias("_at"))
+    found = df.select(id_col, F.coalesce(listed, F.array().cast("array<string>")).alias("_terms"))
+    found = found.select(id_col, "_terms", starts.alias("_at"))
     runs = F.transform(
         "_at",
         lambda at, i: F.struct(

@@ -48,8 +48,13 @@ def with_position(df: DataFrame, id_col: str, seed, groups: list[str] | None = N
     groups = list(groups or ["_all"])
     starts = _bucket_starts(keyed, groups).select(*groups, BUCKET, START)
     within = Window.partitionBy(*groups, BUCKET).orderBy(KEY, id_col)
+    names = [*groups, BUCKET]
+    starts = starts.select(*(F.col(name).alias(f"_at_{name}") for name in names), START)
+    same = keyed[names[0]].eqNullSafe(starts[f"_at_{names[0]}"])  # rows without a group form one
+    for name in names[1:]:
+        same = same & keyed[name].eqNullSafe(starts[f"_at_{name}"])
     return (
-        keyed.join(starts, [*groups, BUCKET])
+        keyed.join(starts, same)
         .withColumn(out, F.col(START) + F.row_number().over(within) - 1)
         .select(*df.columns, out)
     )

@@ -53,11 +53,13 @@ def budget_sample(
     The share is part of the seed, because samples of different shares are drawn independently.
     """
     n_neg, n_pos, _ = budget_parts(budget, neg_share)
-    _require(class_sizes(df, label_col), n_neg, n_pos)
     seed = f"{seed}:{neg_share}"
-    # The sample is as small as its budget; stored, it is not drawn again to be put in order.
-    sample = materialize(take_first(df, id_col, seed, per_class(label_col, n_neg, n_pos), label_col), "sample")
-    return with_position(sample, id_col, f"{seed}:order")
+    # Ids and labels are stored once and drawn from; the other columns are fetched last, for the sample alone.
+    keys = materialize(df.select(id_col, label_col), "labels")
+    _require(class_sizes(keys, label_col), n_neg, n_pos)
+    drawn = take_first(keys, id_col, seed, per_class(label_col, n_neg, n_pos), label_col)
+    ordered = with_position(materialize(drawn.select(id_col), "sample"), id_col, f"{seed}:order")
+    return df.join(materialize(ordered, "ordered-sample"), id_col).select(*df.columns, "pos")
 
 
 def shuffled(df: DataFrame, seed=0, id_col: str = "id") -> DataFrame:

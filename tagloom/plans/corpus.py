@@ -25,7 +25,7 @@ from tagloom.operators.sampling import (
     shuffled,
 )
 from tagloom.session import materialize
-from tagloom.sources.corpora import BASE, write_sample
+from tagloom.sources.corpora import BASE, read_base, write_sample
 
 
 def voted_corpus(comments: DataFrame, votes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,10 +40,7 @@ def voted_corpus(comments: DataFrame, votes: DataFrame) -> tuple[DataFrame, Data
 
 
 def category_corpus(tweets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(train, test) `<id, text, label>` from rows with one category each and no split.
-
-    `tweets` must carry an `id` that stays the same between jobs.
-    """
+    """(train, test) `<id, text, label>` from rows `<id, tweet, label>` with one category each and no split."""
     rows = tweets.select("id", F.col("tweet").alias("text"), binarize(F.col("label")).alias("label"))
     # Three passes of the split read this, so the cleaning must not run three times.
     return random_split(materialize(_with_clean_text(rows, []), "corpus"))
@@ -88,12 +85,11 @@ def store_sets(
     seed=0,
 ) -> None:
     """Write both base sets and, from what was written, every class-balanced sample."""
+    spark = train.sparkSession
     weak = add_weak_label(train, keywords).withColumn("weak_label", F.col("weak_pos_keywords"))
-    weak = materialize(weak, "base-train")
-    test = materialize(test, "base-test")
-    write_sample(shuffled(weak, seed), path, dataset, "train", BASE)
-    write_sample(shuffled(test, seed), path, dataset, "test", BASE)
-    for split, base, budget in (("test", test, test_budget), ("train", weak, train_budget)):
+    for split, rows, budget in (("test", test, test_budget), ("train", weak, train_budget)):
+        write_sample(shuffled(rows, seed), path, dataset, split, BASE)
+        base = read_base(spark, path, dataset, split).drop("pos")
         for share in neg_shares:
             sample = budget_sample(base, budget, share, seed)
             pos_pct = budget_parts(budget, share)[2]

@@ -14,10 +14,12 @@ from math import ceil
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.functions import vector_to_array
+from pyspark.errors import AnalysisException
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.operators.experiments import experiment_key
 from tagloom.operators.features import fit_tfidf_vectors
 from tagloom.operators.metrics import set_scores
 from tagloom.operators.sampling import TooFewRows, class_sizes, cold_start, flag_al_validation, flag_sl_validation
@@ -79,8 +81,9 @@ def logistic(n_rows: int, max_iter: int = 3) -> Estimator:
     return LogisticRegression(maxIter=max_iter, family="binomial")
 
 
-def fit(classifier: Callable[[int], Estimator], rows: DataFrame) -> Model:
-    """Fit on `<label, features>`. An SVM needs both classes."""
+def fit(classifier: Callable[[int], Estimator], rows: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> Model:
+    """Fit on `<label, features>`. An SVM needs both classes. `rows_per_task` says how small a labelled set may be per
+    task before it is put into fewer; wide rows want fewer rows in a task."""
     sizes = class_sizes(rows, "label")
     n_rows = sum(sizes.values())
     estimator = classifier(n_rows)
@@ -89,7 +92,7 @@ def fit(classifier: Callable[[int], Estimator], rows: DataFrame) -> Model:
     rows = rows.select(F.col("label").cast("double").alias("label"), "features")
     # Solvers run one job per step. A labelled set of a few thousand rows belongs in one task; a large
     # one has more partitions than this and keeps them as they are, since coalesce never adds any.
-    return estimator.fit(rows.coalesce(ceil(n_rows / ROWS_PER_TASK) or 1))
+    return estimator.fit(rows.coalesce(ceil(n_rows / rows_per_task) or 1))
 
 
 def predict(model: Model, rows: DataFrame) -> DataFrame:
@@ -272,50 +275,128 @@ def run_once(train, tests, settings: Settings, classifier=svm, vector_col=None)
 
 @dataclass
 class Experiment:
-    """All runs of one experiment, in long form, and its status events."""
+    """Stored tables of one experiment below `root`, and what ended it if that was a failure."""
 
-    metrics: DataFrame  # experiment, run, iteration, metric, value
-    predictions: DataFrame | None  # experiment, run, iteration, test_set, id, label, prediction
-    status: DataFrame  # folder, file_name, content
+    name: str
+    root: str
+    spark: SparkSession
+    error: Exception | None = None
+
+    def _own(self, table: str, key: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{table}").filter(F.col(key) == self.name)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    @property
+    def metrics(self) -> DataFrame:
+        """`<experiment, run, iteration, metric, value>`"""
+        return self._own("metrics", "experiment", METRICS_SCHEMA).select("experiment", "run", "iteration", "metric", "value")
+
+    @property
+    def predictions(self) -> DataFrame:
+        """`<experiment, run, iteration, test_set, id, label, prediction>`"""
+        schema = f"test_set string, id {self.id_type}, label int, prediction int, iteration int, experiment string, run string"
+        return self._own("predictions", "experiment", schema)
+
+    @property
+    def status(self) -> DataFrame:
+        """`<folder, file_name, content>`"""
+        return self._own("status", "folder", STATUS_SCHEMA)
+
+    id_type: str = "bigint"
+
+    def check(self) -> "Experiment":
+        """Itself, or the failure that ended it."""
+        if self.error is not None:
+            raise self.error
+        return self
+
+
+METRICS_SCHEMA = "iteration int, metric string, value double, experiment string, run string"
+STATUS_SCHEMA = "folder string, file_name string, content string"
 
 
 def run_experiment(
-    train, tests, settings: Settings, name: str, run_n: int = 3, classifier=svm, vector_col=None, params=None
+    train, tests, settings: Settings, name: str, run_n: int = 3, classifier=svm, vector_col=None, params=None, root=None
 ) -> Experiment:
-    """Repeat a run for seeds 0..run_n-1. A run that fails ends the experiment with a FAILED event;
-    the runs before it are kept."""
+    """Repeat a run for seeds 0..run_n-1, storing everything below `root` as it happens.
+
+    START is written before the first run and predictions and metrics after each, so another driver sees what runs, and
+    a driver that takes over after a loss goes on behind the last stored run. END or FAILED comes last. A run that
+    fails ends the experiment; the runs before it stay. The caller sees the failure by `check()`.
+    """
     spark = train.sparkSession
     params = dict(params or {})
-    events, metric_rows, predictions, nested = [], [], None, {}
+    kind = train.schema["id"].dataType.simpleString()
+    experiment = Experiment(name, root or new_path(spark, "experiment"), spark, id_type=kind)
 
     def event(kind: str, record: dict) -> None:
         stamp = datetime.now(timezone.utc).strftime(STAMP)
-        events.append((name, f"{kind}_{stamp}.json", json.dumps(record)))
+        rows = [(name, f"{kind}_{stamp}.json", json.dumps(record))]
+        write_status(spark.createDataFrame(rows, STATUS_SCHEMA), f"{experiment.root}/status")
 
+    stored = {row["run"] for row in experiment.metrics.select("run").distinct().collect()}
     event("START", params)
     try:
         for seed in range(run_n):
-            result = run_once(train, tests, replace(settings, seed=seed), classifier, vector_col)
             run = f"run_{seed}"
-            nested[run] = {str(i): metrics for i, metrics in result.metrics.items()}
-            for iteration, metrics in result.metrics.items():
-                metric_rows += [(name, run, iteration, metric, value) for metric, value in metrics.items()]
+            if run in stored:
+                continue
+            result = run_once(train, tests, replace(settings, seed=seed), classifier, vector_col)
             rows = result.predictions(spark).filter(F.col("test_set") != TRAIN_SET)
-            rows = rows.withColumns({"experiment": F.lit(name), "run": F.lit(run)})
-            predictions = rows if predictions is None else predictions.unionByName(rows)
+            write_run_table(
+                rows.withColumns({"experiment": F.lit(name), "run": F.lit(run)}), f"{experiment.root}/predictions"
+            )
+            # Metrics last: a run counts as stored when they are there.
+            metric_rows = [
+                (iteration, metric, value, name, run)
+                for iteration, metrics in result.metrics.items()
+                for metric, value in metrics.items()
+            ]
+            write_run_table(spark.createDataFrame(metric_rows, METRICS_SCHEMA), f"{experiment.root}/metrics")
+        nested: dict[str, dict[str, dict[str, float]]] = {}
+        for row in experiment.metrics.collect():  # a few numbers per run and iteration
+            nested.setdefault(row["run"], {}).setdefault(str(row["iteration"]), {})[row["metric"]] = row["value"]
         event("END", params | {"results_dict": nested, "Error_Code": "NONE"})
     except Exception as error:  # any failure is a result of the experiment
         event("FAILED", params | {"Error_Code": str(error)})
-    metrics = spark.createDataFrame(
-        metric_rows, "experiment string, run string, iteration int, metric string, value double"
-    )
-    status = spark.createDataFrame(events, "folder string, file_name string, content string")
-    return Experiment(metrics, predictions, status)
+        experiment.error = error
+    return experiment
+
+
+def load_vector_sets(
+    spark: SparkSession, path: str, params: dict, embeddings: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Stored training sample and test sets of a grid row, with the stored `<id, embedding>` of their rows."""
+    vector = array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+    vectors = embeddings.select("id", "embedding", vector)
+    train = read_train(spark, path, params["dataset"], params["train_n"], params["class_imbalance"])
+    tests = read_tests(spark, path, params["dataset"], params["test_n"])
+    stored = [materialize(rows.drop("text").join(vectors, "id"), "vectors") for rows in (train, tests)]
+    if stored[0].count() < train.count() or stored[1].count() < tests.count():
+        raise ValueError("rows of the stored sets have no embedding")
+    return stored[0], stored[1]
+
 
+def run_grid_row(
+    spark: SparkSession, path: str, params: dict, root: str, embeddings: DataFrame | None = None, **changes
+) -> Experiment:
+    """One row of a parameter grid on the sets stored below `path`, its results stored below `root`.
 
-def store_experiment(experiment: Experiment, root: str) -> None:
-    """Write metrics, predictions and status events below `root`; runs stored before are replaced."""
-    if experiment.predictions is not None:
-        write_run_table(experiment.metrics, f"{root}/metrics")
-        write_run_table(experiment.predictions, f"{root}/predictions")
-    write_status(experiment.status, f"{root}/status")
+    SK rows learn from the texts, TF rows from `embeddings`. `changes` replace settings such as the label budget.
+    """
+    row = spark.createDataFrame([{k: v for k, v in params.items() if v is not None}])
+    name = row.select(experiment_key(row)).first()[0]
+    settings = replace(settings_from(params), **changes)
+    if params["framework"] == "TF":
+        if embeddings is None:
+            raise ValueError("TF rows need the embeddings of their rows")
+        train, tests = load_vector_sets(spark, path, params, embeddings)
+    else:
+        train, tests = load_text_sets(spark, path, params)
+    vector_col = "embedding" if params["framework"] == "TF" else None
+    runs = params.get("run_n") or 3
+    return run_experiment(train, tests, settings, name, runs, classifier_from(params), vector_col, params, root)

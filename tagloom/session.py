@@ -1,5 +1,6 @@
 """Session settings and the shared folder that holds state between jobs."""
 
+import re
 import tempfile
 import uuid
 
@@ -35,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     if root:
         return root.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.match(r"local(\[|$)", context.master):  # executors of a local-cluster are machines of their own
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if context.applicationId not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="tagloom-")
@@ -59,6 +60,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete everything this application has stored with `materialize` and `new_path`; call it when no DataFrame that
+    reads it is needed any more, such as at the end of an application."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tagloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Shuffle an input that has fewer splits than the session has task slots; else leave it alone.
 

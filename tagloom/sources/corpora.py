@@ -11,7 +11,7 @@ MISSING_STRINGS = [
 ]
 COMMENT_TYPES = {"rev_id": "bigint", "comment": "string", "split": "string"}
 VOTE_TYPES = {"rev_id": "bigint", "attack": "double"}
-TWEET_SCHEMA = "tweet string, label string, vote int"
+TWEET_TYPES = {"tweet": "string", "label": "string", "vote": "int"}
 TEST_SETS = ("base", "50", "10", "5")
 # ----------------------------------------------------------------------------------------------
 
@@ -29,22 +29,28 @@ def missing_to_null(value: Column) -> Column:
 
 
 def _tsv(spark: SparkSession, multi_line: bool):
-    # A quote inside a quoted field is doubled. With multi_line a quoted field may hold newlines, at
-    # the price of one task per file; inputs that mark newlines otherwise can be split instead.
+    # A quote inside a quoted field is doubled. The corpora mark newlines by a word of their own, so files are split
+    # among tasks; with multi_line a quoted field may hold newlines, at the price of one task per file.
     return spark.read.options(sep="\t", quote='"', escape='"', encoding="UTF-8", multiLine=multi_line)
 
 
+def _typed(name: str, kind: str) -> Column:
+    """A text column with its type. A value that isn't of that type is an error, not a missing value."""
+    value = F.col(name)
+    if kind == "string":
+        return missing_to_null(value).alias(name)
+    value = missing_to_null(F.trim(value))
+    typed = value.try_cast(kind)
+    damaged = F.raise_error(F.concat(F.lit(f"damaged row, {name} is "), value)).cast(kind)
+    return F.when(value.isNotNull() & typed.isNull(), damaged).otherwise(typed).alias(name)
+
+
 def _by_name(table: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Named columns of a header file with their types; other columns are not parsed further."""
-    return table.select(
-        *(
-            missing_to_null(F.col(name)).alias(name) if kind == "string" else F.col(name).try_cast(kind).alias(name)
-            for name, kind in types.items()
-        )
-    )
+    """Named columns of a file with their types; other columns are not parsed further."""
+    return table.select(*(_typed(name, kind) for name, kind in types.items()))
 
 
-def read_comments(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_comments(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """`<rev_id, comment, split>` from a tab-separated file with header."""
     return _by_name(_tsv(spark, multi_line).csv(path, header=True), COMMENT_TYPES)
 
@@ -54,16 +60,31 @@ def read_votes(spark: SparkSession, path: str) -> DataFrame:
     return _by_name(_tsv(spark, False).csv(path, header=True), VOTE_TYPES)
 
 
-def read_tweets(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """`<tweet, label, vote>` from a tab-separated file without header; names by position."""
-    table = _tsv(spark, multi_line).schema(TWEET_SCHEMA).csv(path, header=False)
-    return table.withColumns({name: missing_to_null(F.col(name)) for name in ("tweet", "label")})
+def with_content_id(df: DataFrame, out: str = "id") -> DataFrame:
+    """Add an id that is the same in every job: a digest of the row, and a number among equal rows.
+
+    Equal rows are counted, combined before the shuffle, and written out again.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = counted.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    digest = F.sha2(F.to_json(F.struct(*df.columns)), 256)
+    return numbered.select(F.concat_ws(":", digest, "_i").alias(out), *df.columns)
+
+
+def read_tweets(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """`<id, tweet, label, vote>` from a tab-separated file without header; names by position, `id` by content."""
+    names = ", ".join(f"{name} string" for name in TWEET_TYPES)
+    return with_content_id(_by_name(_tsv(spark, multi_line).schema(names).csv(path, header=False), TWEET_TYPES))
 
 
-def read_keywords(spark: SparkSession, path: str) -> list[str]:
-    """Distinct non-empty lines, sorted. They become one pattern, so they belong on the driver."""
+def read_keywords(spark: SparkSession, path: str, max_keywords: int = 50_000) -> list[str]:
+    """Distinct non-empty lines, sorted. They become one pattern, so they are on the driver: more than `max_keywords`
+    are an error, none are left out."""
     lines = spark.read.text(path).filter(F.col("value") != "").distinct()
-    return sorted(row["value"] for row in lines.collect())
+    words = sorted(row["value"] for row in lines.limit(max_keywords + 1).collect())
+    if len(words) > max_keywords:
+        raise ValueError(f"more than {max_keywords} keywords in {path}")
+    return words
 
 
 def write_sample(df: DataFrame, path: str, dataset: str, split: str, sample: str, budget: int = 0) -> None:
@@ -85,6 +106,14 @@ def _samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SAMPLE_SCHEMA).parquet(path)
 
 
+def read_base(spark: SparkSession, path: str, dataset: str, split: str) -> DataFrame:
+    """A stored base set, whole."""
+    rows = _samples(spark, path).filter(
+        (F.col("dataset") == dataset) & (F.col("split") == split) & (F.col("sample") == BASE) & (F.col("budget") == 0)
+    )
+    return rows.select("id", "text", "label", "weak_label", "pos")
+
+
 def read_train(spark: SparkSession, path: str, dataset: str, train_n: int, pos_pct: int) -> DataFrame:
     """One sampled training set; only its partition is read."""
     rows = _samples(spark, path).filter(

@@ -88,7 +88,8 @@ def test_experiment_end_to_end(spark, sets, tmp_path):
     train, tests = sets
     settings = L.Settings(framework="TF", init_n=20, cold_strategy="BalancedRandom", query_n=10, budget=30)
     params = {"method": "AL", "dataset": "points", "init_n": 20}
-    result = L.run_experiment(train, tests, settings, "AL_TF_points", 2, L.logistic, "embedding", params)
+    root = str(tmp_path)
+    result = L.run_experiment(train, tests, settings, "AL_TF_points", 2, L.logistic, "embedding", params, root)
     row = summarize(result.status).first()
     assert row.status == "done" and row.dataset == "points" and row.Error_Code == "NONE" and row.run_seconds >= 0
     long = metrics_long(summarize(result.status)).collect()
@@ -96,22 +97,45 @@ def test_experiment_end_to_end(spark, sets, tmp_path):
     assert {(r.run, int(r.iteration), r.metric): r.value for r in long} == {
         (r.run, r.iteration, r.metric): r.value for r in direct
     }
-    L.store_experiment(result, str(tmp_path))
     write_run_table(result.predictions.filter("run = 'run_1'"), str(tmp_path / "predictions"))
     assert spark.read.parquet(str(tmp_path / "metrics")).count() == len(direct)
     assert spark.read.parquet(str(tmp_path / "status")).count() == 2
     assert spark.read.parquet(str(tmp_path / "predictions")).count() == result.predictions.count() == 80 * 2 * 2
 
 
+def test_experiment_goes_on_behind_its_last_stored_run(spark, sets, tmp_path, monkeypatch):
+    train, tests = sets
+    settings = L.Settings(framework="TF", init_n=20, cold_strategy="BalancedRandom", query_n=10, budget=30)
+    once, calls = L.run_once, []
+
+    def lost_in_the_second_run(train, tests, settings, *rest):
+        calls.append(settings.seed)
+        if calls == [0, 1]:
+            kinds = [r.file_name[:3] for r in spark.read.parquet(f"{tmp_path}/status").collect()]
+            assert kinds == ["STA"] and spark.read.parquet(f"{tmp_path}/metrics").select("run").distinct().count() == 1
+            raise RuntimeError("lost")
+        return once(train, tests, settings, *rest)
+
+    monkeypatch.setattr(L, "run_once", lost_in_the_second_run)
+    first = L.run_experiment(train, tests, settings, "AL_TF_points", 2, L.logistic, "embedding", {}, str(tmp_path))
+    with pytest.raises(RuntimeError, match="lost"):
+        first.check()
+    second = L.run_experiment(train, tests, settings, "AL_TF_points", 2, L.logistic, "embedding", {}, str(tmp_path))
+    assert calls == [0, 1, 1]
+    assert {r.run for r in second.check().metrics.collect()} == {"run_0", "run_1"}
+    kinds = sorted(r.file_name.split("_")[0] for r in second.status.collect())
+    assert kinds == ["END", "FAILED", "START", "START"]
+
+
 def test_failed_experiment_is_recorded(sets):
     train, tests = sets
     settings = L.Settings(init_n=1000, cold_strategy="BalancedRandom")
     result = L.run_experiment(train, tests, settings, "AL_SK_points", 3)
     row = summarize(result.status).first()
     assert row.status == "failed" and "asked for 500" in row.Error_Code and row.end_time is None
-    names = [r.file_name.split("_")[0] for r in result.status.collect()]
-    assert names == ["START", "FAILED"] and result.metrics.count() == 0
-    assert json.loads(result.status.collect()[1].content)["Error_Code"] == row.Error_Code
+    content = {r.file_name.split("_")[0]: r.content for r in result.status.collect()}
+    assert set(content) == {"START", "FAILED"} and result.metrics.count() == 0
+    assert json.loads(content["FAILED"])["Error_Code"] == row.Error_Code
 
 
 def test_grid_row_to_run_on_stored_sets(spark, tmp_path):
@@ -131,3 +155,13 @@ def test_grid_row_to_run_on_stored_sets(spark, tmp_path):
     assert all(r.label == r.prediction for r in rows)
     epochs = L.classifier_from({"framework": "TF", "n_epochs": 7})(10)
     assert epochs.getMaxIter() == 7
+    for framework, kind in (("SK", "sklearn_model"), ("TF", "transformer_model")):
+        row = params | {"framework": framework, kind: "x", "run_n": 1, "n_epochs": 3}
+        vector = F.array((F.col("id") % 4 == 0).cast("double"), F.lit(0.5))
+        embeddings = spark.range(600).select("id", vector.alias("embedding"))
+        out = L.run_grid_row(spark, str(tmp_path), row, f"{tmp_path}-out", embeddings, budget=30).check()
+        assert out.name == f"AL_{framework}_d_50_10_BalancedWeak_RandomSampling()_10"
+        sizes = out.metrics.filter("metric = 'num_examples'").orderBy("iteration").collect()
+        assert [r.value for r in sizes] == [10, 20, 30]
+    with pytest.raises(ValueError, match="no embedding"):
+        L.load_vector_sets(spark, str(tmp_path), params, embeddings.filter("id > 100"))

@@ -23,7 +23,7 @@ def test_comments_with_extra_columns_quotes_and_missing(spark, tmp_path):
         'rev_id\tcomment\tyear\tsplit\n1\t"say ""hi""\nthere"\t2001\ttrain\n2\tNA\t2002\ttest\n3\t  padded \t2003\tNULL\n',
         encoding="utf-8",
     )
-    got = sorted(tuple(r) for r in corpora.read_comments(spark, str(path)).collect())
+    got = sorted(tuple(r) for r in corpora.read_comments(spark, str(path), multi_line=True).collect())
     assert got == [(1, 'say "hi"\nthere', "train"), (2, None, "test"), (3, "  padded ", None)]
 
 
@@ -32,10 +32,23 @@ def test_votes_tweets_keywords(spark, tmp_path):
     got = corpora.read_votes(spark, str(tmp_path / "votes.tsv")).collect()
     assert [tuple(r) for r in got] == [(1, 1.0), (1, None)]
     (tmp_path / "tweets.tsv").write_text("hé\tspam\t3\nnan\tabusive\t4\n", encoding="utf-8")
-    got = corpora.read_tweets(spark, str(tmp_path / "tweets.tsv")).collect()
-    assert [tuple(r) for r in got] == [("hé", "spam", 3), (None, "abusive", 4)]
+    (tmp_path / "again.tsv").write_text("nan\tabusive\t4\nhé\tspam\t3\nhé\tspam\t3\n", encoding="utf-8")
+    got, again = (
+        {r.id: (r.tweet, r.label, r.vote) for r in corpora.read_tweets(spark, str(tmp_path / name)).collect()}
+        for name in ("tweets.tsv", "again.tsv")
+    )
+    assert sorted(got.values(), key=str) == [("hé", "spam", 3), (None, "abusive", 4)]
+    assert len(again) == 3 and got.items() < again.items()
     (tmp_path / "keywords.txt").write_text("b\na\n\nb\n")
     assert corpora.read_keywords(spark, str(tmp_path / "keywords.txt")) == ["a", "b"]
+    with pytest.raises(ValueError, match="more than 1 keywords"):
+        corpora.read_keywords(spark, str(tmp_path / "keywords.txt"), max_keywords=1)
+
+
+def test_damaged_rows_are_errors(spark, tmp_path):
+    (tmp_path / "votes.tsv").write_text("rev_id\tattack\n1\t1.0\nx2\t0.0\n")
+    with pytest.raises(Exception, match="damaged row, rev_id is x2"):
+        corpora.read_votes(spark, str(tmp_path / "votes.tsv")).collect()
 
 
 def test_store_sets(spark, tmp_path):
@@ -125,7 +138,10 @@ def test_status_and_summary_of_result_folders(spark, result_root):
     assert {r.folder: r.status for r in E.experiment_status(files, expected).collect()} == {
         "AL_done": "done", "AL_empty": "non_starter", "AL_running": "running",
     }
-    assert E.overlapping(E.experiment_status(files)).count() == 0
+    assert E.overlapping(E.status_lists(E.experiment_status(files))).count() == 0
+    unstarted = spark.createDataFrame([("AL_x", "FAILED_20220101T100000.json")], "folder string, file_name string")
+    lists = E.status_lists(E.experiment_status(files.unionByName(unstarted)))
+    assert [tuple(r) for r in E.overlapping(lists).collect()] == [("AL_x", 2)]
     summary = E.summarize(results.read_result_files(spark, result_root))
     rows = {r.folder: r for r in summary.collect()}
     assert set(rows) == {"AL_done", "AL_twice", "AL_failed", "SL_done"}

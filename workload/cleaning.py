@@ -9,8 +9,33 @@ from tagloom.streaming.rows import clean_stream, run_available
 from workload.registry import query, quote, sql_clean, sql_entities, table, texts
 
 MARKS = ("[URL]", "[EMOJI]")
+# Every text twice, or in its place nothing, blanks, a bare link, a bare emoji, or a link and an emoji.
+WITH_GAPS = """
+  SELECT doc_id, text FROM documents UNION ALL
+  SELECT doc_id + 1000000000, CASE source
+    WHEN 'src0' THEN NULL WHEN 'src1' THEN repeat(' ', n_chars::INT) WHEN 'src2' THEN concat(' http://', doc_id::VARCHAR)
+    WHEN 'src3' THEN concat(repeat(' ', n_chars::INT), '😀') WHEN 'src4' THEN concat('http://', doc_id::VARCHAR, ' 😀')
+    ELSE text END FROM documents"""
+
+
+def with_gaps(spark, folder):
+    documents = texts(spark, folder)
+    blanks = F.repeat(F.lit(" "), F.col("n_chars").cast("int"))
+    link = F.concat(F.lit("http://"), F.col("doc_id").cast("string"))
+    other = (
+        F.when(F.col("source") == "src0", F.lit(None))
+        .when(F.col("source") == "src1", blanks)
+        .when(F.col("source") == "src2", F.concat(F.lit(" "), link))
+        .when(F.col("source") == "src3", F.concat(blanks, F.lit("😀")))
+        .when(F.col("source") == "src4", F.concat(link, F.lit(" 😀")))
+        .otherwise(F.col("text"))
+    )
+    added = documents.select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), other.alias("text"))
+    return documents.select("doc_id", "text").unionByName(added)
+
+
 CLEANED = f"""
-  WITH firsts AS (SELECT * FROM documents WHERE text IS NOT NULL
+  WITH firsts AS (SELECT * FROM ({WITH_GAPS}) WHERE text IS NOT NULL
                   QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1),
   cleaned AS (SELECT doc_id, {sql_clean('text')} AS clean_text FROM firsts)"""
 KEPT = "clean_text <> '' AND clean_text NOT IN ('[URL]', '[EMOJI]')"
@@ -81,15 +106,14 @@ def dedup_keep_first(spark, folder):
     f"{CLEANED} SELECT doc_id, clean_text, length(clean_text)::INT AS text_length FROM cleaned WHERE {KEPT}",
 )
 def clean_rows_documents(spark, folder):
-    documents = texts(spark, folder).select("doc_id", "text")
-    return clean_rows(documents, "doc_id").select("doc_id", "clean_text", "text_length")
+    return clean_rows(with_gaps(spark, folder), "doc_id").select("doc_id", "clean_text", "text_length")
 
 
 @query(
     "drop_stages_report",
     f"""{CLEANED}, totals AS (
-      SELECT (SELECT count(*) FROM documents) AS n,
-             (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS present,
+      SELECT 2 * (SELECT count(*) FROM documents) AS n,
+             (SELECT count(text) FROM ({WITH_GAPS})) AS present,
              (SELECT count(*) FROM cleaned) AS texts,
              (SELECT count(*) FROM cleaned WHERE clean_text <> '') AS filled,
              (SELECT count(*) FROM cleaned WHERE {KEPT}) AS kept)
@@ -99,7 +123,7 @@ def clean_rows_documents(spark, folder):
     UNION ALL SELECT 4, 'marks_only', filled, filled - kept, kept FROM totals""",
 )
 def drop_stages_report(spark, folder):
-    return stage_report(texts(spark, folder))
+    return stage_report(with_gaps(spark, folder))
 
 
 @query(
@@ -110,8 +134,7 @@ def drop_stages_report(spark, folder):
       quantile_cont(size, 0.75)::DOUBLE AS q75, max(size)::BIGINT AS max_len FROM sizes""",
 )
 def text_length_summary(spark, folder):
-    documents = texts(spark, folder).select("doc_id", "text")
-    summary = length_summary(clean_rows(documents, "doc_id"))
+    summary = length_summary(clean_rows(with_gaps(spark, folder), "doc_id"))
     return summary.withColumns({name: F.round(name, 6) for name in ("mean_len", "std_len")})
 
 

@@ -15,7 +15,7 @@ from tagloom.operators.labels import (
 )
 from tagloom.operators.metrics import binary_scores, class_balance, class_shares, label_mean, labelled_count
 from tagloom.plans.corpus import add_weak_label, sweep
-from tagloom.operators.clean import clean_rows
+from tagloom.operators.clean import cleaned_rows, drop_missing, keep_first
 from workload.registry import (
     KEYWORDS,
     LABELLED,
@@ -109,9 +109,11 @@ SWEEP_SQL = sql_scores(
 def threshold_sweep(spark, folder):
     """Clean, dedup, label, weak-label and compare: the whole data preparation."""
     documents = texts(spark, folder).select("doc_id", "text")
-    rows = clean_rows(documents, "doc_id").select("doc_id", F.col("clean_text").alias("text"))
     labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
-    return sweep(rows.join(labels, "doc_id"), KEYWORDS, SWEEP_THRESHOLDS)
+    # Dedup needs ids and digests of all rows; only labelled rows are cleaned.
+    rows = keep_first(drop_missing(documents, "text"), "text", "doc_id").join(labels, "doc_id")
+    cleaned = cleaned_rows(rows).select("doc_id", F.col("clean_text").alias("text"), "label")
+    return sweep(cleaned, KEYWORDS, SWEEP_THRESHOLDS)
 
 
 @query(
@@ -127,7 +129,7 @@ def threshold_sweep(spark, folder):
 def weak_label_scores(spark, folder):
     documents = texts(spark, folder).select("doc_id", "lang", "text")
     labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
-    rows = add_weak_label(documents, KEYWORDS, 0.01).join(labels, "doc_id")
+    rows = add_weak_label(documents.join(labels, "doc_id"), KEYWORDS, 0.01)
     return binary_scores(rows, "label", "weak_pos_keywords", ["lang"], places=6)
 
 

@@ -1,5 +1,7 @@
-"""Models and whole runs. Solvers iterate, so these have no SQL; tests check their properties."""
+"""Models and whole runs. Solvers iterate, so they have no SQL and tests check their properties; which rows a run labels,
+and what it stores, has SQL where the classifier is a plug-in with a known margin."""
 
+from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -7,8 +9,8 @@ from tagloom.operators.metrics import binary_scores
 from tagloom.operators.sampling import budget_sample, class_sizes, flag_test
 from tagloom.plans.corpus import add_weak_label
 from tagloom.plans.learning import Settings, fit, logistic, predict, run_experiment, run_once, svm, text_sets
-from tagloom.session import materialize
-from workload.registry import KEYWORDS, labelled_documents, query, table, texts
+from tagloom.session import materialize, new_path
+from workload.registry import KEYWORDS, labelled_documents, query, sql_rank, table, texts
 
 
 def _text_sets(spark, folder):
@@ -74,8 +76,9 @@ def sl_run(spark, folder):
 @query("al_run")
 def al_run(spark, folder):
     train, test = _text_sets(spark, folder)
+    n = train.count() // 20  # the budget is a share of the rows
     settings = Settings(
-        init_n=10, cold_strategy="BalancedRandom", query_n=10, query_strategy="LeastConfidence()", budget=30
+        init_n=n, cold_strategy="BalancedRandom", query_n=n, query_strategy="LeastConfidence()", budget=3 * n
     )
     return _metric_rows(spark, run_once(train, _test_sets(test), settings))
 
@@ -83,13 +86,14 @@ def al_run(spark, folder):
 @query("al_run_embeddings")
 def al_run_embeddings(spark, folder):
     train, test = _vector_sets(spark, folder)
+    n = train.count() // 20
     settings = Settings(
         framework="TF",
-        init_n=20,
+        init_n=n,
         cold_strategy="BalancedWeak",
-        query_n=15,
+        query_n=n,
         query_strategy="GreedyCoreset(normalize=True)",
-        budget=50,
+        budget=3 * n,
     )
     return _metric_rows(spark, run_once(train, _test_sets(test), settings, logistic, "embedding"))
 
@@ -97,8 +101,105 @@ def al_run_embeddings(spark, folder):
 @query("multi_seed")
 def multi_seed(spark, folder):
     train, test = _vector_sets(spark, folder)
+    n = train.count() // 20
     settings = Settings(
-        framework="TF", init_n=20, cold_strategy="BalancedWeak", query_n=20, query_strategy="RandomSampling()", budget=40
+        framework="TF", init_n=n, cold_strategy="BalancedWeak", query_n=n, query_strategy="RandomSampling()", budget=2 * n
     )
     result = run_experiment(train, _test_sets(test), settings, "AL_TF_embeddings", 2, logistic, "embedding")
-    return result.metrics
+    return result.check().metrics
+
+
+# --- runs with a plug-in classifier, so that SQL can follow them ------------------------------------
+
+
+class ConstantMargin(Estimator):
+    """A classifier that says 1 with margin 1 to every row."""
+
+    def _fit(self, dataset):
+        return ConstantMarginModel()
+
+
+class ConstantMarginModel(Model):
+    def _transform(self, dataset):
+        margin = array_to_vector(F.array(F.lit(-1.0), F.lit(1.0)))
+        return dataset.withColumns({"rawPrediction": margin, "prediction": F.lit(1.0)})
+
+
+VECTOR_TRAIN = f"""
+  SELECT id, label, weak_label FROM (
+    SELECT vec_id AS id, (label = 0)::INT AS label, (label < 2)::INT AS weak_label,
+      {sql_rank('vec_id', '42')} <= ceil(0.25::DOUBLE * count(*) OVER ()) AS is_test FROM embeddings)
+  WHERE NOT is_test"""
+ROUNDS = 3
+
+
+def sql_rounds(seed: int, cold: str, order) -> str:
+    """`<id, label, round>` of a run that labels a twentieth of the training rows per round. `cold` is the condition of
+    the first round on rows with `k`; `order` gives the rank of an unlabelled row in a round."""
+    parts = [f"r0 AS (SELECT *, 0 AS round FROM ({cold}))"]
+    for i in range(1, ROUNDS):
+        seen = " UNION ALL ".join(f"SELECT id FROM r{j}" for j in range(i))
+        parts.append(
+            f"""r{i} AS (SELECT id, label, {i} AS round FROM (
+              SELECT id, label, {order(f'{seed}:{i}')} AS place FROM train WHERE id NOT IN ({seen}))
+              WHERE place <= (SELECT k FROM size))"""
+        )
+    rows = " UNION ALL ".join(f"SELECT id, label, round::INT AS round FROM r{i}" for i in range(ROUNDS))
+    return f"""WITH train AS ({VECTOR_TRAIN}), size AS (SELECT count(*) // 20 AS k FROM train),
+      {', '.join(parts)} {rows}"""
+
+
+def sql_random_rounds(seed: int) -> str:
+    cold = f"SELECT id, label FROM (SELECT id, label, {sql_rank('id', str(seed))} AS place FROM train), size WHERE place <= k"
+    return sql_rounds(seed, cold, lambda key: sql_rank("id", key))
+
+
+SMALLEST_IDS = sql_rounds(
+    0,
+    f"""SELECT id, label FROM (SELECT id, label, {sql_rank('id', '0', 'weak_label')} AS place FROM train), size
+    WHERE place <= k // 2""",
+    lambda key: "row_number() OVER (ORDER BY id)",
+)
+
+
+def _plugged(train, **settings) -> Settings:
+    n = train.count() // 20
+    return Settings(init_n=n - n % 2 if settings["cold_strategy"] != "TrueRandom" else n, query_n=n,
+                    budget=(n - n % 2 if settings["cold_strategy"] != "TrueRandom" else n) + (ROUNDS - 1) * n, **settings)
+
+
+def _labelled_rows(spark, folder, **settings):
+    train, test = _vector_sets(spark, folder)
+    tests = materialize(test.withColumn("test_set", F.lit("test_base")), "tests")
+    result = run_once(train, tests, _plugged(train, **settings), lambda n_rows: ConstantMargin())
+    return result.labelled(spark).select("id", "label", "round")
+
+
+@query("al_random_rows", sql_random_rounds(0))
+def al_random_rows(spark, folder):
+    """Which rows an active run labels, by round: random start, random queries."""
+    return _labelled_rows(spark, folder, cold_strategy="TrueRandom", query_strategy="RandomSampling()")
+
+
+@query("al_least_confident_rows", SMALLEST_IDS)
+def al_least_confident_rows(spark, folder):
+    """Balanced weak start; with a constant margin the least confident rows are those with the smallest ids."""
+    return _labelled_rows(spark, folder, cold_strategy="BalancedWeak", query_strategy="LeastConfidence()")
+
+
+def _sql_run(seed: int) -> str:
+    rounds = f"SELECT DISTINCT round AS iteration FROM ({sql_random_rounds(seed)})"
+    return f"""SELECT 'run_{seed}' AS run, iteration, count(*)::DOUBLE AS num_examples, round(avg(label::DOUBLE), 6) AS train_imbalance
+    FROM ({rounds}) i JOIN ({sql_random_rounds(seed)}) r ON r.round <= i.iteration GROUP BY iteration"""
+
+
+@query("runs_stored", f"{_sql_run(0)} UNION ALL {_sql_run(1)}")
+def runs_stored(spark, folder):
+    """Metrics of two runs, as stored while they ran, and read back."""
+    train, test = _vector_sets(spark, folder)
+    tests = materialize(test.withColumn("test_set", F.lit("test_base")), "tests")
+    settings = _plugged(train, cold_strategy="TrueRandom", query_strategy="RandomSampling()")
+    root = new_path(spark, "stored-runs")
+    done = run_experiment(train, tests, settings, "AL_x", 2, lambda n_rows: ConstantMargin(), root=root).check()
+    wide = done.metrics.groupBy("run", "iteration").pivot("metric", ["num_examples", "train_imbalance"]).agg(F.first("value"))
+    return wide.withColumn("train_imbalance", F.round("train_imbalance", 6))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tagloom.operators.experiments import GRIDS, parameter_grid
 from tagloom.operators.sampling import budget_sample, class_sizes, shuffled
 from tagloom.plans.corpus import add_weak_label
-from tagloom.session import new_path
+from tagloom.session import materialize, new_path
 from tagloom.sources.corpora import (
     BASE,
     read_comments,
@@ -37,7 +37,7 @@ def comments_round_trip(spark, folder):
         F.col("doc_id").alias("rev_id"), F.col("lang").alias("ns"), F.col("text").alias("comment"), split.alias("split")
     )
     _write_tsv(rows, path, header=True)
-    return read_comments(spark, path)
+    return read_comments(spark, path, multi_line=True)
 
 
 @query("votes_round_trip", "SELECT l_orderkey AS rev_id, (l_returnflag = 'R')::INT::DOUBLE AS attack FROM lineitem")
@@ -54,15 +54,15 @@ def tweets_round_trip(spark, folder):
     path = new_path(spark, "tweets")
     rows = table(spark, folder, "conversations").select("text", "role", "turn")
     _write_tsv(rows, path, header=False)
-    return read_tweets(spark, path)
+    return read_tweets(spark, path, multi_line=True).drop("id")
 
 
 @query("keywords_round_trip", "SELECT DISTINCT source AS word FROM documents")
 def keywords_round_trip(spark, folder):
     path = new_path(spark, "keywords")
-    table(spark, folder, "documents").select("source").write.text(path)
-    words = read_keywords(spark, path)
-    return spark.createDataFrame([(word,) for word in words], "word string")
+    sources = table(spark, folder, "documents").select(F.col("source").alias("word"))
+    sources.write.text(path)
+    return sources.filter(F.col("word").isin(read_keywords(spark, path))).distinct()
 
 
 @query(
@@ -75,7 +75,7 @@ def keywords_round_trip(spark, folder):
 def samples_round_trip(spark, folder):
     path = new_path(spark, "samples")
     rows = add_weak_label(labelled_documents(spark, folder, texts), KEYWORDS, 0.01)
-    rows = rows.select("id", "text", "label", F.col("weak_pos_keywords").alias("weak_label"))
+    rows = materialize(rows.select("id", "text", "label", F.col("weak_pos_keywords").alias("weak_label")), "weak-rows")
     budget = class_sizes(rows, "label")[1]
     write_sample(budget_sample(rows, budget, 0.9, SEED), path, "docs", "train", "10", budget)
     test = rows.drop("weak_label")
