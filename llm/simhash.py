@@ -139,8 +139,8 @@ def links(distinct: DataFrame) -> DataFrame:
     crowded = listed.groupBy("cell").count().filter(F.col("count") > CELL).select("cell", F.lit(True).alias("crowded"))
     listed = materialize(listed.join(crowded, "cell", "left"), "cells")
     spark = distinct.sparkSession
-    # Groups of about 4,000 rows; a cell of at most CELL rows is never cut.
-    groups = max(spark.sparkContext.defaultParallelism, listed.count() // 4_000)
+    # Groups of about 1,000 rows; a cell of at most CELL rows is never cut.
+    groups = max(spark.sparkContext.defaultParallelism, listed.count() // 1_000)
     inside = (
         listed.filter(F.col("crowded").isNull())
         .select("print", "cell", F.pmod(F.xxhash64("cell"), F.lit(groups)).alias("g"))
