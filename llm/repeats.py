@@ -40,7 +40,7 @@ from tagloom.session import materialize, spread
 WINDOW = 50
 RUN = 8  # words in an anchor
 GROUP = 1_000  # documents of an anchor that are gathered into one tree
-PART_ROWS = 2_000  # stretches in one part, about 72 words each
+PART_ROWS = 500  # stretches in one part, about 72 words each
 
 _LAST = (1 << 63) - 1
 
