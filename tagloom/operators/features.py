@@ -88,7 +88,8 @@ def _weighted(known: DataFrame, id_col: str, *keep: str) -> DataFrame:
     raw = F.col("tf") * F.col("idf")
     gathered = known.groupBy(id_col).agg(F.collect_list(F.struct(*keep, raw.alias("raw"))).alias("_rows"))
     norm = F.sqrt(F.aggregate("_rows", F.lit(0.0), lambda total, row: total + row["raw"] * row["raw"]))
-    rows = gathered.select(id_col, norm.alias("_norm"), F.inline("_rows"))
+    # The norm is computed below the rows it is handed to: once per text, not once per row.
+    rows = gathered.select(id_col, norm.alias("_norm"), "_rows").select(id_col, "_norm", F.inline("_rows"))
     return rows.select(id_col, *keep, (F.col("raw") / F.col("_norm")).alias("weight"))
 
 
