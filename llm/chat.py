@@ -19,10 +19,13 @@ a number come first; rows without a conv_id form one conversation; other columns
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -44,6 +47,7 @@ _loaded: dict[str, Tokenizer] = {}
 
 def load(path: str) -> Tokenizer:
     if path not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         _loaded[path] = Tokenizer.from_file(path)
         _loaded[path].encode_special_tokens = True
     return _loaded[path]
@@ -57,100 +61,117 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1\2\3", text)
 
 
+def _lists(parts: list[bytes], sizes: np.ndarray) -> pa.ListArray:
+    """Parts of given lengths as lists of 32-bit integers."""
+    values = np.frombuffer(b"".join(parts), np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
+
+
+def _ids(tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
+    """Ids of texts as bytes, 32 bits each; equal texts are encoded once."""
+    distinct = list(dict.fromkeys(texts))
+    encoded = tokenizer.encode_batch_fast(list(map(escape, distinct)), add_special_tokens=False)
+    known = {text: array("i", x.ids).tobytes() for text, x in zip(distinct, encoded, strict=True)}
+    return [known[text] for text in texts]
+
+
 def _encode(batches, path):
-    """Per turn: its text form, ids, and the lengths of its five segments."""
+    """Per turn: its ids and the lengths of its five segments."""
     tokenizer = load(path)
-    start, turn, text_mark, end = (tokenizer.get_vocab_size() + i for i in range(4))
+    base = tokenizer.get_vocab_size()
+    turn, text_mark, end = (array("i", [base + i]).tobytes() for i in (1, 2, 3))
     for batch in batches:
         for at in range(0, len(batch), 256):
             part = batch.slice(at, 256)
-            roles = [escape(x or "") for x in part.column("role").to_pylist()]
-            texts = [escape(x or "") for x in part.column("text").to_pylist()]
-            pieces = [x.ids for x in tokenizer.encode_batch(roles + texts, add_special_tokens=False)]
-            role_ids, text_ids = pieces[: len(roles)], pieces[len(roles) :]
+            roles = _ids(tokenizer, [x or "" for x in part.column("role").to_pylist()])
+            texts = _ids(tokenizer, [x or "" for x in part.column("text").to_pylist()])
+            whole = [b"".join((turn, r, text_mark, t, end)) for r, t in zip(roles, texts, strict=True)]
+            sizes = np.ones((len(part), 5), np.int32)
+            sizes[:, 1] = [len(r) // 4 for r in roles]
+            sizes[:, 3] = [len(t) // 4 for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("conv_id"),
-                    part.column("turn"),
-                    part.column("role"),
-                    part.column("text"),
-                    pa.array([f"[TURN]{r}[TEXT]{t}</s>" for r, t in zip(roles, texts, strict=True)], pa.string()),
-                    pa.array(
-                        [[turn, *r, text_mark, *t, end] for r, t in zip(role_ids, text_ids, strict=True)],
-                        pa.list_(pa.int32()),
-                    ),
-                    pa.array(
-                        [[1, len(r), 1, len(t), 1] for r, t in zip(role_ids, text_ids, strict=True)],
-                        pa.list_(pa.int32()),
-                    ),
+                    *(part.column(c) for c in ("conv_id", "turn", "role", "text")),
+                    _lists(whole, sizes.sum(axis=1)),
+                    _lists([sizes.tobytes()], np.full(len(part), 5)),
                 ],
-                names=["conv_id", "turn", "role", "text", "formatted", "ids", "sizes"],
+                names=["conv_id", "turn", "role", "text", "ids", "sizes"],
             )
 
 
-def _mask(batches, path):
+def _assemble(batches, path):
     """Conversations with their start mark, and the loss mask over their ids."""
     start = load(path).get_vocab_size()
     for batch in batches:
-        ids, masks = [], []
-        rows = zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "learned")), strict=True)
-        for own, sizes, learned in rows:
-            ends = 1 + np.cumsum(np.asarray(sizes, np.int64).reshape(-1, 5).ravel()).reshape(-1, 5)
-            steps = np.zeros(len(own) + 2, np.int8)
-            on = np.asarray(learned, bool)
-            np.add.at(steps, ends[on, 2], 1)  # the text begins behind its mark
-            np.add.at(steps, ends[on, 3], -1)
-            masks.append(np.cumsum(steps, dtype=np.int8)[:-1])
-            ids.append([start, *own])
+        formatted, roles = [], []
+        for own_roles, own_texts in zip(batch.column("roles").to_pylist(), batch.column("texts").to_pylist(), strict=True):
+            turns = zip(own_roles, own_texts, strict=True)
+            formatted.append("<s>" + "".join(f"[TURN]{escape(r)}[TEXT]{escape(t)}</s>" for r, t in turns))
+            roles += own_roles
+        # The batch as one stream of ids: a start mark in front of each conversation, then its segments.
+        n_turns = pc.list_value_length(batch.column("roles")).to_numpy(zero_copy_only=False)
+        n_ids = pc.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(n_ids + 1)])
+        ids = np.insert(batch.column("ids").flatten().to_numpy(), np.cumsum(n_ids) - n_ids, start)
+        sizes = batch.column("sizes").flatten().to_numpy().astype(np.int64)
+        ends = np.cumsum(sizes).reshape(-1, 5) + np.repeat(np.arange(1, len(batch) + 1), n_turns)[:, None]
+        on = np.array([role == LEARNED_ROLE for role in roles], bool)
+        steps = np.zeros(len(ids) + 1, np.int8)
+        np.add.at(steps, ends[on, 2], 1)  # the text begins behind its mark
+        np.add.at(steps, ends[on, 3], -1)
+        mask = np.cumsum(steps, dtype=np.int8)[:-1]
+        borders = pa.array(offsets, pa.int32())
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("conv_id"),
-                pa.array(["<s>" + x for x in batch.column("formatted").to_pylist()], pa.string()),
-                pa.array(ids, pa.list_(pa.int32())),
-                pa.array(masks, pa.list_(pa.int8())),
+                pa.array(formatted, pa.string()),
+                pa.ListArray.from_arrays(borders, pa.array(ids.astype(np.int32))),
+                pa.ListArray.from_arrays(borders, pa.array(mask)),
             ],
             names=["conv_id", "formatted", "ids", "loss_mask"],
         )
 
 
-def _joined(parts: str, part: str, kind: str | None = None):
-    picked = F.transform(parts, lambda x: x[part])
-    return F.array_join(picked, "") if kind == "text" else F.flatten(picked)
-
-
-def format_conversations(conversations: DataFrame, path: str) -> DataFrame:
-    """`<conv_id, formatted, ids, loss_mask>` for `<conv_id, turn, role, text>`."""
+def _gathered(conversations: DataFrame, path: str) -> DataFrame:
+    """`<conv_id, roles, texts, ids, sizes>` per conversation, with the turns in order."""
     kinds = {f.name: f.dataType.simpleString() for f in conversations.schema}
     turns = conversations.select("conv_id", "turn", "role", "text").mapInArrow(
         lambda batches: _encode(batches, path),
-        f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, formatted string, "
-        "ids array<int>, sizes array<int>",
+        f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, ids array<int>, sizes array<int>",
     )
-    learned = F.coalesce(F.col("role") == LEARNED_ROLE, F.lit(False)).alias("learned")
     chunk = F.floor(F.col("turn") / CHUNK).alias("chunk")
-    row = F.struct("turn", "role", "text", "formatted", "ids", "sizes", learned)
+    row = F.struct("turn", "role", "text", "ids", "sizes")
     chunks = turns.groupBy("conv_id", chunk).agg(F.sort_array(F.collect_list(row)).alias("rows"))
     chunks = chunks.select(
         "conv_id",
         F.struct(
             "chunk",
-            _joined("rows", "formatted", "text").alias("formatted"),
-            _joined("rows", "ids").alias("ids"),
-            _joined("rows", "sizes").alias("sizes"),
-            F.transform("rows", lambda x: x["learned"]).alias("learned"),
+            F.transform("rows", lambda x: F.coalesce(x["role"], F.lit(""))).alias("roles"),
+            F.transform("rows", lambda x: F.coalesce(x["text"], F.lit(""))).alias("texts"),
+            F.flatten("rows.ids").alias("ids"),
+            F.flatten("rows.sizes").alias("sizes"),
         ).alias("part"),
     )
     whole = chunks.groupBy("conv_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
-    whole = whole.select(
-        "conv_id",
-        _joined("parts", "formatted", "text").alias("formatted"),
-        _joined("parts", "ids").alias("ids"),
-        _joined("parts", "sizes").alias("sizes"),
-        _joined("parts", "learned").alias("learned"),
+    return whole.select("conv_id", *[F.flatten(f"parts.{c}").alias(c) for c in ("roles", "texts", "ids", "sizes")])
+
+
+def format_conversations(conversations: DataFrame, path: str) -> DataFrame:
+    """`<conv_id, formatted, ids, loss_mask>` for `<conv_id, turn, role, text>`."""
+    kind = conversations.schema["conv_id"].dataType.simpleString()
+    return _gathered(conversations, path).mapInArrow(
+        lambda batches: _assemble(batches, path),
+        f"conv_id {kind}, formatted string, ids array<int>, loss_mask array<tinyint>",
     )
-    return whole.mapInArrow(
-        lambda batches: _mask(batches, path),
-        f"conv_id {kinds['conv_id']}, formatted string, ids array<int>, loss_mask array<tinyint>",
+
+
+def formatted_digests(conversations: DataFrame, path: str) -> DataFrame:
+    """What reading back the same output gives, without moving ids and masks: `<conv_id, n_turns, turns_sha256,
+    loss_chars, loss_sha256, formatted_chars>`."""
+    kind = conversations.schema["conv_id"].dataType.simpleString()
+    return _gathered(conversations, path).mapInArrow(
+        lambda batches: _digest(_assemble(batches, path), path),
+        f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
     )
 
 
@@ -159,7 +180,8 @@ def read_back(tokenizer: Tokenizer, ids: np.ndarray, mask: np.ndarray) -> tuple[
     base = tokenizer.get_vocab_size()
     marks = np.flatnonzero(ids >= base)
     segments = list(zip((marks + 1).tolist(), [*marks[1:].tolist(), len(ids)], strict=True))
-    decoded = tokenizer.decode_batch([ids[a:b].tolist() for a, b in segments], skip_special_tokens=False)
+    listed = ids.tolist()
+    decoded = tokenizer.decode_batch([listed[a:b] for a, b in segments], skip_special_tokens=False)
     texts = dict(zip(segments, map(unescape, decoded), strict=True))
     named = dict(enumerate(RESERVED, base))
     turns: list[tuple[str, str]] = []
@@ -173,7 +195,7 @@ def read_back(tokenizer: Tokenizer, ids: np.ndarray, mask: np.ndarray) -> tuple[
     learned = []
     for a, b in zip(edges[::2], edges[1::2], strict=True):
         whole = texts.get((a, b))  # a run of the mask is a segment, or it would be decoded by itself
-        learned.append(unescape(tokenizer.decode(ids[a:b].tolist(), False)) if whole is None else whole)
+        learned.append(unescape(tokenizer.decode(listed[a:b], False)) if whole is None else whole)
     return turns, "".join(learned)
 
 
@@ -225,10 +247,4 @@ def op5_chat(spark, folder):
     added = spark.createDataFrame(
         [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))], given.schema
     )
-    path = vocabulary_path("byte_bpe_50k.json")
-    formatted = format_conversations(spread(given).unionByName(added), path)
-    return formatted.mapInArrow(
-        lambda batches: _digest(batches, path),
-        "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
-        "formatted_chars bigint",
-    )
+    return formatted_digests(spread(given).unionByName(added), vocabulary_path("byte_bpe_50k.json"))
