@@ -6,9 +6,9 @@ A token's log-odds between the classes have a Dirichlet prior with the token's s
 that was not kept falls back on its first `STEM` bytes, which are counted in the same way.
 
 Score: one scan over the words of a text finds all maximal segments (every passage whose score can't be raised by
-growing or shrinking it) in linear time. The best segment, the sum of all and the number of words go into a Gumbel
-distribution function, whose parameters are fitted to the labels of the sample: the chance that no ordinary text of
-this length reaches such a score.
+growing or shrinking it) in linear time; a word right behind itself counts like one without a score. The best segment,
+the sum of all and the number of words go into a Gumbel distribution function, whose parameters are fitted to the labels
+of the sample: the chance that no ordinary text of this length reaches such a score.
 
 Only the sample's labels and its bounded model are gathered; all texts are scored in one pass without a shuffle.
 
@@ -171,6 +171,8 @@ def _score(batches, model: Model, extra: list[str], passages: bool):
         for a, b, found, words, stems in _tokens(batch.column("text")):
             n = np.diff(found.first)
             scores = model.scores(words, stems)
+            if len(words):  # a word right behind itself says nothing new
+                scores[1:][(words[1:] == words[:-1]) & (found.row[1:] == found.row[:-1])] = 0
             hits = np.flatnonzero(scores)
             borders = np.searchsorted(hits, found.first)
             features, spans = np.zeros((b - a, 3)), []

@@ -396,6 +396,17 @@ def test_segments():
         assert got == slow_segments(scores)
 
 
+def test_a_word_behind_itself_adds_no_score():
+    bad = pa.array(["bad"])
+    token = next(toxicity._tokens(bad))[3]
+    none = np.zeros(0, np.uint64)
+    model = toxicity.Model(token, np.array([2.0]), none, np.zeros(0))
+    texts = pa.array(["bad", "bad bad BAD", "bad x bad", "bad", ""])
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    found = [b.to_pydict() for b in toxicity._score(iter([batch]), model, [], False)]
+    assert found[0]["best"] == [2.0, 2.0, 2.0 - toxicity.GAP + 2.0, 2.0, 0.0]
+
+
 def test_held_out_toxicity(spark):
     folder = "/root/testdata/sf0.1"
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
