@@ -9,13 +9,16 @@ position at which every bucket starts; the rest is work inside single buckets:
   the full rows, which are never shuffled.
 
 The input is read three times, twice for its ids and groups alone; store it first if it is costly to
-compute. Ids must be unique. Groups are classes (labels, strata): a small domain, one row each in the tables
-that get broadcast.
+compute. Ids must be unique. Groups are classes (labels, strata); as long as their table of buckets is below the
+planner's broadcast threshold the full rows stay where they are, beyond it they meet it by a shuffle.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.operators.joins import fits_broadcast
+from tagloom.session import materialize
+
 PREFIX_DIGITS = 4  # 16**4 buckets: the size bound of the bucket table, per group
 GROUP_SIZE = "group_size"
 
@@ -72,9 +75,12 @@ def flag_first(df: DataFrame, id_col: str, seed, n, group: str | None = None, ou
     keyed = _keyed(df, id_col, seed).withColumn("_all", F.lit(0))
     starts = _bucket_starts(keyed.select(group, BUCKET), [group])
     if isinstance(n, DataFrame):
-        starts = starts.join(F.broadcast(n.select(group, F.col("n").cast("long").alias(QUOTA))), group)
+        starts = starts.join(n.select(group, F.col("n").cast("long").alias(QUOTA)), group)
     else:
         starts = starts.withColumn(QUOTA, (n if isinstance(n, Column) else F.lit(int(n))).cast("long"))
+    # Stored, so that the planner knows its bytes; what follows has at most one row per group and is smaller.
+    starts = materialize(starts, "bucket-starts")
+    small = fits_broadcast(starts)
     # The bucket of each group in which its quota, or else the group, runs out: at most one per group.
     quota = F.least(QUOTA, GROUP_SIZE)
     edge = starts.withColumn(QUOTA, quota).filter(
@@ -84,7 +90,7 @@ def flag_first(df: DataFrame, id_col: str, seed, n, group: str | None = None, ou
     within = Window.partitionBy(group).orderBy(KEY, id_col)
     last = (
         keyed.select(group, KEY, BUCKET, id_col)
-        .join(F.broadcast(edge.select(group, BUCKET, START, QUOTA)), [group, BUCKET])
+        .join(edge.select(group, BUCKET, START, QUOTA), [group, BUCKET])
         .withColumn("_rank", F.col(START) + F.row_number().over(within))
         .filter(F.col("_rank") == F.col(QUOTA))
         .select(group, F.struct(F.col(KEY).alias("key"), F.col(id_col).alias("id")).alias("_last"))
@@ -93,7 +99,7 @@ def flag_first(df: DataFrame, id_col: str, seed, n, group: str | None = None, ou
         limit = last.agg(F.min("_last")).scalar()
     else:
         limit = F.col("_last")
-        keyed = keyed.join(F.broadcast(last), group, "left")
+        keyed = keyed.join(F.broadcast(last) if small else last, group, "left")
     inside = F.struct(F.col(KEY).alias("key"), F.col(id_col).alias("id")) <= limit
     return keyed.withColumn(out, F.coalesce(inside, F.lit(False))).select(*df.columns, out)
 
