@@ -5,10 +5,12 @@ one repeated group. The streams of a host are aligned one after the other: what
 lacks becomes optional, runs that recur become repeated, texts are slots. The outcome is one expression per host
 without unions, such as `body(nav(ul(li(#)+)) div.ad(#)? article(#h1 #p+) footer(#))`.
 
-Slots are measured over all pages of the host. The main part is the container that says so by its tag, role or class;
-failing that the body without what is menu, header, footer, sidebar, notice, advert, form or comments by its tag, role
-or class, and without containers that are nearly all links on that host. A page then gives the blocks of the host's
-main container, in page order.
+Every page is matched against its host's wrapper, which gives each of its texts an element. Elements are measured over
+the host's distinct pages: letters, letters inside links, and how often their texts recur. What is menu, header, footer,
+sidebar or hidden by its tag or role is no main text, and what a word of its class or id calls advert, comments or the
+like only if it holds less than half of the main text. Texts that recur on half of an element's pages are the host's frame,
+unless they stand in an article or main. A page then gives its texts in the host's main container, in page order; if it
+has none, all others but those of elements that are nearly all links.
 
 Equal streams of a host are counted before the shuffle and aligned in `SALTS` parts first, so a host with a third of
 all pages is a few rows. Pages meet their host's wrapper by a join on the host.
@@ -20,7 +22,10 @@ are ignored.
 
 from __future__ import annotations
 
+import bisect
 import difflib
+import functools
+import hashlib
 import html as entities
 import json
 import re
@@ -33,6 +38,7 @@ from llm.registry import query, table
 from tagloom.session import materialize, spread
 
 SALTS = 16
+MIN_PAGES = 5  # distinct pages from which texts that recur count as the host's frame
 DEPTH = 48  # containers below this depth count as part of the one above, in wrappers only
 
 # Fixed values of HTML.
@@ -44,7 +50,7 @@ CONTAINERS = frozenset(
     "blockquote figure fieldset details dialog select button center".split()
 )
 # What isn't main text by its tag, its role, or a word of its class or id.
-NOISE_TAGS = frozenset("head nav aside footer form menu dialog select button".split())
+NOISE_TAGS = frozenset("head nav aside footer menu dialog select button".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu".split())
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo promotion sidebar menu nav navbar navigation "
@@ -58,40 +64,48 @@ _TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*+)((?>[^>\"']+|\"[^\"]*+\"|'[^']*+')*+)(>|\Z)|(<[A-Za-z/][^>]*+(?:>|\Z))",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*=\s*(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]+))?", re.I)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW}
+_NUMBER = re.compile(r"(?<=[-_])[0-9]+|[0-9]{3,}")
 _SPACE = re.compile(r"\s+")
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(label of a container, is it no main text, does it say that it is the main text)"""
+def _label(tag: str, attributes: str) -> str:
+    """`tag.classes and id@role!`, with numbers that may be a page's own as 9; `!` is for hidden elements."""
     found = {name.lower(): value.strip("\"'").lower() for name, value in _ATTRIBUTE.findall(attributes)} if attributes else {}
-    names = re.sub(r"[0-9]+", "9", found.get("class", "") + " " + found.get("id", ""))
-    words = set(re.split(r"[^a-z]+", names)) - {""}
-    role = found.get("role", "")
+    names = re.sub("[@!]", "_", _NUMBER.sub("9", found.get("class", "") + " " + found.get("id", ""))).split()
+    role = re.sub("[^a-z]", "", found.get("role", ""))
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    noise = tag in NOISE_TAGS or role in NOISE_ROLES or bool(words & NOISE_WORDS) or hidden
-    main = not noise and (tag in ("article", "main") or role in ("main", "article"))
-    if tag == "header":
-        noise = True
-    return ".".join([tag, *sorted(names.split())]) + ("@" + role if role else ""), noise, main or (not noise and bool(words & MAIN_WORDS) and tag != "body")
+    return ".".join([tag, *sorted(names)]) + ("@" + role if role else "") + ("!" if hidden else "")
+
+
+@functools.lru_cache(100_000)
+def _hints(label: str) -> tuple[str, bool, bool, bool, bool]:
+    """(tag, certainly no main text, maybe none, a tag or role of main text, a word of main text)"""
+    tag, _, rest = label.lstrip("#").rstrip("!").partition("@")[0].partition(".")
+    role = label.rstrip("!").partition("@")[2]
+    words = set(re.split(r"[^a-z]+", rest))
+    hard = tag in NOISE_TAGS or role in NOISE_ROLES or label[-1] == "!"
+    strong = tag in ("article", "main") or role in ("main", "article")
+    weak = bool(words & MAIN_WORDS) and tag not in ("html", "body") and label[0] != "#"
+    return tag, hard, bool(words & NOISE_WORDS) or tag == "form", strong, weak
 
 
 class Block:
     """A run of text between block borders: its text, the containers around it, and the letters inside links."""
 
-    __slots__ = ("path", "slot", "after", "parts", "linked")
+    __slots__ = ("at", "slot", "after", "parts", "linked")
 
-    def __init__(self, path, slot, after):
-        self.path, self.slot, self.after, self.parts, self.linked = path, slot, after, [], 0
+    def __init__(self, at, slot, after):
+        self.at, self.slot, self.after, self.parts, self.linked = at, slot, after, [], 0
 
     def text(self) -> str:
         return _SPACE.sub(" ", entities.unescape("".join(self.parts))).strip()
 
 
 def parse(page: str):
-    """(blocks, containers in order) of a page; a container is (path, label, noise, main, parent index)."""
-    containers = [("", "", False, False, -1)]
+    """(blocks, containers in order) of a page; a container is (tag, label, parent index)."""
+    containers = [("", "", -1)]
     stack = [0]
     blocks: list[Block] = []
     block: Block | None = None
@@ -129,19 +143,13 @@ def parse(page: str):
                 links = 0
                 if closing:
                     for i in range(len(stack) - 1, 0, -1):
-                        if containers[stack[i]][1].split(".")[0].split("@")[0] == tag:
+                        if containers[stack[i]][0] == tag:
                             del stack[i:]
                             break
                 elif not attributes.endswith("/") or tag not in VOID:
-                    parent = stack[-1]
                     if tag == "body":  # a body never lies in a head that was left open
-                        stack[:] = [i for i in stack if containers[i][1].split(".")[0] != "head"]
-                        parent = stack[-1]
-                    path, _, noise, main, _ = containers[parent]
-                    label, own_noise, own_main = _label(tag, attributes)
-                    if own_noise and tag == "header" and main:
-                        own_noise = False  # the heading of an article belongs to it
-                    containers.append((f"{path}/{label}", label, noise or own_noise, main or own_main, parent))
+                        stack[:] = [i for i in stack if containers[i][0] != "head"]
+                    containers.append((tag, _label(tag, attributes), stack[-1]))
                     stack.append(len(containers) - 1)
         found = _TOKEN.search(page, at)
 
@@ -190,26 +198,33 @@ def fold(items: list) -> list:
     return out
 
 
-def skeleton(blocks, containers) -> list:
-    """The folded tree of one page."""
+def tree(texts, blocks, containers) -> list:
+    """Elements of one page as [label, children]; a slot has its number among the page's texts instead of children."""
     depth = [0] * len(containers)
     place = [0] * len(containers)
     for i in range(1, len(containers)):
-        parent = place[containers[i][4]]
+        parent = place[containers[i][2]]
         depth[i] = depth[parent] + 1
         place[i] = i if depth[i] <= DEPTH else parent
     # A slot stands behind the containers that were there when it began.
     inner: list[list] = [[] for _ in containers]
-    for block in blocks:
-        if block.text():
-            inner[place[block.path]].append((block.after + 0.5, [block.slot, True, False, []]))
-    folded: list = []
+    number = 0
+    for text, block in zip(texts, blocks, strict=True):
+        if text:
+            inner[place[block.at]].append((block.after + 0.5, [block.slot, number]))
+            number += 1
+    items: list = []
     for i in range(len(containers) - 1, -1, -1):
         if place[i] == i:
-            folded = fold([item for _, item in sorted(inner[i], key=lambda x: x[0])])
+            items = [item for _, item in sorted(inner[i], key=lambda x: x[0])]
             if i:
-                inner[place[containers[i][4]]].append((i, [containers[i][1], True, False, folded]))
-    return folded
+                inner[place[containers[i][2]]].append((i, [containers[i][1], items]))
+    return items
+
+
+def skeleton(items: list) -> list:
+    """The folded tree of one page."""
+    return fold([[label, True, False, [] if isinstance(inner, int) else skeleton(inner)] for label, inner in items])
 
 
 def written(items: list) -> str:
@@ -224,38 +239,190 @@ def written(items: list) -> str:
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)"
 
 
+# The elements of a wrapper have numbers in page order; every slot of a page belongs to one of them.
+
+
+def level(items: list, elements: list, parent: int = -1) -> tuple:
+    """One level of a wrapper made for matching: its elements in order, with the repeated groups around each, and their
+    places by label. Appends `(label, parent's number)` of every element to `elements`."""
+    entries: list = []
+
+    def add(items, loops):
+        for label, _, again, children in items:
+            if label[0] == "(":
+                loop = [len(entries), 0]
+                add(children, [loop, *loops])
+                loop[1] = len(entries)
+            else:
+                number = len(elements)
+                elements.append((label, parent))
+                entries.append((label, number, again, loops, level(children, elements, number)))
+
+    add(items, [])
+    places: dict[str, list[int]] = {}
+    for i, entry in enumerate(entries):
+        places.setdefault(entry[0], []).append(i)
+    return entries, places
+
+
+def _next(entries, places, at, label):
+    """The element that a page's next label stands for, if the one before was `at`: the same one again, the next one or the
+    first one of a repeated group, else the next one of all, else the last one."""
+    if at >= 0 and entries[at][0] == label and entries[at][2]:
+        return at
+    k = bisect.bisect_right(places, at)
+    ahead = places[k] if k < len(places) else None
+    if at >= 0:
+        for start, end in entries[at][3]:
+            if ahead is not None and ahead < end:
+                return ahead
+            k = bisect.bisect_left(places, start)
+            if k < len(places) and places[k] <= at:
+                return places[k]
+    return places[-1] if ahead is None else ahead
+
+
+def matched(items: list, wrapper: tuple, out: list, parent: int = -1) -> list:
+    """`out` with the number of a wrapper's element for every slot of the page."""
+    entries, places = wrapper
+    at = -1
+    for label, inner in items:
+        if label not in places:  # no page of the host was like this
+            number, below = parent, ([], {})
+        else:
+            at = _next(entries, places[label], at, label)
+            _, number, _, _, below = entries[at]
+        if isinstance(inner, int):
+            out[inner] = number
+        else:
+            matched(inner, below, out, number)
+    return out
+
+
+def _marks(elements: list) -> list:
+    """Per element (certainly no main text, inside what says that it is the main text): by tags, roles and words of it and
+    of what is around it."""
+    out: list = []
+    for label, parent in elements:
+        tag, hard, soft, strong, weak = _hints(label)
+        out_of, inside = out[parent] if parent >= 0 else (False, False)
+        hard = out_of or hard or (tag == "header" and not inside)  # the heading of an article belongs to it
+        out.append((hard, not hard and (inside or (weak and (strong or not soft)) or (strong and not soft))))
+    return out
+
+
+def choose(elements: list, stats: dict) -> tuple[list[int], list[int]]:
+    """(slots of main containers, slots for pages that have none of these), as numbers of elements.
+
+    `stats` has per element, summed over the host's distinct pages that have it: pages, letters, linked letters, letters
+    inside what says that it is the main text, these and all letters of the whole pages, texts, distinct texts.
+    """
+    marks = _marks(elements)
+    zero = (0,) * 8
+    noise, main, sure, links = [], [], [], []
+    for e, (label, parent) in enumerate(elements):
+        tag, _, soft, strong, weak = _hints(label)
+        _, n, linked, own, mains, total, _, _ = stats.get(e, zero)
+        # A word alone makes nothing noise that holds most of the main text.
+        most = own >= 0.5 * mains > 0 or ((not mains or tag == "article" or label[0] == "#") and n >= 0.5 * total)
+        bad = marks[e][0] or (soft and tag not in ("html", "body", "main") and not most)
+        noise.append(bad or (parent >= 0 and noise[parent]))
+        links.append(linked >= 0.9 * n or (parent >= 0 and links[parent]))
+        up = main[parent] if parent >= 0 else -1
+        main.append(up if up >= 0 else e if (strong or weak) and not noise[e] else -1)
+        sure.append((strong and not noise[e]) or (parent >= 0 and sure[parent]))
+    slots = [e for e, (label, _) in enumerate(elements) if label[0] == "#" and not noise[e] and e in stats]
+    varying = [e for e in slots if sure[e] or not _constant(stats[e])] or slots
+    first = max({main[e] for e in varying} - {-1}, key=lambda e: (stats[e][1], -e), default=-1)
+    return [e for e in varying if first >= 0 and main[e] == first], [e for e in varying if not links[e]]
+
+
+def _constant(stat) -> bool:
+    """Do texts of this element recur on half of its pages, on average?"""
+    pages, *_, texts, distinct = stat
+    return pages >= MIN_PAGES and 2 * texts >= pages * distinct
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def _measure(batches):
-    """Per page: its folded stream, and for each container path the letters and linked letters of its slots."""
+    """Per page: its host, folded stream, tree, and digests, letters and linked letters of its texts."""
     for batch in batches:
-        hosts, skeletons, paths = [], [], []
+        rows = []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             blocks, containers = parse(page or "")
-            sums: dict[int, list[int]] = {}
-            for block in blocks:
-                n = len(block.text())
-                at = block.path
-                while n and at > 0:
-                    own = sums.setdefault(at, [0, 0])
-                    own[0] += n
-                    own[1] += min(n, block.linked)
-                    at = containers[at][4]
-            by_path: dict[str, dict] = {}
-            for at, (n, linked) in sums.items():
-                path, label, noise, main, parent = containers[at]
-                row = by_path.setdefault(
-                    path, {"path": path, "noise": noise, "main": main and not containers[parent][3], "n": 0, "linked": 0}
-                )
-                row["n"] += n
-                row["linked"] += linked
-            hosts.append(host)
-            skeletons.append(json.dumps(skeleton(blocks, containers), separators=(",", ":"), ensure_ascii=False))
-            paths.append(list(by_path.values()))
-        kind = pa.struct(
-            [("path", pa.string()), ("noise", pa.bool_()), ("main", pa.bool_()), ("n", pa.int64()), ("linked", pa.int64())]
-        )
+            texts = [block.text() for block in blocks]
+            items = tree(texts, blocks, containers)
+            pairs = [(text, block) for text, block in zip(texts, blocks, strict=True) if text]
+            rows.append(
+                {
+                    "host": host,
+                    "skeleton": json.dumps(skeleton(items), separators=(",", ":"), ensure_ascii=False),
+                    "tree": json.dumps(items, separators=(",", ":"), ensure_ascii=False),
+                    "digests": [_digest(text) for text, _ in pairs],
+                    "n": [len(text) for text, _ in pairs],
+                    "linked": [min(len(text), block.linked) for text, block in pairs],
+                }
+            )
+        longs = pa.list_(pa.int64())
+        kinds = [("host", pa.string()), ("skeleton", pa.string()), ("tree", pa.string()), ("digests", longs), ("n", longs), ("linked", longs)]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+
+
+def _count(batches):
+    """Per page: `<element, n, linked, own, mains, total, digests>` of every element that it has."""
+    number = pa.int64()
+    names = ["n", "linked", "own", "mains", "total"]
+    kind = pa.struct([("element", pa.int32()), *[(name, number) for name in names], ("digests", pa.list_(number))])
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            wrapper, elements, marks = _compiled(row["wrapper"])
+            found: dict[int, list] = {}
+            mains = total = 0
+            slots = matched(json.loads(row["tree"]), wrapper, [-1] * len(row["n"]))
+            for e, digest, n, linked in zip(slots, row["digests"], row["n"], row["linked"], strict=True):
+                if e < 0:
+                    continue
+                hard, inside = marks[e]
+                own = n if inside else 0
+                mains += own
+                total += 0 if hard else n
+                found.setdefault(e, [0, 0, 0, set()])[3].add(digest)
+                while e >= 0:
+                    sums = found.setdefault(e, [0, 0, 0, set()])
+                    sums[0] += n
+                    sums[1] += linked
+                    sums[2] += own
+                    e = elements[e][1]
+            rows.append(
+                [
+                    {"element": e, "n": n, "linked": linked, "own": own, "mains": mains, "total": total, "digests": list(digests)}
+                    for e, (n, linked, own, digests) in found.items()
+                ]
+            )
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(rows, pa.list_(kind))], names=["host", "found"])
+
+
+@functools.lru_cache(16)
+def _compiled(wrapper: str):
+    elements: list = []
+    return level(json.loads(wrapper), elements), elements, _marks(elements)
+
+
+def _choose(batches):
+    for batch in batches:
+        mains, rest = [], []
+        for wrapper, stats in zip(batch.column("skeleton").to_pylist(), batch.column("stats").to_pylist(), strict=True):
+            both = choose(_compiled(wrapper)[1], {s["element"]: tuple(s.values())[1:] for s in stats or []})
+            mains.append(both[0])
+            rest.append(both[1])
+        ints = pa.list_(pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(skeletons, pa.string()), pa.array(paths, pa.list_(kind))],
-            names=["host", "skeleton", "paths"],
+            [*(batch.column(c) for c in ("host", "n_pages", "skeleton")), pa.array(mains, ints), pa.array(rest, ints)],
+            names=["host", "n_pages", "skeleton", "mains", "rest"],
         )
 
 
@@ -281,70 +448,78 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """`<host, n_pages, skeleton, mains, links>` of `<host, html>`: the wrapper (see `written`), the paths of main
-    containers, best first, and of containers that are nearly all links."""
+    """`<host, n_pages, skeleton, mains, rest>` of `<host, html>`: the wrapper (see `written`) and its chosen slots (see
+    `choose`)."""
+    longs = "array<bigint>"
     measured = materialize(
         pages.select("host", "html").mapInArrow(
-            _measure,
-            "host string, skeleton string, paths array<struct<path:string,noise:boolean,main:boolean,n:bigint,linked:bigint>>",
+            _measure, f"host string, skeleton string, tree string, digests {longs}, n {longs}, linked {longs}"
         ),
         "page-streams",
     )
+    whole = materialize(aligned(measured.groupBy("host", "skeleton").agg(F.count("*").alias("n"))), "aligned")
+    # Copies of a page say nothing about what its host repeats.
+    distinct = measured.drop("skeleton").dropDuplicates(["host", "tree", "digests"])
+    counted = distinct.join(whole.select("host", F.col("skeleton").alias("wrapper")), "host").mapInArrow(
+        _count,
+        "host string, found array<struct<element:int,n:bigint,linked:bigint,own:bigint,mains:bigint,total:bigint,"
+        f"digests:{longs}>>",
+    )
+    found = materialize(counted, "page-elements").select("host", F.explode("found").alias("f")).select("host", "f.*")
+    sums = found.groupBy("host", "element").agg(
+        F.count("*").alias("pages"),
+        *[F.sum(c).alias(c) for c in ("n", "linked", "own", "mains", "total")],
+        F.sum(F.size("digests").cast("bigint")).alias("texts"),
+    )
+    texts = found.select("host", "element", F.explode("digests").alias("digest"))
+    texts = texts.groupBy("host", "element").agg(F.count_distinct("digest").alias("distinct"))
+    stat = F.struct("element", "pages", "n", "linked", "own", "mains", "total", "texts", F.coalesce("distinct", F.lit(0)).alias("distinct"))
+    stats = sums.join(texts, ["host", "element"], "left").groupBy("host").agg(F.collect_list(stat).alias("stats"))
+    return (
+        whole.select("host", F.col("n").alias("n_pages"), "skeleton")
+        .join(stats, "host", "left")
+        .mapInArrow(_choose, "host string, n_pages bigint, skeleton string, mains array<int>, rest array<int>")
+    )
+
+
+def aligned(streams: DataFrame) -> DataFrame:
+    """`<host, skeleton, n>`: one wrapper per host of `<host, skeleton, n>`."""
     schema = "host string, salt int, skeleton string, n bigint"
-    streams = measured.groupBy("host", "skeleton").agg(F.count("*").alias("n"))
     salted = streams.withColumn("salt", F.pmod(F.xxhash64("skeleton"), F.lit(SALTS)).cast("int"))
     parts = salted.groupBy("host", "salt").applyInPandas(lambda frame: _align(frame), schema)
-    whole = parts.groupBy("host").applyInPandas(lambda frame: _align(frame), schema)
-    sums = (
-        measured.select("host", F.explode("paths").alias("p"))
-        .groupBy("host", "p.path")
-        .agg(F.sum("p.n").alias("n"), F.sum("p.linked").alias("linked"), F.max("p.noise").alias("noise"), F.max("p.main").alias("main"))
-    )
-    depth = F.size(F.split("path", "/"))
-    chosen = sums.groupBy("host").agg(
-        F.sort_array(
-            F.collect_list(F.when(F.col("main") & ~F.col("noise"), F.struct("n", (-depth).alias("d"), "path"))), asc=False
-        ).alias("mains"),
-        F.collect_list(F.when((F.col("linked") >= 0.9 * F.col("n")) & ~F.col("noise"), F.col("path"))).alias("links"),
-    )
-    chosen = chosen.withColumn("mains", F.transform("mains", lambda x: x["path"]))
-    return whole.select("host", F.col("n").alias("n_pages"), "skeleton").join(chosen, "host", "left")
+    return parts.groupBy("host").applyInPandas(lambda frame: _align(frame), schema).drop("salt")
 
 
 def _extract(batches, extra):
     for batch in batches:
         texts = []
-        columns = (batch.column(c).to_pylist() for c in ("html", "mains", "links"))
-        for page, mains, links in zip(*columns, strict=True):
-            texts.append(main_text(page or "", mains or [], links or []))
+        columns = (batch.column(c).to_pylist() for c in ("html", "skeleton", "mains", "rest"))
+        for page, wrapper, mains, rest in zip(*columns, strict=True):
+            texts.append(main_text(page or "", wrapper or "[]", mains or [], rest or []))
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in extra), pa.array(texts, pa.string())], names=[*extra, "text"]
         )
 
 
-def main_text(page: str, mains: list[str], links: list[str]) -> str:
-    """Blocks of the first of `mains` that the page has, else of the page without `links`."""
+def main_text(page: str, wrapper: str, mains: list[int], rest: list[int]) -> str:
+    """Texts that the page has in the slots `mains` of its host's wrapper, else those in the slots `rest`."""
     blocks, containers = parse(page)
-    paths = {path for path, *_ in containers}
-    chosen = next((path for path in mains if path in paths), None)
-    linked = set(links)
-    inside = [False] * len(containers)
-    inside[0] = chosen is None
-    for i, (path, _, noise, _, parent) in enumerate(containers):
-        if i:
-            into = inside[parent] or path == chosen
-            inside[i] = into and not noise and not (chosen is None and path in linked)
-    return "\n".join(text for block in blocks if inside[block.path] and (text := block.text()))
+    texts = [block.text() for block in blocks]
+    slots = matched(tree(texts, blocks, containers), _compiled(wrapper)[0], [-1] * len(blocks))
+    chosen = set(mains)
+    if chosen.isdisjoint(slots):
+        chosen = set(rest)
+    return "\n".join(text for text, e in zip(filter(None, texts), slots) if e in chosen)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """`<page_id, url, text>` for every row of `<page_id, url, html>`."""
     hosted = with_host(pages.select("page_id", "url", "html"))
-    rules = materialize(wrappers(hosted), "wrappers").select("host", "mains", "links")
+    rules = materialize(wrappers(hosted), "wrappers").select("host", "skeleton", "mains", "rest")
     kind = pages.schema["page_id"].dataType.simpleString()
     return (
         hosted.join(rules, "host", "left")
-        .select("page_id", "url", "html", "mains", "links")
+        .select("page_id", "url", "html", "skeleton", "mains", "rest")
         .mapInArrow(lambda batches: _extract(batches, ["page_id", "url"]), f"page_id {kind}, url string, text string")
     )
 

@@ -255,6 +255,23 @@ def test_html_leaves_out_what_is_no_main_text(spark):
     assert "ul(#li+)*" in written["h0.example.com"] and "ul(#li+)+" in written["h1.example.com"]
 
 
+def extracted(spark, pages):
+    rows = [(i, f"http://h.example.com/{i}", page) for i, page in enumerate(pages)]
+    given = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    return [r.text.split("\n") for r in html.extract(given).orderBy("page_id").collect()]
+
+
+def test_html_wrapper_tells_the_frame_of_a_host_without_telling_names(spark):
+    page = (
+        "<body><div class=c1><p>Home of all things</div>{advert}<div class=c2><h1>Title {i}</h1><p>Text {i}<p>More {i}</div>"
+        "<div class=c3><p>We use crumbs</div><div class=c4>Imprint, all rights kept</div></body>"
+    )
+    pages = [page.format(i=i, advert="<div class=c5><p>Buy now</p></div>" * (i % 2)) for i in range(12)]
+    assert extracted(spark, pages) == [[f"Title {i}", f"Text {i}", f"More {i}"] for i in range(12)]
+    # Copies of one page are no frame.
+    assert extracted(spark, pages[:1] * 12)[0][1] == "Title 0"
+
+
 # Personal data
 
 RULES = {
