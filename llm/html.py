@@ -49,6 +49,11 @@ CONTAINERS = frozenset(
     "html head body div section article main nav aside header footer form ul ol dl menu table thead tbody tfoot tr "
     "blockquote figure fieldset details dialog select button center".split()
 )
+# Leaves that can hold containers, what ends them besides their end tag, and what holds them.
+NESTS = frozenset("li dt dd td th figcaption caption summary address".split())
+ENDS = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+ROWS = frozenset("tr thead tbody tfoot".split())
+SCOPES = frozenset("ul ol dl menu table".split())
 # What isn't main text by its tag, its role, or a word of its class or id.
 NOISE_TAGS = frozenset("head nav aside footer menu dialog select button".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu".split())
@@ -103,6 +108,17 @@ class Block:
         return _SPACE.sub(" ", entities.unescape("".join(self.parts))).strip()
 
 
+def _leave(tag: str, stack: list[int], containers: list) -> None:
+    """Close an open item or cell of the innermost list or table."""
+    ends = ENDS.get(tag, (tag,))
+    for i in range(len(stack) - 1, 0, -1):
+        if containers[stack[i]][0] in ends:
+            del stack[i:]
+            return
+        if containers[stack[i]][0] in SCOPES:
+            return
+
+
 def parse(page: str):
     """(blocks, containers in order) of a page; a container is (tag, label, parent index)."""
     containers = [("", "", -1)]
@@ -137,10 +153,22 @@ def parse(page: str):
             elif tag == "hr":
                 block = None
             elif tag in LEAVES:
-                block, slot = None, "#" if closing else f"#{tag}"
+                block, slot = None, "#"
+                if tag in NESTS:
+                    _leave(tag, stack, containers)
+                if not closing:
+                    label = _label(tag, attributes)
+                    slot = "#" + label
+                    _, hard, soft, *_ = _hints(slot)
+                    if tag in NESTS and (hard or soft):  # what lies inside is marked, too
+                        containers.append((tag, label, stack[-1]))
+                        stack.append(len(containers) - 1)
             elif tag in CONTAINERS:
                 block, slot = None, "#"
                 links = 0
+                if tag in ROWS:
+                    _leave("td", stack, containers)
+                    _leave("th", stack, containers)
                 if closing:
                     for i in range(len(stack) - 1, 0, -1):
                         if containers[stack[i]][0] == tag:

@@ -272,6 +272,23 @@ def test_html_wrapper_tells_the_frame_of_a_host_without_telling_names(spark):
     assert extracted(spark, pages[:1] * 12)[0][1] == "Title 0"
 
 
+@pytest.mark.parametrize(
+    "start,end",
+    [
+        ("<body class='has-sidebar'>", ""),
+        ("<body id=no-sidebar><div class='content-sidebar-wrap'>", "</div>"),
+        ("<body><div class='page-with-comments'><form action=/>", "</form></div>"),
+    ],
+)
+def test_html_words_of_a_class_lose_no_article_and_hold_for_leaves(spark, start, end):
+    page = (
+        f"{start}<article class='post comments-open'><h1>Title</h1><p data-id=ad title='hidden words'>Some long text of it</p>"
+        "<p class=advert>Buy</p><ul><li class=comment><div class=c1>Nice</div></li><li>One</ul><p hidden>Not seen</p>"
+        f"<table><tr><td>Cell<td class='ad'><p>Buy</p><tr><td>Last</table></article><div class=comments>Great</div>{end}"
+    )
+    assert extracted(spark, [page]) == [["Title", "Some long text of it", "One", "Cell", "Last"]]
+
+
 # Personal data
 
 RULES = {
