@@ -9,7 +9,7 @@ Every page is matched against its host's wrapper, which gives each of its texts
 the host's distinct pages: letters, letters inside links, and how often their texts recur. What is menu, header, footer,
 sidebar or hidden by its tag or role is no main text, and what a word of its class or id calls advert, comments or the
 like only if it holds less than half of the main text. Texts that recur on half of an element's pages are the host's frame,
-unless they stand in an article or main. A page then gives its texts in the host's main container, in page order; if it
+unless they stand in an article or main. A page then gives its texts in all main containers, in page order; if it
 has none, all others but those of elements that are nearly all links.
 
 Equal streams of a host are counted before the shuffle and aligned in `SALTS` parts first, so a host with a third of
@@ -44,6 +44,8 @@ DEPTH = 48  # containers below this depth count as part of the one above, in wra
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "title", "textarea", "noscript", "iframe", "template", "svg", "math", "canvas", "object", "xmp")
+FOREIGN = frozenset(("svg", "math"))
+FALLBACKS = frozenset("svg math canvas object".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre figcaption caption td th summary address".split())
 CONTAINERS = frozenset(
     "html head body div section article main nav aside header footer form ul ol dl menu table thead tbody tfoot tr "
@@ -141,8 +143,10 @@ def parse(page: str):
         closing, tag, attributes, end = found.group(1), (found.group(2) or "").lower(), found.group(3), found.group(4)
         if tag and end == ">":
             if not closing and tag in _RAW_END:
-                finish = _RAW_END[tag].search(page, at)
-                at = finish.end() if finish else len(page)
+                if tag not in FOREIGN or not attributes.endswith("/"):
+                    finish = _RAW_END[tag].search(page, at)
+                    # Unclosed fallbacks hide their tag only, unclosed scripts the rest of the page.
+                    at = finish.end() if finish else at if tag in FALLBACKS else len(page)
                 if tag not in ("title", "textarea", "noscript") and block is not None:
                     block.parts.append(" ")
             elif tag == "a":
@@ -361,8 +365,24 @@ def choose(elements: list, stats: dict) -> tuple[list[int], list[int]]:
         sure.append((strong and not noise[e]) or (parent >= 0 and sure[parent]))
     slots = [e for e, (label, _) in enumerate(elements) if label[0] == "#" and not noise[e] and e in stats]
     varying = [e for e in slots if sure[e] or not _constant(stats[e])] or slots
-    first = max({main[e] for e in varying} - {-1}, key=lambda e: (stats[e][1], -e), default=-1)
-    return [e for e in varying if first >= 0 and main[e] == first], [e for e in varying if not links[e]]
+    parts = _main_parts(elements, stats, {main[e] for e in varying} - {-1}, sure)
+    return [e for e in varying if main[e] in parts], [e for e in varying if not links[e]]
+
+
+def _main_parts(elements, stats, mains, sure) -> set[int]:
+    """All main containers but teasers. Containers side by side count together. By a tag or role a part is main text in any
+    case; by words, if its group holds at least half of the text of the pages it is on, or if the host has such a part and
+    it holds a tenth."""
+    groups: dict[int, list[int]] = {}
+    for e in mains:
+        groups.setdefault(elements[e][1], []).append(e)
+    parts: set[int] = set()
+    for group in groups.values():
+        words = [e for e in group if not sure[e]]
+        parts.update(e for e in group if sure[e])
+        if 2 * sum(stats[e][1] for e in words) >= max((stats[e][5] for e in words), default=0):
+            parts.update(words)
+    return parts | {e for e in mains if parts and 10 * stats[e][1] >= stats[e][5]}
 
 
 def _constant(stat) -> bool:

@@ -289,6 +289,23 @@ def test_html_words_of_a_class_lose_no_article_and_hold_for_leaves(spark, start,
     assert extracted(spark, [page]) == [["Title", "Some long text of it", "One", "Cell", "Last"]]
 
 
+def test_html_takes_all_main_containers_but_no_teaser_alone(spark):
+    long = "<p>" + "Long text. " * 30 + "</p>"
+    text = ("Long text. " * 30).strip()
+    for one, two in (
+        ("<div class=entry-header><h1>Title</h1></div>", "<div class=entry-content>{}</div>"),
+        ("<article id=intro>Title</article>", "<article id=part>{}</article>"),
+        ("<div class=text>Title</div>", "<div class='content more'>{}</div>"),
+        ("<div class=text>Title</div>", "<div class=c7>{}</div>"),
+    ):
+        assert extracted(spark, [f"<body>{one}{two.format(long)}<footer>f</footer>"]) == [["Title", text]]
+
+
+def test_html_self_closed_and_unclosed_elements_drop_nothing_else():
+    for start in ("<svg/>", "<math />", "<svg class=a/>", "<object data=x>", "<canvas>", "<svg><path/></svg>"):
+        assert [b.text() for b in html.parse(f"<p>a</p>{start}<p>b</p>")[0]] == ["a", "b"]
+
+
 # Personal data
 
 RULES = {
