@@ -12,8 +12,8 @@ like only if it holds less than half of the main text. Texts that recur on half
 unless they stand in an article or main. A page then gives its texts in all main containers, in page order; if it
 has none, all others but those of elements that are nearly all links.
 
-Equal streams of a host are counted before the shuffle and aligned in `SALTS` parts first, so a host with a third of
-all pages is a few rows. Pages meet their host's wrapper by a join on the host.
+Equal streams of a host are counted before the shuffle and aligned in rounds, in parts of about `PART`, until one is left;
+whatever the share of the host. Pages meet their host's wrapper by a join on the host.
 
 Defined cases: null and empty html give an empty text; broken or cut markup is read as far as it goes, an unfinished tag
 at the end is dropped; pages without a host in their url share one wrapper; repeated rows give equal rows; other columns
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from llm.registry import query, table
 from tagloom.session import materialize, spread
 
-SALTS = 16
+PART = 64  # streams that are aligned one after the other
 MIN_PAGES = 5  # distinct pages from which texts that recur count as the host's frame
 DEPTH = 48  # containers below this depth count as part of the one above, in wrappers only
 
@@ -484,7 +484,7 @@ def _align(frame):
     return pd.DataFrame(
         {
             "host": [frame["host"].iloc[0]],
-            "salt": [0],
+            "part": [0],
             "skeleton": [json.dumps(wrapper, separators=(",", ":"), ensure_ascii=False)],
             "n": [int(frame["n"].sum())],
         }
@@ -505,7 +505,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         ),
         "page-streams",
     )
-    whole = materialize(aligned(measured.groupBy("host", "skeleton").agg(F.count("*").alias("n"))), "aligned")
+    whole = aligned(measured.groupBy("host", "skeleton").agg(F.count("*").alias("n")))
     # Copies of a page say nothing about what its host repeats.
     distinct = measured.drop("skeleton").dropDuplicates(["host", "tree", "digests"])
     counted = distinct.join(whole.select("host", F.col("skeleton").alias("wrapper")), "host").mapInArrow(
@@ -531,11 +531,19 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def aligned(streams: DataFrame) -> DataFrame:
-    """`<host, skeleton, n>`: one wrapper per host of `<host, skeleton, n>`."""
-    schema = "host string, salt int, skeleton string, n bigint"
-    salted = streams.withColumn("salt", F.pmod(F.xxhash64("skeleton"), F.lit(SALTS)).cast("int"))
-    parts = salted.groupBy("host", "salt").applyInPandas(lambda frame: _align(frame), schema)
-    return parts.groupBy("host").applyInPandas(lambda frame: _align(frame), schema).drop("salt")
+    """`<host, skeleton, n>`: one wrapper per host of `<host, skeleton, n>`, in rounds of parts of about `PART` streams."""
+    schema = "host string, part int, skeleton string, n bigint"
+    while True:
+        streams = materialize(streams, "aligned")
+        sizes = streams.groupBy("host").agg(F.count("*").alias("size"))
+        if (sizes.agg(F.max("size")).first()[0] or 0) <= 1:
+            return streams
+        parts = F.ceil(F.col("size") / PART)
+        parted = streams.join(sizes, "host").select(
+            "host", "skeleton", "n", F.pmod(F.xxhash64("skeleton"), parts).cast("int").alias("part")
+        )
+        merged = parted.groupBy("host", "part").applyInPandas(lambda frame: _align(frame), schema)
+        streams = merged.groupBy("host", "skeleton").agg(F.sum("n").alias("n"))
 
 
 def _extract(batches, extra):

@@ -306,6 +306,21 @@ def test_html_self_closed_and_unclosed_elements_drop_nothing_else():
         assert [b.text() for b in html.parse(f"<p>a</p>{start}<p>b</p>")[0]] == ["a", "b"]
 
 
+def test_html_aligns_in_parts_of_bounded_size(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    tags = ["p", "ul", "dl", "ol", "table", "pre", "h2"]
+    rows = [
+        ("h", json.dumps([["body", True, False, [[t, True, False, []] for b, t in enumerate(tags) if i >> b & 1]]]), 2)
+        for i in range(128)
+    ]
+    given = spark.createDataFrame(rows, "host string, skeleton string, n bigint")
+    monkeypatch.setattr(html, "PART", 10)
+    (row,) = html.aligned(given).collect()
+    assert row.n == 256 and all(tag in row.skeleton for tag in tags)
+    assert html.aligned(given.filter(F.lit(False))).count() == 0
+
+
 # Personal data
 
 RULES = {
