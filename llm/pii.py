@@ -1,15 +1,17 @@
 r"""Personal data by bootstrapped contextual extraction, in DataFrame functions alone.
 
 Seeds are spans of four kinds that fixed rules find (e-mail, IP address, payment card, phone). Every seed, and every
-other token with at least four digits, is an instance with a lexical pattern: the word before it and its shape
-(digits as 9, runs of letters as a). Patterns and instances form a graph that Spark scores in `ROUNDS` rounds:
+other chain of six to 25 digits with single separators or word with an `@`, is an instance with lexical patterns: the word
+before it, or up to two words behind it, each with its coarse class (an `@`, four numbers with dots, 16 to 19 digits, other
+digits). Patterns and instances form a graph that Spark scores in `ROUNDS` rounds:
 
-* a pattern's confidence for a kind is the mean score of its instances (a seed has 1, others what they have so far),
-  if at least `MIN_SEEDS` different seeds support it;
+* a pattern's confidence for a kind is the mean score of its instances (a seed has 1, others what they have so far), if at
+  least `MIN_SEEDS` different seeds, or instances that are found by now, support it; so each round adds patterns;
 * an instance's score is that no pattern around it is wrong about it: 1 - prod(1 - confidence).
 
-Instances that end above `MIN_SCORE` through patterns above `MIN_SCORE` become spans of that kind: a card number with a
-wrong check digit after "card no", a phone without country code after "call". Seeds always stay.
+Instances above `MIN_SCORE` with a pattern above `MIN_SCORE` are found, and at the end become spans of that kind: a card
+number with a wrong check digit after "card no", a phone without country code after "call". Seeds always stay; of a
+chain that overlaps one, numbers without blanks are instances of their own.
 
 Places come from the text itself: matches are fenced with a mark that no pattern can match, the text is split at the
 marks, and lengths of the pieces add up to code point offsets. Patterns are written so that no text length leads to
@@ -34,7 +36,7 @@ KINDS = ["email", "ip", "card", "phone"]
 ROUNDS = 3
 MIN_SEEDS = 5
 MIN_SCORE = 0.8
-CUE_CHARS = 48  # characters before an instance in which its cue is looked for
+CUE_CHARS = 48  # characters before and behind an instance in which its cues are looked for
 
 _MARK, _OTHER = "\x01", "\x02"
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -44,9 +46,18 @@ IP = r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}"
 # A chain of digits with single separators that can't be longer to either side and has 16 to 19 digits.
 CARD = r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TOKEN = r"(?<![^\s\x22'=:(\[])(?=(?:[^0-9\s]*+[0-9]){4})[^\s\x22']*[0-9A-Za-z]"
+# Anything around an @, and digits with up to a blank, a sign and a blank between two of them.
+AROUND = r"[^\s\x22'<>()\[\],;:@]"
+JOINT = r"\x20?[().\x2F-]?\x20?"
+TOKEN = (
+    rf"(?<!{AROUND}){AROUND}++@{AROUND}*[0-9\p{{L}}]"
+    rf"|(?<![0-9A-Za-z_@])(?<![0-9][\x20().\x2F-])(?:\+\x20?)?(?:\((?=[0-9]{{1,8}}\)))?[0-9](?:{JOINT}[0-9]){{5,24}}+"
+    rf"(?![A-Za-z_@])(?!{JOINT}[0-9])"
+)
+# The same without blanks, for numbers side by side that are no chain of that length or touch a seed.
+ALONE = r"(?<![^\s\x22'=:(\[])[0-9](?:[().\x2F-]?[0-9]){5,24}+(?![^\s\x22',;:!?.)\]])(?![.][0-9])"
 
-_SPAN = "array<struct<start:bigint,end:bigint,value:string,before:string>>"
+_SPAN = "array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>"
 
 
 def _digits(value: Column) -> Column:
@@ -90,26 +101,32 @@ _RULES = {
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """Matches as `<start, end, value, before>`, offsets in code points."""
+    """Matches as `<start, end, value, before, after>`, offsets in code points."""
     fenced = F.regexp_replace(F.translate(text, _MARK, _OTHER), pattern, f"{_MARK}$0{_MARK}")
-    pieces = F.split(fenced, _MARK)
+    pieces = F.split(fenced, _MARK)  # every match has a piece behind it, which may be empty
     state = F.struct(
         F.lit(0).cast("bigint").alias("at"),
         F.lit("").alias("before"),
+        F.lit(None).cast("string").alias("value"),
         F.lit(False).alias("inside"),
         F.array().cast(_SPAN).alias("found"),
     )
 
     def step(acc, piece):
-        end = acc["at"] + F.length(piece)
         span = F.struct(
-            acc["at"].alias("start"), end.alias("end"), piece.alias("value"), F.right(acc["before"], F.lit(CUE_CHARS)).alias("before")
+            (acc["at"] - F.length(acc["value"])).alias("start"),
+            acc["at"].alias("end"),
+            acc["value"].alias("value"),
+            F.right(acc["before"], F.lit(CUE_CHARS)).alias("before"),
+            F.left(piece, F.lit(CUE_CHARS)).alias("after"),
         )
+        ended = ~acc["inside"] & acc["value"].isNotNull()
         return F.struct(
-            end.alias("at"),
-            piece.alias("before"),
+            (acc["at"] + F.length(piece)).alias("at"),
+            F.when(acc["inside"], acc["before"]).otherwise(piece).alias("before"),
+            F.when(acc["inside"], piece).alias("value"),
             (~acc["inside"]).alias("inside"),
-            F.when(acc["inside"], F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"),
+            F.when(ended, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"),
         )
 
     return F.aggregate(pieces, state, step, lambda acc: acc["found"])
@@ -119,13 +136,13 @@ def _seeds(found: Column, kind: int, valid) -> Column:
     if valid is not None:
         found = F.filter(found, lambda x: valid(x["value"]))
     return F.transform(
-        found, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"], x["end"], x["value"], x["before"])
+        found, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"], x["end"], x["value"], x["before"], x["after"])
     )
 
 
 def base_spans(documents: DataFrame) -> DataFrame:
-    """`<doc_id, text_key, seeds, others>`: seeds `<kind, start, end, value, before>` in order of kind and start, and the
-    other tokens that have four digits."""
+    """`<doc_id, text_key, seeds, others>`: seeds `<kind, start, end, value, before, after>` in order of kind and
+    start, and the other instances."""
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast(_SPAN)
     kinds = []
@@ -137,56 +154,67 @@ def base_spans(documents: DataFrame) -> DataFrame:
         "doc_id",
         "text_key",
         F.concat(*kinds).alias("seeds"),
-        F.when(F.col("text").rlike("[0-9]"), _found(F.col("text"), TOKEN)).otherwise(none).alias("tokens"),
+        F.when(F.col("text").rlike("[0-9@]"), _found(F.col("text"), TOKEN)).otherwise(none).alias("tokens"),
+        F.when(F.col("text").rlike("[0-9]"), _found(F.col("text"), ALONE)).otherwise(none).alias("alone"),
     )
-    free = F.filter(
-        "tokens", lambda t: ~F.exists("seeds", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    )
-    return seeded.select("doc_id", "text_key", "seeds", free.alias("others"))
 
+    def free(spans, of):
+        return F.filter(spans, lambda t: ~F.exists(of, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+
+    seeded = seeded.withColumns({"tokens": free("tokens", "seeds"), "alone": free("alone", "seeds")})
+    others = F.concat("tokens", free("alone", "tokens"))
+    return seeded.select("doc_id", "text_key", "seeds", others.alias("others"))
 
-def _pattern(span: Column) -> Column:
-    """Word before and shape; null without a word before."""
-    cue = F.lower(F.regexp_extract(span["before"], r"([^\s\x22'(\[]+)[\s\x22'(\[]*\z", 1))
-    shape = F.regexp_replace(F.regexp_replace(span["value"], "[A-Za-z]+", "a"), "[0-9]", "9")
-    return F.when(cue != "", F.concat_ws(" ", cue, shape))
+
+def _patterns(span: Column) -> Column:
+    """The word before, and up to two words behind, each with the class of the value; none where there is no word."""
+    before = F.lower(F.regexp_extract(span["before"], r"([^\s\x22'(\[]+)[\s\x22'(\[]*\z", 1))
+    after = F.lower(F.regexp_extract(span["after"], r"\A[\s\x22'),.;:!?\]]*([^\s\x22']+(?:\s+[^\s\x22']+)?)", 1))
+    n = F.length(_digits(span["value"]))
+    kind = (
+        F.when(F.contains(span["value"], F.lit("@")), "@")
+        .when(span["value"].rlike(r"\A[0-9]+(?:\.[0-9]+){3}\z"), "9.9.9.9")
+        .when(n.between(16, 19), "16")
+        .otherwise("9")
+    )
+    both = F.array(F.when(before != "", F.concat(before, F.lit(" < "), kind)), F.when(after != "", F.concat(kind, F.lit(" > "), after)))
+    return F.array_compact(both)
 
 
 def discovered(scanned: DataFrame) -> DataFrame:
     """`<doc_id, text_key, more>`: unseen instances that confident patterns find, per document."""
     seeds = scanned.select(F.explode("seeds").alias("s")).select(
-        F.col("s.kind").alias("kind"), F.col("s.value").alias("value"), _pattern(F.col("s")).alias("pattern")
+        F.col("s.kind").alias("kind"), F.col("s.value").alias("value"), F.explode(_patterns(F.col("s"))).alias("pattern")
     )
     others = scanned.select("doc_id", "text_key", F.explode("others").alias("s")).select(
-        "doc_id", "text_key", "s.start", "s.end", F.col("s.value").alias("value"), _pattern(F.col("s")).alias("pattern")
-    )
-    seed_edges = seeds.filter("pattern IS NOT NULL").distinct()
-    # Only patterns that enough seeds support can ever be confident.
-    able = (
-        seed_edges.groupBy("pattern", "kind").agg(F.count("*").alias("n_seeds")).filter(F.col("n_seeds") >= MIN_SEEDS)
+        "doc_id", "text_key", "s.start", "s.end", F.col("s.value").alias("value"), F.explode(_patterns(F.col("s"))).alias("pattern")
     )
-    able = materialize(able, "patterns")
-    others = materialize(others.join(able.select("pattern").distinct(), "pattern", "left_semi"), "instances")
-    edges = others.select("pattern", "value").distinct()
+    others = materialize(others, "instances")
+    edges = materialize(others.select("pattern", "value").distinct(), "edges")
     totals = edges.groupBy("pattern").agg(F.count("*").alias("n_others"))
-    known = able.join(totals, "pattern")
+    seeded = seeds.distinct().groupBy("pattern", "kind").agg(F.count("*").alias("n_seeds"))
+    # A pattern without other instances finds none.
+    seeded = materialize(seeded.join(totals.select("pattern"), "pattern", "left_semi"), "patterns")
     scores = None
     for _ in range(ROUNDS):
         if scores is None:
-            gained = known.withColumn("gain", F.lit(0.0))
+            gained = seeded.withColumns({"gain": F.lit(0.0), "n_found": F.lit(0)})
         else:
-            sums = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("gain"))
-            gained = known.join(sums, ["pattern", "kind"], "left").fillna(0.0, ["gain"])
-        confidence = gained.select(
+            sums = edges.join(scores, "value").groupBy("pattern", "kind")
+            sums = sums.agg(F.sum("score").alias("gain"), F.sum(F.col("found").cast("int")).alias("n_found"))
+            gained = seeded.join(sums, ["pattern", "kind"], "full").fillna(0, ["n_seeds", "gain", "n_found"])
+        supported = gained.filter(F.col("n_seeds") + F.col("n_found") >= MIN_SEEDS).join(totals, "pattern")
+        confidence = supported.select(
             "pattern", "kind", ((F.col("n_seeds") + F.col("gain")) / (F.col("n_seeds") + F.col("n_others"))).alias("c")
         )
-        left = F.exp(F.sum(F.log(F.greatest(1 - F.col("c"), F.lit(1e-9)))))
-        scores = edges.join(confidence, "pattern").groupBy("value", "kind").agg((1 - left).alias("score"))
+        confidence = materialize(confidence, "confidence")
+        score = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("c"), F.lit(1e-9)))))
+        scores = edges.join(confidence, "pattern").groupBy("value", "kind")
+        scores = scores.agg(score.alias("score"), ((score >= MIN_SCORE) & (F.max("c") >= MIN_SCORE)).alias("found"))
         scores = materialize(scores, "instance-scores")
-    confident = confidence.filter(F.col("c") >= MIN_SCORE)
     best = (
-        others.join(confident, "pattern")
-        .join(scores.filter(F.col("score") >= MIN_SCORE), ["value", "kind"])
+        others.join(confidence.filter(F.col("c") >= MIN_SCORE), "pattern")
+        .join(scores.filter("found"), ["value", "kind"])
         .groupBy("doc_id", "text_key", "start", "end")
         .agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.first("value").alias("value"))
     )

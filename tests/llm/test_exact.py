@@ -379,6 +379,33 @@ def test_patterns_find_unseen_identifiers(spark):
         assert len(got[i].base) == (i in dict(valid))
 
 
+def test_contexts_find_unseen_phones_and_mails(spark):
+    texts = [f"Please call +1 (555) 010-{1000 + i} or write to the office" for i in range(40)]
+    texts += [f"mail to: user{i}@h{i}.example.com for more" for i in range(40)]
+    unseen = {
+        100: ("please call 030 1112222 now, the year 1999", "phone", "030 1112222"),
+        101: ("or call 555 123 4567", "phone", "555 123 4567"),
+        102: ("call (030) 111-2223!", "phone", "(030) 111-2223"),
+        103: ("mail to: jürgen@exämple for more", "email", "jürgen@exämple"),
+        105: ("call 5551234567 400000000000000123", "phone", "5551234567"),
+        104: ("it is 06151/77 88 99 or write", "phone", "06151/77 88 99"),
+    }
+    # Phones that "call" finds make "ring" a pattern of its own, without any seed.
+    more = {}
+    for i in range(5):
+        more[200 + i] = (f"call 040 22233{i} x{i} y", "phone", f"040 22233{i}")
+        more[210 + i] = (f"ring 040 22233{i} z{i} y", "phone", f"040 22233{i}")
+    more[220] = ("ring 040 999888 w y", "phone", "040 999888")
+    none = [(300, "sum 123456789 of"), (301, "in 1999 or write to us")]
+    wanted = {**unseen, **more}
+    rows = [*enumerate(texts), *[(i, text) for i, (text, *_) in wanted.items()], *none]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, (text, kind, value) in wanted.items():
+        assert [(pii.KINDS[s.kind], text[s.start : s.end]) for s in got[i].spans] == [(kind, value)], text
+        assert not got[i].base
+    assert not any(got[i].spans for i, _ in none)
+
+
 def test_masking(spark):
     from pyspark.sql import functions as F
 
