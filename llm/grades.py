@@ -1,8 +1,8 @@
 """Quality by ordinal regression with cumulative links.
 
 A graded rating 0 .. K - 1 has the chance of being above grade k of sigmoid(w . x - t_k), with one weight vector for all
-grades and ordered thresholds t_0 < t_1 < ... . Features x are hashed: shares of word hashes and of byte trigrams of
-word shapes among `BUCKETS` weights, plus a few measures of the whole text. The fit minimizes the likelihood by full
+grades and ordered thresholds t_0 < t_1 < ... . Features x are hashed: shares of word hashes and of the words'
+last bytes among `BUCKETS` weights, plus six measures of the whole text (word pairs only count in that of repetition). The fit minimizes the likelihood by full
 gradients over a bounded sample of rated rows, in one task; thresholds are kept in order by fitting their steps.
 
 Every document then gets its expected grade (the sum of its tail chances) and the chance of the highest grade, by which
