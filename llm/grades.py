@@ -182,8 +182,9 @@ def graded(documents: DataFrame, weights: np.ndarray, cuts: np.ndarray) -> DataF
 
 
 def rating(quality: str = "quality", toxic: str = "toxic") -> Column:
-    """Grades from the two labels: 0 poor, 1 good but toxic, 2 good."""
-    return F.when(F.col(quality) == 0, 0).when(F.col(toxic) == 1, 1).otherwise(F.when(F.col(quality) == 1, 2))
+    """Grades from the two labels: 0 poor, 1 good but toxic, 2 good. Rows without a quality have no grade, whatever
+    their other label says; good rows whose other label is null count as good."""
+    return F.when(F.col(quality) == 0, 0).when(F.col(quality) == 1, F.when(F.col(toxic) == 1, 1).otherwise(2))
 
 
 @query("op1_grades")

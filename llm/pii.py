@@ -245,24 +245,45 @@ def personal_data(documents: DataFrame) -> DataFrame:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; where spans overlap, the first one counts."""
+    """The text with personal data replaced by its kind in brackets.
+
+    Spans that overlap are masked as one, from the first start to the last end, by the kind of the longest of them (the
+    first of equals). Spans that only touch stay apart. One pass holds one union until a span begins behind it.
+    """
     ordered = F.array_sort(
         F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     )
     names = F.array(*[F.lit(f"[{kind.upper()}]") for kind in KINDS])
-    state = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
+    zero = F.lit(0).cast("bigint")
+    state = F.struct(
+        F.lit("").alias("out"),
+        zero.alias("at"),
+        zero.alias("start"),
+        zero.alias("end"),
+        F.lit(0).alias("kind"),
+        zero.alias("longest"),
+    )
+
+    def closed(acc):
+        """The text up to the end of the union that is held."""
+        between = F.substring(text, (acc["at"] + 1).cast("int"), (acc["start"] - acc["at"]).cast("int"))
+        return F.when(acc["longest"] > 0, F.concat(acc["out"], between, F.get(names, acc["kind"]))).otherwise(acc["out"])
 
     def step(acc, s):
-        between = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        more = F.concat(acc["out"], between, F.get(names, s["kind"]))
-        keep = s["start"] >= acc["at"]
+        joins = s["start"] < acc["end"]
+        size = s["end"] - s["start"]
+        wins = ~joins | (size > acc["longest"])
         return F.struct(
-            F.when(keep, more).otherwise(acc["out"]).alias("out"),
-            F.when(keep, s["end"]).otherwise(acc["at"]).alias("at"),
+            F.when(joins, acc["out"]).otherwise(closed(acc)).alias("out"),
+            F.when(joins, acc["at"]).otherwise(acc["end"]).alias("at"),
+            F.when(joins, acc["start"]).otherwise(s["start"]).alias("start"),
+            F.when(joins, F.greatest(acc["end"], s["end"])).otherwise(s["end"]).alias("end"),
+            F.when(wins, s["kind"]).otherwise(acc["kind"]).alias("kind"),
+            F.when(wins, size).otherwise(acc["longest"]).alias("longest"),
         )
 
     def finish(acc):
-        return F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+        return F.concat(closed(acc), F.substring(text, (acc["end"] + 1).cast("int"), F.length(text)))
 
     return F.when(F.size(ordered) > 0, F.aggregate(ordered, state, step, finish)).otherwise(text)
 

@@ -416,6 +416,53 @@ def test_masking(spark):
     assert {r.doc_id: r.text for r in rows.collect()} == {1: "é [EMAIL], [IP]!", 2: "clean", 3: None}
 
 
+def test_masking_leaves_no_part_of_overlapping_spans(spark):
+    from pyspark.sql import functions as F
+
+    cases = {
+        "write to +491234567@example.com now": "write to [EMAIL] now",
+        "1.2.3.4@host.example.com ok": "[EMAIL] ok",
+        "é 4111111111111111@a.example.com 1.2.3.4": "é [EMAIL] [IP]",
+        "a@b.example.com_c@d.example.com": "[EMAIL][EMAIL]",  # the second begins where the first ends
+        "+49 123 456 789 1.2.3.4 end": "[PHONE] end",
+    }
+    given = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
+    found = pii.personal_data(given).select("doc_id", "spans")
+    rows = given.join(found, "doc_id").select("text", pii.masked(F.col("text"), F.col("spans")).alias("out"))
+    assert {r.text: r.out for r in rows.collect()} == cases
+
+    def union(text, spans):
+        """Marks every covered character, then replaces runs; a run is cut where a span ends and none goes on."""
+        out, at = [], 0
+        for start, end, kind in sorted(spans):
+            if at < start or not out or start >= at:
+                out += [text[at:start], [start, end, kind, end - start]] if not out else [text[out[-1][1] : start], [start, end, kind, end - start]]
+            else:
+                last = out[-1]
+                if end - start > last[3]:
+                    last[2:] = [kind, end - start]
+                last[1] = max(last[1], end)
+            at = out[-1][1]
+        joined = "".join(x if isinstance(x, str) else f"[{pii.KINDS[x[2]].upper()}]" for x in out)
+        return joined + text[at:]
+
+    draw = random.Random(5)
+    tried = []
+    for i in range(200):
+        text = "".join(draw.choice("abé中") for _ in range(draw.randrange(1, 30)))
+        starts = [draw.randrange(len(text)) for _ in range(draw.randrange(6))]
+        tried.append((i, text, [(s, draw.randrange(s + 1, len(text) + 1), draw.randrange(4)) for s in starts]))
+    kind = "doc_id bigint, text string, spans array<struct<start:bigint,end:bigint,kind:int>>"
+    rows = spark.createDataFrame(tried, kind).select("doc_id", pii.masked(F.col("text"), F.col("spans")).alias("out"))
+    assert {r.doc_id: r.out for r in rows.collect()} == {i: union(text, spans) for i, text, spans in tried}
+
+
+def test_rows_without_quality_have_no_grade(spark):
+    rows = [(None, None), (None, 1), (None, 0), (0, None), (0, 1), (1, None), (1, 0), (1, 1)]
+    given = spark.createDataFrame(rows, "quality int, toxic int")
+    assert [r[0] for r in given.select(grades.rating()).collect()] == [None, None, None, 0, 0, 2, 2, 1]
+
+
 # Decontamination beyond the SQL check of the query
 
 
