@@ -1,14 +1,10 @@
 """Session settings and the shared folder that holds state between jobs."""
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Used only in local mode when the cluster names no shared folder; one folder per application.
-_LOCAL_ROOTS: dict[str, str] = {}
-
 
 def build_session(app_name: str = "tagloom", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the library is tested with. `conf` keys use `__` for dots."""
@@ -29,18 +25,15 @@ def build_session(app_name: str = "tagloom", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, from `spark.checkpoint.dir`.
 
-    Only a local-mode session without that setting gets a temporary folder; a cluster session
-    without it is an error, because a machine-local folder would lose state with its machine.
+    A local-mode session without that setting uses its warehouse; a cluster session without it is an error, because
+    a folder of one machine would lose state with its machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    context = spark.sparkContext
-    if not re.match(r"local(\[|$)", context.master):  # executors of a local-cluster are machines of their own
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):  # executors of a local-cluster are machines of their own
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if context.applicationId not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="tagloom-")
-    return _LOCAL_ROOTS[context.applicationId]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
