@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from llm import bpe, chat, decontaminate, grades, html, pii, quality_rules, repeats, simhash, toxicity  # noqa: F401
+from llm import bpe, chat, decontaminate, grades, html, merkle, pii, quality_rules, repeats, simhash, toxicity, trie  # noqa: F401
 from llm.registry import QUERIES, SQL  # noqa: F401
