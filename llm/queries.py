@@ -1,4 +1,18 @@
 """Imports every module that registers queries."""
 
-from llm import bpe, chat, decontaminate, grades, html, merkle, pii, quality_rules, repeats, simhash, toxicity, trie  # noqa: F401
+from llm import (  # noqa: F401
+    bpe,
+    chat,
+    decontaminate,
+    grades,
+    html,
+    kneser_ney,
+    merkle,
+    pii,
+    quality_rules,
+    repeats,
+    simhash,
+    toxicity,
+    trie,
+)
 from llm.registry import QUERIES, SQL  # noqa: F401
