@@ -13,7 +13,7 @@ from datetime import datetime, timezone
 from math import ceil
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.errors import AnalysisException
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +31,7 @@ from tagloom.operators.select import (
     rows_by_id,
     unlabelled,
 )
+from tagloom.operators.svm import SquaredHingeSVM
 from tagloom.session import materialize, new_path
 from tagloom.sources.corpora import read_tests, read_train
 from tagloom.sources.results import write_run_table, write_status
@@ -71,9 +72,9 @@ class Round:
 # --- classifiers: functions from the number of training rows to an estimator -------------------
 
 
-def svm(n_rows: int, max_iter: int = 100) -> Estimator:
-    """Linear SVM with the penalty that corresponds to a cost of 1 per training row."""
-    return LinearSVC(maxIter=max_iter, tol=1e-3, regParam=1.0 / max(n_rows, 1), standardization=False)
+def svm(n_rows: int) -> Estimator:
+    """Linear SVM with squared hinge loss and a cost of 1 per training row."""
+    return SquaredHingeSVM(cost=1.0)
 
 
 def logistic(n_rows: int, max_iter: int = 3) -> Estimator:
@@ -87,10 +88,12 @@ def fit(classifier: Callable[[int], Estimator], rows: DataFrame, rows_per_task:
     sizes = class_sizes(rows, "label")
     n_rows = sum(sizes.values())
     estimator = classifier(n_rows)
-    if isinstance(estimator, LinearSVC) and not (sizes[0] and sizes[1]):
+    if isinstance(estimator, SquaredHingeSVM) and not (sizes[0] and sizes[1]):
         raise TooFewRows(f"training needs both classes, have {sizes}")
     rows = rows.select(F.col("label").cast("double").alias("label"), "features")
-    # Solvers run one job per step. A labelled set of a few thousand rows belongs in one task; a large
+    if isinstance(estimator, SquaredHingeSVM):
+        return estimator.fit(rows)  # puts its rows into blocks itself
+    # Other solvers run one job per step. A labelled set of a few thousand rows belongs in one task; a large
     # one has more partitions than this and keeps them as they are, since coalesce never adds any.
     return estimator.fit(rows.coalesce(ceil(n_rows / rows_per_task) or 1))
 
