@@ -2,14 +2,15 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.operators.ordering import take_first
-from tagloom.session import materialize
+from tagloom.operators.kmeans import cluster, distances
+from tagloom.operators.ordering import random_key, take_first
+from tagloom.session import materialize, new_path
+
 
 def rows_by_id(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows whose id is listed."""
@@ -83,20 +84,17 @@ def nearest_to_centre(
 def kmeans_query(
     pool: DataFrame, n: int, seed=0, vector_col="embedding", id_col="id", normalize=True, max_iter=20
 ) -> DataFrame:
-    """One row per cluster of `n` clusters: the one nearest the centre.
+    """One row per cluster of `n` clusters: the one nearest the centre; ties go to the smaller id.
 
     If the pool has fewer than `n` distinct vectors, some clusters are empty; the missing rows are
     then drawn at random from the rest, so the result has `n` rows as long as the pool does.
     """
     vector = F.col(vector_col)
-    vectors = pool.select(id_col, (unit(vector) if normalize else vector.cast("array<double>")).alias("_unit"))
-    # The solver passes over the vectors many times; what leads up to the pool must not run each time.
-    vectors = materialize(vectors, "vectors").withColumn("_vector", array_to_vector("_unit"))
-    model = KMeans(k=n, seed=seed, maxIter=max_iter, featuresCol="_vector", predictionCol="_cluster").fit(vectors)
-    centres = [(i, [float(x) for x in centre]) for i, centre in enumerate(model.clusterCenters())]
-    centres = pool.sparkSession.createDataFrame(centres, "_cluster int, centre array<double>")
-    clustered = model.transform(vectors)
-    picks = nearest_to_centre(clustered, centres, "_cluster", "_unit", id_col).select(id_col)
+    vector = unit(vector) if normalize else vector.cast("array<double>")
+    found = cluster(pool.select(F.col(id_col).alias("id"), vector.alias("point")), n, seed, max_iter)
+    centres = [(i, [float(x) for x in centre]) for i, centre in enumerate(found.centres)]
+    centres = pool.sparkSession.createDataFrame(centres, "cluster int, centre array<double>")
+    picks = nearest_to_centre(found.rows, F.broadcast(centres), "cluster", "point").select("id")  # n rows
     # At most n ids: fixed on the driver so that the pick is made once.
     ids = [row[0] for row in picks.collect()]
     if len(ids) < n:
@@ -105,6 +103,14 @@ def kmeans_query(
     return pool.filter(F.col(id_col).isin(ids)) if ids else pool.limit(0)
 
 
+# --- coverage ----------------------------------------------------------------------------------------
+
+REFRESH = 0.9  # cells that may reach so much of the farthest distance are brought up to date together
+ROWS_PER_CELL = 4_096
+MOST_CELLS = 1_024
+_ROOM = 1e-6  # for rounding in what decides whether a cell is left alone
+
+
 def _distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Distance of each row to the nearest centre; differences come first, so near copies keep their digits."""
     best = np.full(len(rows), np.inf)
@@ -113,18 +119,77 @@ def _distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.round(np.sqrt(best), 9)
 
 
-def _closer(centres: np.ndarray):
-    """Pandas function: vectors and their distance so far to the distance with `centres` added."""
-
-    # Nested so that it is shipped by value; callers bound the number of centres.
-    @F.pandas_udf("double")
-    def nearest(vectors: pd.Series, so_far: pd.Series) -> pd.Series:
-        if len(vectors) == 0:
-            return pd.Series([], dtype="float64")
-        rows = np.stack(vectors.to_numpy()).astype("float64")
-        return pd.Series(np.minimum(so_far.to_numpy(), _distances(rows, centres)))
-
-    return nearest
+class _Cells:
+    """The pool cut by pivots. Of a cell the driver knows the pivot, the radius, an upper bound of its rows' distances and how
+    many picks they have been compared with; its rows lie in a folder of their own, in the version written last."""
+
+    def __init__(self, points: DataFrame, id_col: str, pivots: np.ndarray, first: np.ndarray):
+        self.spark, self.id_col, self.pivots = points.sparkSession, id_col, pivots
+        self.compared = 0
+        n = len(pivots)
+        self.folder: list[str | None] = [None] * n
+        self.radius, self.top, self.seen = np.zeros(n), np.full(n, -np.inf), np.zeros(n, np.int64)
+        self.size = np.zeros(n, np.int64)
+
+        @F.pandas_udf("struct<cell int, gap double, far double>")
+        def place(vectors: pd.Series) -> pd.DataFrame:
+            if len(vectors) == 0:
+                return pd.DataFrame({"cell": [], "gap": [], "far": []}).astype({"cell": "int32"})
+            rows = np.stack(vectors.to_numpy()).astype("float64")
+            gaps = distances(rows, pivots)
+            at = gaps.argmin(axis=1)
+            return pd.DataFrame({"cell": at.astype("int32"), "gap": gaps[np.arange(len(at)), at], "far": _distances(rows, first)})
+
+        placed = points.select(id_col, "_point", place("_point").alias("_at")).select(
+            id_col, "_point", F.col("_at.cell").alias("_cell"), F.col("_at.gap").alias("_gap"), F.col("_at.far").alias("_distance")
+        )
+        self.schema = placed.schema
+        # Large cells are split into several files.
+        self._write(placed.hint("rebalance", "_cell"))
+
+    def _write(self, rows: DataFrame) -> None:
+        path = new_path(self.spark, "cells")
+        rows.withColumn("cell", F.col("_cell")).write.partitionBy("cell").parquet(path)
+        stored = self.spark.read.schema(self.schema).parquet(path)
+        stats = stored.groupBy("_cell").agg(F.max("_gap").alias("radius"), F.max("_distance").alias("top"), F.count("*").alias("n"))
+        for row in stats.collect():  # one row per cell
+            c = row["_cell"]
+            self.folder[c], self.radius[c], self.top[c], self.size[c] = f"{path}/cell={c}", row["radius"], row["top"], row["n"]
+
+    def rows(self, cells) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[self.folder[c] for c in cells])
+
+    def pending(self, picks: np.ndarray) -> np.ndarray:
+        """Cells by picks: which picks can still lessen a distance in the cell. A pick farther from the pivot than the radius and
+        the cell's largest distance together can't."""
+        if not len(picks):
+            return np.zeros((len(self.pivots), 0), bool)
+        away = distances(self.pivots, picks)
+        new = np.arange(len(picks)) >= self.seen[:, None]
+        return new & (away - self.radius[:, None] < self.top[:, None] + _ROOM)
+
+    def refresh(self, cells, picks: np.ndarray, mask: np.ndarray) -> None:
+        """Compare the cells' rows with the picks that `mask` names for them."""
+        if len(cells) == 0:
+            return
+        names = self.schema.names
+
+        def run(batches):
+            for batch in batches:
+                cell = batch.column("_cell").to_numpy()
+                far = batch.column("_distance").to_numpy().copy()
+                points = batch.column("_point")
+                for c in np.unique(cell):
+                    at = np.flatnonzero(cell == c)
+                    taken = points.take(pa.array(at))
+                    rows = taken.flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+                    far[at] = np.minimum(far[at], _distances(rows, picks[mask[c]]))
+                columns = [pa.array(far) if name == "_distance" else batch.column(name) for name in names]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        self.compared += int((self.size[cells] * mask[cells].sum(axis=1)).sum())
+        self._write(self.rows(cells).mapInArrow(run, self.schema))
+        self.seen[cells] = len(picks)
 
 
 def coreset_query(
@@ -136,65 +201,99 @@ def coreset_query(
     normalize: bool = True,
     candidates: int | None = None,
     block: int = 4_096,
+    cells: int | None = None,
 ) -> DataFrame:
-    """`<id, picked_rank>`: greedy k-centre, `n` times the row farthest from all labelled or picked.
+    """`<id, picked_rank>`: greedy k-centre, `n` times the row farthest from all labelled or picked; ties go to the smaller id.
 
-    Exact, but with far fewer passes than picks. A pass takes the `candidates` farthest rows. Distances
-    only ever shrink, so while a candidate is still at least as far as the last one of the list, no
-    row outside the list can beat it and it may be picked without looking at the pool again.
-    Each row's distance so far is stored; labelled rows are taken in blocks of `block` vectors and a pass compares
-    the pool with the rows picked since the last one only. NULL vectors are an error.
+    Exact, but with few passes and comparisons. The pool is cut into cells around pivots, and distances only ever shrink:
+
+    * a pass takes the `candidates` farthest rows; while one of them is still at least as far as the last of the list, no
+      row outside can beat it, so it is picked without looking at the pool again;
+    * a cell out of reach of a pick is not compared with it, by the triangle inequality;
+    * a cell whose largest distance lies well below the current candidate is left as it is until its turn comes.
+
+    Labelled rows are taken in blocks of `block` vectors. NULL vectors are an error.
     """
+    picks, _ = _coreset(pool, labelled, n, vector_col, id_col, normalize, candidates, block, cells)
+    kind = T.StructType([pool.schema[id_col], T.StructField("picked_rank", T.IntegerType(), False)])
+    return pool.sparkSession.createDataFrame([(i, rank) for rank, i in enumerate(picks)], kind)
+
+
+def _coreset(pool, labelled, n, vector_col, id_col, normalize, candidates, block, cells) -> tuple[list, int]:
+    """(picks in order, comparisons of rows with picks)"""
     spark = pool.sparkSession
     vector = F.col(vector_col)
     vector = unit(vector) if normalize else vector.cast("array<double>")
-    state = pool.select(id_col, vector.alias("_point"), F.lit(float("inf")).alias("_distance"))
-    known = materialize(labelled.select(id_col, vector.alias("_point")), "labelled-points")
-    missing = F.count_if(F.col("_point").isNull())
-    bad = state.agg(missing).first()[0] + known.agg(missing).first()[0]
-    if bad:
-        raise ValueError(f"{bad} rows without a vector in {vector_col}")
+    points = materialize(pool.select(id_col, vector.alias("_point")), "points")
+    known = materialize(labelled.select(vector.alias("_point"), F.xxhash64(id_col).alias("_key")), "labelled-points")
+    missing = [F.count_if(F.col("_point").isNull()), F.count("*")]
+    (bad, total), (bad_known, total_known) = points.agg(*missing).first(), known.agg(*missing).first()
+    if bad + bad_known:
+        raise ValueError(f"{bad + bad_known} rows without a vector in {vector_col}")
+    if not total or n <= 0:
+        return [], 0
+    cells = cells or max(1, min(MOST_CELLS, total // ROWS_PER_CELL))
+    order = random_key(id_col, "pivots")
+    pivots = np.array([r[0] for r in points.orderBy(order, id_col).limit(cells).select("_point").collect()], dtype="float64")
+
+    blocks = max(1, -(-total_known // block))
+    held = _Cells(points, id_col, pivots, _block(known, 0, blocks))
+    used = np.flatnonzero([f is not None for f in held.folder])  # copies of a pivot leave cells without rows
+    for at in range(1, blocks):
+        centres = _block(known, at, blocks)
+        if len(centres):
+            held.seen[:] = 0
+            mask = held.pending(centres)
+            held.refresh(used[mask[used].any(axis=1)], centres, mask)
+    held.seen[:] = 0
+
     size = candidates or max(256, 2 * n)
-    blocks = -(-known.count() // block)
-    bucket = F.pmod(F.xxhash64(id_col), F.lit(max(blocks, 1)))
-    for at in range(blocks):
-        rows = known.filter(bucket == at).select("_point").collect()  # about one block
-        if rows:
-            centres = np.array([row[0] for row in rows], dtype="float64")
-            state = materialize(state.withColumn("_distance", _closer(centres)("_point", "_distance")), "distances")
-    if not blocks:
-        state = materialize(state, "distances")
     picked: list = []
-    while len(picked) < n:
-        rest = state.filter(~F.col(id_col).isin(picked)) if picked else state
+    chosen = np.zeros((0, pivots.shape[1]))
+    while len(picked) < min(n, total):
+        mask = held.pending(chosen)
+        stale = used[mask[used].any(axis=1)]
+        due = stale[held.top[stale] >= REFRESH * held.top[used].max()]
+        held.refresh(due, chosen, mask)
+        left = np.setdiff1d(stale, due)
+        rest_top = held.top[left].max() if len(left) else -np.inf  # what no listed row may fall to
+        fresh = np.setdiff1d(used, left)
+        fresh = fresh[held.top[fresh] > rest_top]
+        if not len(fresh):
+            continue
         # Ids and distances first: vectors are fetched only for the rows of the list.
-        order = rest.select(id_col, "_distance").orderBy(F.desc("_distance"), id_col)
-        listed = [(row[0], row[1]) for row in order.limit(size).collect()]
+        rows = held.rows(fresh).filter(F.col("_distance") > float(rest_top)) if len(left) else held.rows(fresh)
+        rows = rows.filter(~F.col(id_col).isin(picked)) if picked else rows
+        listed = rows.select(id_col, "_distance", "_cell").orderBy(F.desc("_distance"), id_col).limit(size).collect()
         if not listed:
+            if len(left):
+                continue
             break
-        whole_pool = len(listed) < size
-        ids = spark.createDataFrame([(i,) for i, _ in listed], T.StructType([state.schema[id_col]]))
-        found = {row[0]: row[1] for row in state.select(id_col, "_point").join(F.broadcast(ids), id_col, "left_semi").collect()}
-        rows = np.array([found[i] for i, _ in listed], dtype="float64")
-        far = np.array([d for _, d in listed])
+        whole = len(listed) < size
+        ids = spark.createDataFrame([(row[0],) for row in listed], T.StructType([held.schema[id_col]]))
+        near = sorted({row[2] for row in listed})
+        found = held.rows(near).select(id_col, "_point").join(F.broadcast(ids), id_col, "left_semi").collect()
+        found = {row[0]: row[1] for row in found}
+        vectors = np.array([found[row[0]] for row in listed], dtype="float64")
+        far = np.array([row[1] for row in listed])
         # Positions in the list are in (distance desc, id asc) order, so they also break ties.
-        by_id = {i: at for at, i in enumerate(sorted(i for i, _ in listed))}
-        id_rank = np.array([by_id[i] for i, _ in listed])
+        by_id = {i: at for at, i in enumerate(sorted(row[0] for row in listed))}
+        id_rank = np.array([by_id[row[0]] for row in listed])
         bound, bound_rank = far[-1], id_rank[-1]
         open_rows = np.ones(len(listed), dtype=bool)
-        new = []
         while len(picked) < n and open_rows.any():
             top = np.lexsort((id_rank, -far, ~open_rows))[0]
-            safe = far[top] > bound or (far[top] == bound and id_rank[top] <= bound_rank)
-            if not (safe or whole_pool):
+            safe = whole or far[top] > bound or (far[top] == bound and id_rank[top] <= bound_rank)
+            if not (safe and far[top] > rest_top):
                 break
             picked.append(listed[top][0])
-            new.append(rows[top])
+            chosen = np.vstack([chosen, vectors[top]])
             open_rows[top] = False
-            far = np.minimum(far, _distances(rows, rows[top : top + 1]))
-        if len(picked) < n and new:
-            closer = _closer(np.array(new))("_point", "_distance")
-            state = materialize(state.withColumn("_distance", closer), "distances")
-    picks = [(i, rank) for rank, i in enumerate(picked)]
-    schema = T.StructType([state.schema[id_col], T.StructField("picked_rank", T.IntegerType(), False)])
-    return spark.createDataFrame(picks, schema)
+            far = np.minimum(far, _distances(vectors, vectors[top : top + 1]))
+    return picked, held.compared
+
+
+def _block(known: DataFrame, at: int, blocks: int) -> np.ndarray:
+    """One of about equal parts of the labelled vectors."""
+    rows = known.filter(F.pmod("_key", F.lit(blocks)) == at).select("_point").collect()
+    return np.array([row[0] for row in rows], dtype="float64")

@@ -10,7 +10,6 @@ weight for every term. Training rows that fit one block need no exchange, so all
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from math import sqrt
 
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.joins import lookup_join
-from tagloom.session import materialize, new_path
+from tagloom.session import bucketed, materialize
 
 BIAS = -1
 ROWS_PER_BLOCK = 8_192
@@ -252,7 +251,6 @@ def fit_weights(rows: DataFrame, cost: float = 1.0, tol: float = 1e-10, rows_per
 
     Labels above 0 are one class. Both classes must occur for the weights to mean anything; no rows give no weights.
     """
-    spark = rows.sparkSession
     indices, values = sparse("features")
     plain = rows.select(F.col("label").cast("double").alias("label"), indices.alias("indices"), values.alias("values"))
     blocks = -(-rows.count() // rows_per_block)
@@ -261,10 +259,8 @@ def fit_weights(rows: DataFrame, cost: float = 1.0, tol: float = 1e-10, rows_per
         return materialize(one, "svm-weights")
     # Bucketed by block, so that no pass shuffles the rows.
     block = F.pmod(F.xxhash64("label", "indices", "values"), F.lit(blocks)).cast("int")
-    name = f"svm_rows_{uuid.uuid4().hex}"
     placed = plain.withColumn("block", block).repartition(blocks, "block")
-    placed.write.bucketBy(blocks, "block").option("path", new_path(spark, name)).saveAsTable(name)
-    space = Spread(spark.table(name), cost)
+    space = Spread(bucketed(placed, "svm-rows", blocks, "block"), cost)
     minimize(space, cost, tol)
     return materialize(space.weights(), "svm-weights")
 

@@ -53,6 +53,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
+    """Like `materialize`, as a table in buckets: joins and groups on `keys` with tables of as many buckets move no rows."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, *keys).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def buckets_for(df: DataFrame, bytes_per_bucket: int = 64 << 20) -> int:
+    """Buckets for a table, by the planner's estimate of its bytes: one per MB as long as there are task slots. As many as
+    slots if the planner knows no bytes, which it does for every stored table."""
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >> 55:
+        return slots
+    return min(int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")), max(-(-size // bytes_per_bucket), min(slots, 1 + (size >> 20))))
+
+
 def release(spark: SparkSession) -> None:
     """Delete everything this application has stored with `materialize` and `new_path`; call it when no DataFrame that
     reads it is needed any more, such as at the end of an application."""

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom.operators import kmeans as K
 from tagloom.operators import select as Q
 
 
@@ -42,6 +43,26 @@ def test_coreset_is_exact_for_any_list_size(vectors, candidates, normalize):
     assert [r.id for r in got.collect()] == greedy(points, [0, 1, 2], n, normalize)
 
 
+@pytest.mark.parametrize("cells", [1, 3, 17])
+def test_coreset_is_exact_for_any_cells(vectors, cells):
+    df, points = vectors
+    got = Q.coreset_query(df.filter("id >= 3"), df.filter("id < 3"), 40, candidates=9, block=2, cells=cells)
+    assert [r.id for r in got.orderBy("picked_rank").collect()] == greedy(points, [0, 1, 2], 40, True)
+
+
+def test_coreset_leaves_cells_out_of_reach_alone(spark):
+    """Twenty far groups: 500 exact picks with a fraction of the comparisons of all rows with all picks."""
+    rng = np.random.default_rng(8)
+    points = (rng.normal(size=(20, 8)) * 40)[rng.integers(0, 20, 3_000)] + rng.normal(size=(3_000, 8))
+    points = points.astype("float32").astype("float64")
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, embedding array<double>")
+    arguments = (df.filter("id > 0"), df.filter("id = 0"), 500, "embedding", "id", False, 200, 4_096)
+    picks, compared = Q._coreset(*arguments, 40)
+    assert picks == greedy(points, [0], 500, False)
+    assert compared < 0.3 * 2_999 * 500
+    assert Q._coreset(*arguments, 1)[1] > 2 * compared
+
+
 def test_coreset_takes_the_whole_pool_and_stops(vectors):
     df, _ = vectors
     got = Q.coreset_query(df.filter("id >= 110"), df.filter("id < 2"), 50)
@@ -54,6 +75,45 @@ def test_coreset_without_labelled_rows(vectors):
     assert [r.id for r in got] == greedy(points, [], 3, False)
 
 
+def lloyd(points, centres, rounds):
+    """Plain rounds: nearest centre, then means; ends when nothing moves."""
+    at = None
+    for number in range(rounds + 1):
+        gaps = np.linalg.norm(points[:, None] - centres[None], axis=2)
+        new = gaps.argmin(axis=1)
+        if number == rounds or (at is not None and (new == at).all()):
+            return new, centres
+        at = new
+        centres = np.array([points[at == c].mean(axis=0) if (at == c).any() else centres[c] for c in range(len(centres))])
+
+
+@pytest.mark.parametrize("k, rounds", [(1, 3), (7, 2), (12, 50)])
+def test_kmeans_with_bounds_is_kmeans(spark, k, rounds):
+    rng = np.random.default_rng(3)
+    points = (rng.normal(size=(12, 5)) * 6)[rng.integers(0, 12, 900)] + rng.normal(size=(900, 5))
+    points[100:140] = points[100]
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, point array<double>")
+    start = K.start_centres(df, k, 4)
+    assert len(start) == k and len({tuple(c) for c in start}) == k
+    found = K.cluster(df, k, 4, rounds)
+    at, centres = lloyd(points, start, rounds)
+    got = {r.id: r.cluster for r in found.rows.collect()}
+    assert [got[i] for i in range(900)] == at.tolist()
+    assert np.allclose(found.centres, centres)
+    if rounds == 50:
+        # The first round compares all rows, the last hardly any.
+        assert found.compared[0] == 900 and found.compared[-1] < 90 and sum(found.compared[1:]) < 450 * (len(found.compared) - 1)
+
+
+def test_kmeans_of_few_points_and_none(spark):
+    df = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(10)], "id long, point array<double>")
+    found = K.cluster(df, 5)
+    assert len(found.centres) == 2 and len({(r.point[0], r.cluster) for r in found.rows.collect()}) == 2
+    assert K.cluster(df.limit(0), 5).rows.count() == 0
+    got = Q.kmeans_query(df.withColumnRenamed("point", "embedding"), 5, seed=3)
+    assert got.count() == 5  # two nearest rows and three drawn at random
+
+
 def test_kmeans_returns_n_distinct_rows(vectors):
     df, _ = vectors
     got = [r.id for r in Q.kmeans_query(df, 10, seed=3).select("id").collect()]
