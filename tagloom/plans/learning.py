@@ -174,10 +174,12 @@ class RunResult:
     metrics: dict[int, dict[str, float]] = field(default_factory=dict)
     predictions_path: str = ""
     labelled_path: str = ""
+    log_path: str = ""
 
-    def labelled(self, spark) -> DataFrame:
-        """`<id, label, .., round>`; rounds start at 0."""
-        return spark.read.parquet(self.labelled_path)
+    def labelled(self, spark, upto: int | None = None) -> DataFrame:
+        """`<id, label, .., round>`; rounds start at 0. `upto` leaves out what a lost driver may have written beyond."""
+        rows = spark.read.parquet(self.labelled_path)
+        return rows if upto is None else rows.filter(F.col("round") <= upto)
 
     def predictions(self, spark) -> DataFrame:
         """`<test_set, id, label, prediction, iteration>`."""
@@ -189,7 +191,7 @@ def _evaluate(model: Model, labelled: DataFrame, tests: DataFrame, result: RunRe
     own = labelled.select(F.lit(TRAIN_SET).alias("test_set"), "id", "label", "features")
     rows = predict(model, own.unionByName(tests.select("test_set", "id", "label", "features")))
     path = f"{result.predictions_path}/iteration={iteration}"
-    rows.select("test_set", "id", "label", "prediction").write.parquet(path)
+    rows.select("test_set", "id", "label", "prediction").write.mode("overwrite").parquet(path)
     scores = set_scores(labelled.sparkSession.read.parquet(path)).collect()  # one row per set
     metrics: dict[str, float] = {}
     for row in sorted(scores, key=lambda row: row["test_set"]):
@@ -204,73 +206,130 @@ def _train_part(labelled: DataFrame) -> DataFrame:
     return labelled.filter(~F.col("is_valid"))
 
 
-def run_supervised(train: DataFrame, tests: DataFrame, settings: Settings, classifier=svm) -> RunResult:
-    """Train on every labelled row at once and score. The TF track holds out a tenth of each class."""
+# --- round log ---------------------------------------------------------------------------------
+#
+# A round's tables lie in folders named by its number and are replaced as a whole, so a round that runs again leaves the
+# same tables. Its entry in the log is written last: rounds with an entry are over, whatever else lies there.
+
+ROUND_SCHEMA = "iteration int, n_labelled bigint, metrics map<string,double>"
+
+
+def _commit(spark, result: RunResult, iteration: int, n_labelled: int) -> None:
+    row = spark.createDataFrame([(iteration, n_labelled, result.metrics[iteration])], ROUND_SCHEMA).coalesce(1)
+    row.write.mode("overwrite").parquet(f"{result.log_path}/round={iteration}")
+
+
+def _committed(spark, result: RunResult) -> int:
+    """Labelled rows after the last round in the log, 0 if there is none; their metrics are put into `result`."""
+    rows = {row["iteration"]: row for row in _stored(spark, result.log_path, ROUND_SCHEMA).collect()}  # one per round
+    n_labelled, iteration = 0, 0
+    while iteration in rows:
+        result.metrics[iteration] = dict(rows[iteration]["metrics"])
+        n_labelled, iteration = rows[iteration]["n_labelled"], iteration + 1
+    return n_labelled
+
+
+def _stored(spark, path: str, schema: str) -> DataFrame:
+    """A table that may not be there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _result_at(spark, root: str | None) -> RunResult:
+    root = root or new_path(spark, "run")
+    return RunResult(predictions_path=f"{root}/predictions", labelled_path=f"{root}/labelled", log_path=f"{root}/log")
+
+
+def run_supervised(train: DataFrame, tests: DataFrame, settings: Settings, classifier=svm, root=None) -> RunResult:
+    """Train on every labelled row at once and score. The TF track holds out a tenth of each class. A run whose round is in
+    the log below `root` is only read."""
     spark = train.sparkSession
-    result = RunResult(predictions_path=new_path(spark, "predictions"), labelled_path=new_path(spark, "labelled"))
+    result = _result_at(spark, root)
+    if _committed(spark, result):
+        return result
     rows = train.filter(F.col("label").isin(0, 1))
     if settings.framework == "TF":
         rows = flag_sl_validation(rows, settings.seed)
     else:
         rows = rows.withColumn("is_valid", F.lit(False))
-    rows.write.parquet(f"{result.labelled_path}/round=0")
+    rows.write.mode("overwrite").parquet(f"{result.labelled_path}/round=0")
     labelled = result.labelled(spark)
     _evaluate(fit(classifier, _train_part(labelled)), labelled, tests, result, 0)
+    _commit(spark, result, 0, int(result.metrics[0]["num_examples"]))
     return result
 
 
-def run_active(train: DataFrame, tests: DataFrame, settings: Settings, classifier=svm, vector_col=None) -> RunResult:
+def run_active(
+    train: DataFrame, tests: DataFrame, settings: Settings, classifier=svm, vector_col=None, root=None, after_round=None
+) -> RunResult:
     """Cold start, then query, reveal, retrain and score until the label budget is used up.
 
     `train` is the pool `<id, label, weak_label, features, ..>`; it should be a stored table, since
-    every round reads it once. The last query takes what the budget still allows.
+    every round reads it once. The last query takes what the budget still allows. Below `root` (default: a new folder) a
+    driver that takes over goes on behind the last round in the log; seeds make its rounds those of an unbroken run.
+    `after_round` is called with the number of each round that is over.
     """
     spark = train.sparkSession
     strategy = STRATEGIES[settings.query_strategy]
-    result = RunResult(predictions_path=new_path(spark, "predictions"), labelled_path=new_path(spark, "labelled"))
-
-    initial = cold_start(
-        train.select("id", "label", "weak_label"), settings.cold_strategy, settings.init_n, settings.seed
-    )
-    if settings.framework == "TF":
-        initial = flag_al_validation(initial, settings.init_n, settings.seed)
-    else:
-        initial = initial.withColumn("is_valid", F.lit(False))
-    start = train.join(initial.select("id", "is_valid"), "id")
-    start.write.parquet(f"{result.labelled_path}/round=0")
-    n_labelled = settings.init_n
-
-    iteration = 0
-    while True:
-        labelled = result.labelled(spark)
+    result = _result_at(spark, root)
+    n_labelled = _committed(spark, result)
+    iteration = len(result.metrics)
+    if not iteration:
+        initial = cold_start(
+            train.select("id", "label", "weak_label"), settings.cold_strategy, settings.init_n, settings.seed
+        )
+        if settings.framework == "TF":
+            initial = flag_al_validation(initial, settings.init_n, settings.seed)
+        else:
+            initial = initial.withColumn("is_valid", F.lit(False))
+        start = train.join(initial.select("id", "is_valid"), "id")
+        start.write.mode("overwrite").parquet(f"{result.labelled_path}/round=0")
+        n_labelled = settings.init_n
+    # A round's entry counts the rows picked at its end, so it alone says whether the run is over.
+    while not (result.metrics and n_labelled == _at_end(result)):
+        labelled = result.labelled(spark, iteration)
         model = fit(classifier, _train_part(labelled))
         _evaluate(model, labelled, tests, result, iteration)
         n = min(settings.query_n, settings.budget - n_labelled)
-        if n <= 0:
-            return result
+        if n > 0:
+            state = Round(
+                pool=unlabelled(train, labelled),
+                labelled=labelled,
+                model=model,
+                n=n,
+                seed=f"{settings.seed}:{iteration + 1}",
+                vector_col=vector_col,
+            )
+            picks = rows_by_id(train, strategy(state)).withColumn("is_valid", F.lit(False))
+            path = f"{result.labelled_path}/round={iteration + 1}"
+            picks.write.mode("overwrite").parquet(path)
+            picked = spark.read.parquet(path).count()
+            if picked < n:
+                raise TooFewRows(f"asked for {n} unlabelled rows, the pool has {picked}")
+            n_labelled += n
+        _commit(spark, result, iteration, n_labelled)
+        if after_round is not None:
+            after_round(iteration)
         iteration += 1
-        state = Round(
-            pool=unlabelled(train, labelled),
-            labelled=labelled,
-            model=model,
-            n=n,
-            seed=f"{settings.seed}:{iteration}",
-            vector_col=vector_col,
-        )
-        picks = rows_by_id(train, strategy(state)).withColumn("is_valid", F.lit(False))
-        path = f"{result.labelled_path}/round={iteration}"
-        picks.write.parquet(path)
-        picked = spark.read.parquet(path).count()
-        if picked < n:
-            raise TooFewRows(f"asked for {n} unlabelled rows, the pool has {picked}")
-        n_labelled += n
+    return result
+
+
+def _at_end(result: RunResult) -> int:
+    """Rows that the last round in the log has learned from: as many as labelled only if it picked none."""
+    return int(result.metrics[max(result.metrics)]["num_examples"])
 
 
-def run_once(train, tests, settings: Settings, classifier=svm, vector_col=None) -> RunResult:
+def run_once(
+    train, tests, settings: Settings, classifier=svm, vector_col=None, root=None, after_round=None
+) -> RunResult:
     """One supervised or active run."""
     if settings.method == "SL":
-        return run_supervised(train, tests, settings, classifier)
-    return run_active(train, tests, settings, classifier, vector_col)
+        return run_supervised(train, tests, settings, classifier, root)
+    return run_active(train, tests, settings, classifier, vector_col, root, after_round)
 
 
 # --- one experiment ----------------------------------------------------------------------------
@@ -286,12 +345,7 @@ class Experiment:
     error: Exception | None = None
 
     def _own(self, table: str, key: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{table}").filter(F.col(key) == self.name)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
+        return _stored(self.spark, f"{self.root}/{table}", schema).filter(F.col(key) == self.name)
 
     @property
     def metrics(self) -> DataFrame:
@@ -323,12 +377,22 @@ STATUS_SCHEMA = "folder string, file_name string, content string"
 
 
 def run_experiment(
-    train, tests, settings: Settings, name: str, run_n: int = 3, classifier=svm, vector_col=None, params=None, root=None
+    train,
+    tests,
+    settings: Settings,
+    name: str,
+    run_n: int = 3,
+    classifier=svm,
+    vector_col=None,
+    params=None,
+    root=None,
+    after_round=None,
 ) -> Experiment:
     """Repeat a run for seeds 0..run_n-1, storing everything below `root` as it happens.
 
-    START is written before the first run and predictions and metrics after each, so another driver sees what runs, and
-    a driver that takes over after a loss goes on behind the last stored run. END or FAILED comes last. A run that
+    START is written before the first run and predictions and metrics after each, so another driver sees what runs. A
+    driver that takes over after a loss goes on behind the last stored run, and inside a run behind its last round. END or
+    FAILED comes last. A run that
     fails ends the experiment; the runs before it stay. The caller sees the failure by `check()`.
     """
     spark = train.sparkSession
@@ -348,7 +412,9 @@ def run_experiment(
             run = f"run_{seed}"
             if run in stored:
                 continue
-            result = run_once(train, tests, replace(settings, seed=seed), classifier, vector_col)
+            # Rounds lie apart per run, so that a second driver finds them.
+            rounds = f"{experiment.root}/rounds/{name}/{run}"
+            result = run_once(train, tests, replace(settings, seed=seed), classifier, vector_col, rounds, after_round)
             rows = result.predictions(spark).filter(F.col("test_set") != TRAIN_SET)
             write_run_table(
                 rows.withColumns({"experiment": F.lit(name), "run": F.lit(run)}), f"{experiment.root}/predictions"

@@ -14,6 +14,7 @@ def build_session(app_name: str = "tagloom", master: str | None = None, **conf:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.scheduler.mode", "FAIR")
     )
     if master:
         builder = builder.master(master)

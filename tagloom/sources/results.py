@@ -27,7 +27,6 @@ RECORD_SCHEMA = (
     ", ".join(f"{name} {kind}" for name, kind in PARAMETERS.items())
     + f", results_dict {RESULTS_TYPE}, Error_Code string"
 )
-PREDICTIONS_TYPE = "map<string,map<string,map<string,array<int>>>>"
 # ----------------------------------------------------------------------------------------------
 
 FOLDER_AND_FILE = r"([^/]+)/([^/]+)$"

@@ -165,3 +165,42 @@ def test_grid_row_to_run_on_stored_sets(spark, tmp_path):
         assert [r.value for r in sizes] == [10, 20, 30]
     with pytest.raises(ValueError, match="no embedding"):
         L.load_vector_sets(spark, str(tmp_path), params, embeddings.filter("id > 100"))
+
+
+class Lost(Exception):
+    pass
+
+
+@pytest.mark.parametrize("stops_at", [0, 1, 2])
+def test_run_goes_on_behind_its_last_round(spark, sets, tmp_path, monkeypatch, stops_at):
+    """A driver is lost in a round, after it has written tables of that round; the next one ends as an unbroken run does."""
+    train, tests = sets
+    settings = L.Settings(framework="TF", init_n=20, cold_strategy="BalancedRandom", query_n=10, budget=40)
+
+    def run(root, after_round=None):
+        return L.run_active(train, tests, settings, L.logistic, "embedding", root, after_round)
+
+    unbroken = run(str(tmp_path / "unbroken"))
+    commit, fits = L._commit, []
+
+    def lost(spark, result, iteration, n_labelled):
+        if iteration == stops_at:
+            raise Lost
+        commit(spark, result, iteration, n_labelled)
+
+    monkeypatch.setattr(L, "_commit", lost)
+    with pytest.raises(Lost):
+        run(str(tmp_path / "broken"))
+    monkeypatch.setattr(L, "_commit", commit)
+    fitted = L.fit
+    monkeypatch.setattr(L, "fit", lambda *a: fits.append(1) or fitted(*a))
+    done = []
+    second = run(str(tmp_path / "broken"), done.append)
+    assert done == list(range(stops_at, 3)) and len(fits) == 3 - stops_at
+    assert second.metrics == unbroken.metrics
+    rows = [sorted((r.round, r.id, r.label) for r in x.labelled(spark).collect()) for x in (second, unbroken)]
+    assert rows[0] == rows[1] and len(rows[0]) == 40
+    rows = [sorted(map(str, x.predictions(spark).collect())) for x in (second, unbroken)]
+    assert rows[0] == rows[1]
+    again = run(str(tmp_path / "broken"), done.append)  # a run that is over is only read
+    assert again.metrics == unbroken.metrics and len(fits) == 3 - stops_at

@@ -1,13 +1,18 @@
 """Models and whole runs. Solvers iterate, so they have no SQL and tests check their properties; which rows a run labels,
 and what it stores, has SQL where the classifier is a plug-in with a known margin."""
 
+from functools import reduce
+
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.operators.experiments import grid_slice, parameter_grid
 from tagloom.operators.features import STOP_WORDS, TERM_PATTERN
 from tagloom.operators.metrics import binary_scores
 from tagloom.operators.sampling import budget_sample, class_sizes, flag_test
+from tagloom.plans.batch import run_batch
 from tagloom.plans.corpus import add_weak_label
 from tagloom.plans.learning import Settings, fit, logistic, predict, run_experiment, run_once, svm, text_sets
 from tagloom.session import materialize, new_path
@@ -188,8 +193,8 @@ VECTOR_TRAIN = f"""
 ROUNDS = 3
 
 
-def sql_rounds(seed: int, cold: str, order) -> str:
-    """`<id, label, round>` of a run that labels a twentieth of the training rows per round. `cold` is the condition of
+def sql_rounds(seed: int, cold: str, order, share: int = 20) -> str:
+    """`<id, label, round>` of a run that labels one in `share` training rows per round. `cold` is the condition of
     the first round on rows with `k`; `order` gives the rank of an unlabelled row in a round."""
     parts = [f"r0 AS (SELECT *, 0 AS round FROM ({cold}))"]
     for i in range(1, ROUNDS):
@@ -200,13 +205,13 @@ def sql_rounds(seed: int, cold: str, order) -> str:
               WHERE place <= (SELECT k FROM size))"""
         )
     rows = " UNION ALL ".join(f"SELECT id, label, round::INT AS round FROM r{i}" for i in range(ROUNDS))
-    return f"""WITH train AS ({VECTOR_TRAIN}), size AS (SELECT count(*) // 20 AS k FROM train),
+    return f"""WITH train AS ({VECTOR_TRAIN}), size AS (SELECT count(*) // {share} AS k FROM train),
       {', '.join(parts)} {rows}"""
 
 
-def sql_random_rounds(seed: int) -> str:
+def sql_random_rounds(seed: int, share: int = 20) -> str:
     cold = f"SELECT id, label FROM (SELECT id, label, {sql_rank('id', str(seed))} AS place FROM train), size WHERE place <= k"
-    return sql_rounds(seed, cold, lambda key: sql_rank("id", key))
+    return sql_rounds(seed, cold, lambda key: sql_rank("id", key), share)
 
 
 SMALLEST_IDS = sql_rounds(
@@ -217,8 +222,8 @@ SMALLEST_IDS = sql_rounds(
 )
 
 
-def _plugged(train, **settings) -> Settings:
-    n = train.count() // 20
+def _plugged(train, share: int = 20, **settings) -> Settings:
+    n = train.count() // share
     return Settings(init_n=n - n % 2 if settings["cold_strategy"] != "TrueRandom" else n, query_n=n,
                     budget=(n - n % 2 if settings["cold_strategy"] != "TrueRandom" else n) + (ROUNDS - 1) * n, **settings)
 
@@ -242,10 +247,10 @@ def al_least_confident_rows(spark, folder):
     return _labelled_rows(spark, folder, cold_strategy="BalancedWeak", query_strategy="LeastConfidence()")
 
 
-def _sql_run(seed: int) -> str:
-    rounds = f"SELECT DISTINCT round AS iteration FROM ({sql_random_rounds(seed)})"
+def _sql_run(seed: int, share: int = 20) -> str:
+    rounds = f"SELECT DISTINCT round AS iteration FROM ({sql_random_rounds(seed, share)})"
     return f"""SELECT 'run_{seed}' AS run, iteration, count(*)::DOUBLE AS num_examples, round(avg(label::DOUBLE), 6) AS train_imbalance
-    FROM ({rounds}) i JOIN ({sql_random_rounds(seed)}) r ON r.round <= i.iteration GROUP BY iteration"""
+    FROM ({rounds}) i JOIN ({sql_random_rounds(seed, share)}) r ON r.round <= i.iteration GROUP BY iteration"""
 
 
 @query("runs_stored", f"{_sql_run(0)} UNION ALL {_sql_run(1)}")
@@ -258,3 +263,36 @@ def runs_stored(spark, folder):
     done = run_experiment(train, tests, settings, "AL_x", 2, lambda n_rows: ConstantMargin(), root=root).check()
     wide = done.metrics.groupBy("run", "iteration").pivot("metric", ["num_examples", "train_imbalance"]).agg(F.first("value"))
     return wide.withColumn("train_imbalance", F.round("train_imbalance", 6))
+
+
+SHARES = [20, 25, 40, 50]
+_BATCH = " UNION ALL ".join(
+    f"SELECT 'AL_SK_' || share AS experiment, * EXCLUDE (share) FROM (SELECT {share} AS share, * FROM ({_sql_run(seed, share)}))"
+    for share in SHARES[1:]
+    for seed in range(2)
+)
+
+
+@query("batch_of_runs", _BATCH)
+def batch_of_runs(spark, folder):
+    """A slice of a grid over how many rows a round labels: three experiments of two runs at once, by two drivers that look at
+    the same list."""
+    train, test = _vector_sets(spark, folder)
+    tests = materialize(test.withColumn("test_set", F.lit("test_base")), "tests")
+    grid = grid_slice(parameter_grid(spark, {"dataset": ["embeddings"], "share": SHARES}), 1)
+    root = new_path(spark, "batch")
+
+    def experiment(name, share):
+        settings = _plugged(train, share, cold_strategy="TrueRandom", query_strategy="RandomSampling()")
+        classifier = lambda n_rows: ConstantMargin()
+        return name, lambda after_round: run_experiment(
+            train, tests, settings, name, 2, classifier, root=f"{root}/{name}", after_round=after_round
+        )
+
+    listed = [experiment(f"AL_SK_{row['share']}", row["share"]) for row in grid.collect()]  # rows of a grid slice
+    first, second = (run_batch(spark, part, root) for part in (listed[::2], listed))
+    assert not set(first) & set(second)
+    done = [x.check() for x in (first | second).values()]
+    rows = reduce(DataFrame.unionByName, [x.metrics for x in done])
+    wide = rows.groupBy("experiment", "run", "iteration").pivot("metric", ["num_examples", "train_imbalance"])
+    return wide.agg(F.first("value")).withColumn("train_imbalance", F.round("train_imbalance", 6))
