@@ -74,13 +74,20 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*=\s*(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]+))?", re.I)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW}
 _NUMBER = re.compile(r"(?<=[-_])[0-9]+|[0-9]{3,}")
+# Runs of letters and digits that look drawn, such as 3fa9c1d2: two digits or more among letters.
+_DRAWN = re.compile(r"(?<![a-z0-9])(?=[0-9]*[a-z])(?=[a-z]*[0-9][a-z]*[0-9])[a-z0-9]{5,}(?![a-z0-9])")
 _SPACE = re.compile(r"\s+")
 
 
 def _label(tag: str, attributes: str) -> str:
-    """`tag.classes and id@role!`, with numbers that may be a page's own as 9; `!` is for hidden elements."""
+    """`tag.classes and id@role!`; `!` is for hidden elements.
+
+    What may be a page's own is left out, so that a host's wrapper does not grow with its pages: of an id only the words
+    that say what an element is for are kept, and in classes numbers and drawn names stand as 9.
+    """
     found = {name.lower(): value.strip("\"'").lower() for name, value in _ATTRIBUTE.findall(attributes)} if attributes else {}
-    names = re.sub("[@!]", "_", _NUMBER.sub("9", found.get("class", "") + " " + found.get("id", ""))).split()
+    names = re.sub("[@!]", "_", _NUMBER.sub("9", _DRAWN.sub("9", found.get("class", "")))).split()
+    names += {word for word in re.split("[^a-z0-9]+", found.get("id", "")) if word in NOISE_WORDS or word in MAIN_WORDS}
     role = re.sub("[^a-z]", "", found.get("role", ""))
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
     return ".".join([tag, *sorted(names)]) + ("@" + role if role else "") + ("!" if hidden else "")
@@ -364,11 +371,21 @@ def choose(elements: list, stats: dict) -> tuple[list[int], list[int]]:
         main.append(up if up >= 0 else e if (strong or weak) and not noise[e] else -1)
         sure.append((strong and not noise[e]) or (parent >= 0 and sure[parent]))
     slots = [e for e, (label, _) in enumerate(elements) if label[0] == "#" and not noise[e] and e in stats]
-    varying = [e for e in slots if sure[e] or not _constant(stats[e])] or slots
+    varying = _varying(elements, stats, slots, sure, links) or slots
     parts = _main_parts(elements, stats, {main[e] for e in varying} - {-1}, sure)
     return [e for e in varying if main[e] in parts], [e for e in varying if not links[e]]
 
 
+def _varying(elements, stats, slots, sure, links) -> list[int]:
+    """Slots whose texts are the pages' own. A text that recurs stays as well where most letters of its container are the
+    pages' own: an article may say the same on many pages. Links never stay for that."""
+    own = {e for e in slots if sure[e] or not _constant(stats[e])}
+    letters: dict[int, list[int]] = {}
+    for e in slots:
+        letters.setdefault(elements[e][1], [0, 0])[e in own] += stats[e][1]
+    return [e for e in slots if e in own or (not links[e] and letters[elements[e][1]][1] > letters[elements[e][1]][0])]
+
+
 def _main_parts(elements, stats, mains, sure) -> set[int]:
     """All main containers but teasers. Containers side by side count together. By a tag or role a part is main text in any
     case; by words, if its group holds at least half of the text of the pages it is on, or if the host has such a part and

@@ -2,8 +2,9 @@
 
 Fit: on a bounded sample of labelled rows, one per distinct text, documents with a token are counted per class.
 A token's log-odds between the classes have a Dirichlet prior with the token's share in both classes together
-(`PRIOR` times as heavy as the counts); tokens well above zero are kept as the model, all others cost `GAP`. A word
-that was not kept falls back on its first `STEM` bytes, which are counted in the same way.
+(`PRIOR` times as heavy as the counts); tokens that stand `MIN_Z` standard errors above or below zero keep theirs, all others
+cost `GAP` (README has what a scan over all log-odds finds instead). A word that was not kept falls back on its first `STEM`
+bytes, which are counted in the same way.
 
 Score: one scan over the words of a text finds all maximal segments (every passage whose score can't be raised by
 growing or shrinking it) in linear time; a word right behind itself counts like one without a score. The best segment,
@@ -83,8 +84,10 @@ def segments(places: list[int], scores: list[float]) -> list[tuple[int, int, flo
     total, before = 0.0, -1
     for place, score in zip(places, scores, strict=True):
         total -= GAP * (place - before - 1)
-        low, total = total, total + score
-        start, end, high, before = place, place, total, place
+        low, total, before = total, total + score, place
+        if score <= 0:
+            continue  # no segment begins or ends with it
+        start, end, high = place, place, total
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= low:
@@ -233,13 +236,13 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
         (c + prior) / (F.col("all_clean") + weight - c - prior)
     )
     error = F.sqrt(1 / (t + prior) + 1 / (c + prior))
-    scored = counts.join(F.broadcast(totals), "kind").filter((t > 0) & (F.col("all_clean") > 0))
+    scored = counts.join(F.broadcast(totals), "kind").filter((F.col("all_toxic") > 0) & (F.col("all_clean") > 0))
     chosen = (
         scored.select("kind", "token", odds.alias("odds"), error.alias("error"))
-        .filter(F.col("odds") >= MIN_Z * F.col("error"))
+        .filter(F.abs("odds") >= MIN_Z * F.col("error"))
         .select("kind", "token", "odds")
         .collect()
-    )  # bounded by the sample: tokens of its toxic texts that are far more frequent there
+    )  # bounded by the sample: tokens whose share in one of the classes stands out
 
     def side(kind):
         rows = sorted((r["token"], r["odds"]) for r in chosen if r["kind"] == kind)

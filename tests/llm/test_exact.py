@@ -301,6 +301,31 @@ def test_html_takes_all_main_containers_but_no_teaser_alone(spark):
         assert extracted(spark, [f"<body>{one}{two.format(long)}<footer>f</footer>"]) == [["Title", text]]
 
 
+def test_html_keeps_what_recurs_inside_an_article(spark):
+    """A sentence that every article has, in a container without a telling name; the frame around it still goes."""
+    page = "<body><div class=c1><p>Home of things</div><div class=c2><p>Own text number {i}, long enough<p>Always the same</div></body>"
+    got = extracted(spark, [page.format(i=i) for i in range(20)])
+    assert got == [[f"Own text number {i}, long enough", "Always the same"] for i in range(20)]
+
+
+@pytest.mark.parametrize("name", ["id={}", "id=p-{}", "class={}", "class='a x-{}'"])
+def test_html_wrapper_does_not_grow_with_pages(spark, name):
+    """Ids and classes that each element has for itself."""
+    sizes = []
+    for n in (8, 64):
+        pages = []
+        for i in range(n):
+            drawn = [f"{hashlib.md5(f"{i} {k}".encode()).hexdigest()[:6]}7a7" for k in range(10)]
+            pages.append("<body>" + "".join(f"<p {name.format(d)}>text {d}</p>" for d in drawn) + "</body>")
+        rows = [(i, f"http://h.example.com/{i}", page) for i, page in enumerate(pages)]
+        given = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+        (rule,) = html.wrappers(html.with_host(given)).collect()
+        sizes.append(len(rule.skeleton))
+        texts = {r.page_id: r.text for r in html.extract(given).collect()}
+        assert all(texts[i].count("text ") == 10 for i in range(n))
+    assert sizes[1] < 2 * sizes[0]
+
+
 def test_html_self_closed_and_unclosed_elements_drop_nothing_else():
     for start in ("<svg/>", "<math />", "<svg class=a/>", "<object data=x>", "<canvas>", "<svg><path/></svg>"):
         assert [b.text() for b in html.parse(f"<p>a</p>{start}<p>b</p>")[0]] == ["a", "b"]
@@ -528,7 +553,7 @@ def test_segments():
     rng = random.Random(4)
     for _ in range(200):
         places = sorted(rng.sample(range(60), rng.randrange(1, 9)))
-        values = [rng.choice([0.5, 1.3, 2.71, 4.4]) + rng.random() / 100 for _ in places]
+        values = [rng.choice([0.5, 1.3, 2.71, 4.4, -0.8, -3.1]) + rng.random() / 100 for _ in places]
         scores = [-toxicity.GAP] * 61
         for place, value in zip(places, values, strict=True):
             scores[place] = value
