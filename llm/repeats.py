@@ -272,13 +272,13 @@ def _analyze(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(F.collect_list("anchor").alias("repeated"))
     )
     texts = documents.select(doc, F.coalesce("text", F.lit("")).alias("text"))
-    # A doc_id with several texts is rare; the digest of the words tells them apart after the join on the id.
-    candidates = texts.dropDuplicates(["doc", "text"]) if _has_repeats(base) else texts
-    candidates = materialize(candidates.join(repeated, "doc"), "candidates")
+    candidates = texts.join(repeated, "doc")
     if _has_repeats(base):
+        # Several rows with one id: the digest of the words tells texts apart, and one row of each is enough.
         candidates = candidates.mapInArrow(
             _matching, "doc bigint, text string, words_sha256 string, repeated array<bigint>"
-        )
+        ).dropDuplicates(["doc", "words_sha256"])
+    candidates = materialize(candidates, "candidates")
     stretches = candidates.mapInArrow(
         _stretches, "doc bigint, words_sha256 string, anchor bigint, start bigint, count int, words string"
     )

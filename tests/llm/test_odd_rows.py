@@ -1,5 +1,7 @@
 """Every operator on awkward rows, on tables without rows, and beside columns with clashing names."""
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from llm import bpe, chat, decontaminate, grades, html, pii, quality_rules, repeats, simhash, toxicity
 
@@ -148,11 +150,37 @@ def test_toxicity(spark, odd_documents):
 def test_pipeline_stages(spark, odd_documents, tmp_path):
     benchmark(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
     labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
-    for given in (odd_documents, none_of(odd_documents)):
-        docs = given
-        for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            before = docs.count()
-            docs = stage(spark, docs, str(tmp_path))
-            assert docs.count() <= before
-            if number < len(corpus_pipeline.STAGES) - 1:
-                assert docs.columns == corpus_pipeline.COLUMNS
+    tables = {}
+    docs = odd_documents
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        tables[name] = docs.collect()
+        if name != "encode":
+            assert docs.columns == corpus_pipeline.COLUMNS
+    ids = {name: sorted((-1 if r.doc_id is None else r.doc_id) for r in rows) for name, rows in tables.items()}
+    scored = toxicity.toxicity(odd_documents, toxicity.fit(odd_documents, labels(spark)))
+    clean = [r.doc_id for r in scored.collect() if r.score < toxicity.TOXIC_FROM]
+    assert ids["toxicity"] == sorted(-1 if i is None else i for i in clean)
+    # Null, empty and blank texts are one group, as are the two long ones and the two equal rows.
+    kept = ids["near_duplicates"]
+    assert kept.count(2) == 1 and not {3, 4, 10} & set(kept) and kept.count(5) == 1 and kept.count(6) == 1
+    assert kept.count(7) == 2 and kept.count(-1) == 1 and 1 in kept and 9 in kept
+    # The items are "word5 the word6", in the long text, and "one id", one of the texts of 7.
+    gone = {5, 7}
+    assert [i for i in kept if i not in gone] == [i for i in ids["decontamination"] if i not in gone]
+    assert 5 not in ids["decontamination"] and [r.text for r in tables["decontamination"] if r.doc_id == 7] == ["two texts"]
+    before = {(r.doc_id, r.text): r for r in tables["decontamination"]}
+    assert ids["personal_data"] == ids["decontamination"] == ids["encode"]
+    for r in tables["personal_data"]:
+        if r.doc_id == 8:
+            assert r.text == "idiot! \x00 \x01 mail [EMAIL][EMAIL] [IP].[IP] [PHONE]" and r.n_chars == len(r.text)
+        else:
+            assert before[r.doc_id, r.text] == r
+    tokenizer = Tokenizer.from_file(bpe.vocabulary_path())
+    want = []
+    for r in tables["personal_data"]:
+        ids_of_text = tokenizer.encode(r.text or "", add_special_tokens=False).ids
+        want.append((str(r.doc_id), ids_of_text, tokenizer.decode(ids_of_text, skip_special_tokens=False)))
+    assert sorted((str(r.doc_id), r.ids, r.decoded) for r in tables["encode"]) == sorted(want)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none_of(odd_documents.select(*corpus_pipeline.COLUMNS)), str(tmp_path)).count() == 0
