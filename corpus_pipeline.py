@@ -9,6 +9,12 @@
 Each stage works on all rows of the one before. A stage that lets documents go joins its verdicts back on the id and
 the text, so rows without an id or with a repeated one are judged by their own text; rows that are equal in both go or
 stay together, except that near_duplicates keeps one of them.
+
+Defined cases: a null text is judged as an empty one and stays null until it is encoded (no ids, an empty text); all texts
+without a word have the fingerprint zero, so one of them stays, the one with the smallest id; of linked documents the
+smallest id stays and a row without an id goes before any with one; texts of any length are used whole; null lang, source
+and n_chars are passed on, n_chars of texts that are cut becomes their new length; without labels nothing is toxic, without
+benchmark nothing contaminated; tables without rows give none; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -31,16 +37,17 @@ def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per component: the smallest id (nulls last), then the smallest text digest of that id."""
+    keys = ["doc_id", "text_key"]
     found = simhash.near_duplicates(docs, key=True)
-    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    least = F.struct(F.col("doc_id").isNull().alias("no_id"), *keys)
     kept = found.groupBy("root").agg(F.min(least).alias("k")).select("k.doc_id", "k.text_key")
-    keyed = docs.select(*COLUMNS, text_key().alias("text_key"))
-    out = join_rows(keyed, kept, ["doc_id", "text_key"], "left_semi")
-    return out.dropDuplicates(["doc_id", "text_key"]).select(*COLUMNS) if _has_repeats(found) else out.select(*COLUMNS)
-
-
-def _has_repeats(found: DataFrame) -> bool:
-    return found.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    out = join_rows(docs.select(*COLUMNS, text_key().alias("text_key")), kept, keys, "left_semi")
+    # Only rows that are equal in id and text meet again.
+    twice = found.groupBy(*keys).count().filter("count > 1").select(*keys)
+    if twice.limit(1).count():
+        alone = join_rows(out, twice, keys, "left_anti")
+        out = alone.unionByName(join_rows(out, twice, keys, "left_semi").dropDuplicates(keys))
+    return out.select(*COLUMNS)
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
