@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.numbers import count_where
 from tagloom.functions.text import EMOJI, URL, clean_text, only_mark
-from tagloom.session import materialize
+from tagloom.session import bucketed, buckets_for, materialize
 
 
 def drop_missing(df: DataFrame, col: str = "text") -> DataFrame:
@@ -32,13 +32,14 @@ class RepeatedIds(ValueError):
     """An id stands for more than one row."""
 
 
-def repeated_rows(df: DataFrame, col: str = "clean_text", id_col: str = "id") -> DataFrame:
+def repeated_rows(df: DataFrame, col: str = "clean_text", id_col: str = "id", buckets: int | None = None) -> DataFrame:
     """`<id>` of the rows whose text already occurs with a smaller id. An id that occurs twice is an error.
 
     Only ids and digests are shuffled, and they are stored, so the texts are read once for it. The smallest id per
     digest is combined before the shuffle, so a text that fills a third of the table costs one row per task.
     """
-    keys = materialize(df.select(id_col, text_digest(F.col(col)).alias("_digest")), "digests")
+    keys = df.select(id_col, text_digest(F.col(col)).alias("_digest"))
+    keys = bucketed(keys, "digests", buckets, id_col) if buckets else materialize(keys, "digests")
     twice = keys.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
     if twice:
         raise RepeatedIds(f"{id_col} {twice[0][0]} stands for {twice[0]['n']} rows")
@@ -48,19 +49,32 @@ def repeated_rows(df: DataFrame, col: str = "clean_text", id_col: str = "id") ->
     return keys.join(firsts.select("_digest", "_first"), same).filter(F.col(id_col) > F.col("_first")).select(id_col)
 
 
-def keep_first(df: DataFrame, col: str = "clean_text", id_col: str = "id") -> DataFrame:
+def store_by_id(df: DataFrame, id_col: str = "id", name: str = "by-id") -> tuple[DataFrame, int]:
+    """The rows as a table in buckets of their ids, and the number of buckets: the one time that texts are moved."""
+    buckets = buckets_for(df)
+    return bucketed(df.repartition(buckets, id_col), name, buckets, id_col), buckets
+
+
+def keep_first(df: DataFrame, col: str = "clean_text", id_col: str = "id", buckets: int | None = None) -> DataFrame:
     """Of the rows with equal text keep the one with the smallest id.
 
-    Few rows lose, so the losers are stored by id and left out: texts stay where they are if the planner can
-    broadcast that table, and never are a shuffle key.
+    The losers are stored by id and left out. Texts stay where they are if the planner can broadcast that table. For a table in
+    `buckets` of its ids, as `store_by_id` makes it, they stay where they are however many lose: losers go to the bucket
+    that their rows are in.
     """
-    losers = materialize(repeated_rows(df, col, id_col), "repeated")
+    losers = repeated_rows(df, col, id_col, buckets)
+    if buckets:
+        losers = bucketed(losers.repartition(buckets, id_col), "repeated", buckets, id_col)
+    else:
+        losers = materialize(losers, "repeated")
     return df.join(losers, id_col, "left_anti")
 
 
-def clean_rows(df: DataFrame, id_col: str = "id", text_col: str = "text", entities: str = "full") -> DataFrame:
-    """Missing, repeated raw text, cleaning, empty, marks only, length: in that order."""
-    rows = keep_first(drop_missing(df, text_col), text_col, id_col)
+def clean_rows(
+    df: DataFrame, id_col: str = "id", text_col: str = "text", entities: str = "full", buckets: int | None = None
+) -> DataFrame:
+    """Missing, repeated raw text, cleaning, empty, marks only, length: in that order. `buckets` as for `keep_first`."""
+    rows = keep_first(drop_missing(df, text_col), text_col, id_col, buckets)
     return cleaned_rows(rows, text_col, entities).withColumn("text_length", F.length("clean_text"))
 
 

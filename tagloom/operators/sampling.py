@@ -62,6 +62,35 @@ def budget_sample(
     return df.join(materialize(ordered, "ordered-sample"), id_col).select(*df.columns, "pos")
 
 
+def budget_samples(
+    df: DataFrame, samples: list[tuple[int, float]], seed=0, id_col: str = "id", label_col: str = "label"
+) -> DataFrame:
+    """Many samples in one draw: the rows of `budget_sample` for every (budget, share) in `samples`, one after the other,
+    with `sample` (the positive percentage), `budget` and `pos`.
+
+    A row is looked at once for all samples, by id and label alone: it gets a copy per sample, whose seed, class and quota
+    decide. The other columns are fetched once, for the rows that some sample takes.
+    """
+    spark = df.sparkSession
+    keys = materialize(df.select(id_col, label_col), "labels")
+    sizes = class_sizes(keys, label_col)
+    parts = [(budget, share, *budget_parts(budget, share)) for budget, share in samples]
+    for _, _, n_neg, n_pos, _ in parts:
+        _require(sizes, n_neg, n_pos)
+    draws = F.array(*[F.struct(F.lit(at).alias("_draw"), F.lit(f"{seed}:{part[1]}").alias("_seed")) for at, part in enumerate(parts)])
+    copies = keys.filter(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("_class"), F.inline(draws))
+    copies = copies.withColumn("_group", F.concat_ws(":", "_draw", "_class"))
+    quotas = [(f"{at}:{c}", part[2 + c]) for at, part in enumerate(parts) for c in (0, 1)]
+    quotas = spark.createDataFrame(quotas, "_group string, n bigint")
+    drawn = take_first(copies, id_col, F.col("_seed"), quotas, "_group").select(id_col, "_draw", "_seed")
+    order = F.concat(F.col("_seed"), F.lit(":order"))
+    ordered = with_position(materialize(drawn, "samples"), id_col, order, ["_draw"])
+    named = F.array(*[F.struct(F.lit(str(part[4])).alias("sample"), F.lit(part[0]).alias("budget")) for part in parts])
+    ordered = ordered.select(id_col, F.get(named, F.col("_draw")).alias("_named"), "pos")
+    ordered = materialize(ordered.select(id_col, "_named.sample", "_named.budget", "pos"), "ordered-samples")
+    return df.join(ordered, id_col).select(*df.columns, "sample", "budget", "pos")
+
+
 def shuffled(df: DataFrame, seed=0, id_col: str = "id") -> DataFrame:
     """All rows with their place `pos` in the random order."""
     return with_position(df, id_col, seed)

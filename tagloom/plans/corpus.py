@@ -19,13 +19,12 @@ from tagloom.operators.sampling import (
     NEG_SHARES,
     TEST_BUDGET,
     TRAIN_BUDGET,
-    budget_parts,
-    budget_sample,
+    budget_samples,
     random_split,
     shuffled,
 )
 from tagloom.session import materialize
-from tagloom.sources.corpora import BASE, read_base, write_sample
+from tagloom.sources.corpora import BASE, read_base, write_sample, write_samples
 
 
 def voted_corpus(comments: DataFrame, votes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,13 +83,11 @@ def store_sets(
     neg_shares=NEG_SHARES,
     seed=0,
 ) -> None:
-    """Write both base sets and, from what was written, every class-balanced sample."""
+    """Write both base sets and, from what was written, every class-balanced sample: all samples of a base set are drawn
+    together and written in one go."""
     spark = train.sparkSession
     weak = add_weak_label(train, keywords).withColumn("weak_label", F.col("weak_pos_keywords"))
     for split, rows, budget in (("test", test, test_budget), ("train", weak, train_budget)):
         write_sample(shuffled(rows, seed), path, dataset, split, BASE)
         base = read_base(spark, path, dataset, split).drop("pos")
-        for share in neg_shares:
-            sample = budget_sample(base, budget, share, seed)
-            pos_pct = budget_parts(budget, share)[2]
-            write_sample(sample, path, dataset, split, str(pos_pct), budget)
+        write_samples(budget_samples(base, [(budget, share) for share in neg_shares], seed), path, dataset, split)

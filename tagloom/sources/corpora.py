@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.session import materialize
+
 # --- fixed values -----------------------------------------------------------------------------
 # Strings that mean "missing" in the text tables.
 MISSING_STRINGS = [
@@ -63,12 +65,19 @@ def read_votes(spark: SparkSession, path: str) -> DataFrame:
 def with_content_id(df: DataFrame, out: str = "id") -> DataFrame:
     """Add an id that is the same in every job: a digest of the row, and a number among equal rows.
 
-    Equal rows are counted, combined before the shuffle, and written out again.
+    The rows are stored with their digests, and only digests are counted. Rows that occur once stay where they are as long
+    as the planner can broadcast the repeated digests; of repeated rows one of each is kept, before the shuffle if it can, and
+    written out as often as it occurs.
     """
-    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    numbered = counted.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    digest = F.sha2(F.to_json(F.struct(*df.columns)), 256)
-    return numbered.select(F.concat_ws(":", digest, "_i").alias(out), *df.columns)
+    rows = materialize(df.withColumn("_digest", F.sha2(F.to_json(F.struct(*df.columns)), 256)), "rows-by-content")
+    counts = rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    counts = materialize(counts, "repeated-rows")
+    alone = rows.join(counts, "_digest", "left_anti").select(F.concat_ws(":", "_digest", F.lit(1)).alias(out), *df.columns)
+    again = rows.join(counts.select("_digest"), "_digest", "left_semi").groupBy("_digest")
+    again = again.agg(F.first(F.struct(*df.columns)).alias("_row")).join(counts, "_digest")
+    numbers = F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_i")
+    again = again.select("_digest", "_row.*", numbers).select(F.concat_ws(":", "_digest", "_i").alias(out), *df.columns)
+    return alone.unionByName(again)
 
 
 def read_tweets(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -93,12 +102,16 @@ def write_sample(df: DataFrame, path: str, dataset: str, split: str, sample: str
     `df` has `id, text, label, pos` and, for training sets, `weak_label`. `sample` is `base` or the
     positive percentage. The stored `pos` is what "the first rows" means later.
     """
+    write_samples(df.withColumns({"sample": F.lit(sample), "budget": F.lit(int(budget))}), path, dataset, split)
+
+
+def write_samples(df: DataFrame, path: str, dataset: str, split: str) -> None:
+    """Store many samples, told apart by `sample` and `budget`, in one write; each replaces its own partition."""
     weak = F.col("weak_label") if "weak_label" in df.columns else F.lit(None)
     rows = df.select(
-        "id", "text", F.col("label").cast("int").alias("label"), weak.cast("int").alias("weak_label"), "pos"
-    )
-    keys = {"dataset": dataset, "split": split, "sample": sample, "budget": int(budget)}
-    rows = rows.withColumns({name: F.lit(value) for name, value in keys.items()})
+        "id", "text", F.col("label").cast("int").alias("label"), weak.cast("int").alias("weak_label"), "pos", "sample",
+        F.col("budget").cast("int").alias("budget"), F.lit(dataset).alias("dataset"), F.lit(split).alias("split"),
+    )
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SAMPLE_KEYS).parquet(path)
 
 

@@ -11,6 +11,7 @@ from tagloom.functions.keywords import keyword_density, keyword_matches, keyword
 from tagloom.functions.numbers import ratio, round_even
 from tagloom.operators import clean, labels, metrics
 from tagloom.plans import corpus
+from tagloom.sources.corpora import with_content_id
 
 
 def frame(spark, rows, schema):
@@ -76,6 +77,41 @@ def test_keep_first_is_idempotent_under_a_hot_text(spark):
     assert {tuple(r) for r in clean.keep_first(once).collect()} == got
 
 
+def test_losers_meet_texts_in_buckets_where_they_lie(spark):
+    """With broadcast off no exchange moves a text once the table is stored by id."""
+    rows = [(i, "hot" if i % 3 == 0 else f"t{i % 50}") for i in range(600)]
+    df = frame(spark, rows, "id long, clean_text string").repartition(5)
+    want = {}
+    for i, text in rows:
+        want.setdefault(text, i)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        stored, buckets = clean.store_by_id(df)
+        once = clean.keep_first(stored, buckets=buckets)
+        plan = once._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert "Exchange" in clean.keep_first(df)._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in once.collect()} == {(i, text) for text, i in want.items()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_content_ids_do_not_depend_on_where_rows_lie(spark):
+    rows = [("a", 1), ("a", 1), ("a", 2), (None, None), (None, None), ("hot", 0), *[("hot", 0)] * 40]
+    df = frame(spark, rows, "x string, y int")
+    first, second = (sorted((r.id, r.x, r.y) for r in with_content_id(d).collect()) for d in (df, df.repartition(7)))
+    assert str(first) == str(second) and len({r[0] for r in first}) == len(rows)
+    assert sorted(str(r[1:]) for r in first) == sorted(map(str, rows))
+    assert sorted(int(r[0].split(":")[1]) for r in first if r[1] == "hot") == list(range(1, 42))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert str(sorted((r.id, r.x, r.y) for r in with_content_id(df).collect())) == str(first)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_length_summary_like_pandas(spark):
     lengths = [1, 1, 2, 3, 5, 8, 13, 40, 7, 7, 7]
     row = clean.length_summary(frame(spark, [("x" * n,) for n in lengths] + [(None,)], "clean_text string")).first()

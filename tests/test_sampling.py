@@ -67,6 +67,18 @@ def test_budget_sample(rows, share):
     assert len({r.id for r in sample}) == 40
 
 
+def test_samples_drawn_together_are_those_drawn_alone(rows):
+    parts = [(40, 0.95), (40, 0.5), (30, 0.9)]
+    together = S.budget_samples(rows, parts, seed=1).collect()
+    for budget, share in parts:
+        alone = {(r.id, r.label, r.pos) for r in S.budget_sample(rows, budget, share, seed=1).collect()}
+        pct = str(S.budget_parts(budget, share)[2])
+        assert {(r.id, r.label, r.pos) for r in together if (r.sample, r.budget) == (pct, budget)} == alone
+    assert len(together) == 110
+    with pytest.raises(S.TooFewRows):
+        S.budget_samples(rows, [(40, 0.5), (1000, 0.5)])
+
+
 def test_budget_too_large(rows):
     with pytest.raises(S.TooFewRows):
         S.budget_sample(rows, 1000, 0.5)

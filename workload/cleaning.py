@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import clean_text, decode_entities, drop_corpus_marks
-from tagloom.operators.clean import clean_rows, keep_first, length_summary, stage_report
+from tagloom.operators.clean import clean_rows, keep_first, length_summary, stage_report, store_by_id
 from tagloom.session import new_path
 from tagloom.streaming.rows import clean_stream, run_available
-from workload.registry import query, quote, sql_clean, sql_entities, table, texts
+from workload.registry import SQL, query, quote, sql_clean, sql_entities, table, texts
 
 MARKS = ("[URL]", "[EMOJI]")
 # Every text twice, or in its place nothing, blanks, a bare link, a bare emoji, or a link and an emoji.
@@ -101,6 +101,13 @@ def dedup_keep_first(spark, folder):
     return keep_first(documents, "text", "doc_id")
 
 
+@query("dedup_in_buckets", SQL["dedup_keep_first"])
+def dedup_in_buckets(spark, folder):
+    """The same rows from a table in buckets of its ids, where texts never move again."""
+    documents, buckets = store_by_id(table(spark, folder, "documents").select("doc_id", "text", "lang"), "doc_id")
+    return keep_first(documents, "text", "doc_id", buckets)
+
+
 @query(
     "clean_rows_documents",
     f"{CLEANED} SELECT doc_id, clean_text, length(clean_text)::INT AS text_length FROM cleaned WHERE {KEPT}",

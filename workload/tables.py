@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tagloom.operators.experiments import GRIDS, parameter_grid
-from tagloom.operators.sampling import budget_sample, class_sizes, shuffled
+from tagloom.operators.sampling import budget_samples, class_sizes, shuffled
 from tagloom.plans.corpus import add_weak_label
 from tagloom.session import materialize, new_path
 from tagloom.sources.corpora import (
@@ -15,6 +15,7 @@ from tagloom.sources.corpora import (
     read_tweets,
     read_votes,
     write_sample,
+    write_samples,
 )
 from tagloom.sources.results import read_grid, write_grid
 from workload.experiments import sql_grid
@@ -77,10 +78,10 @@ def samples_round_trip(spark, folder):
     rows = add_weak_label(labelled_documents(spark, folder, texts), KEYWORDS, 0.01)
     rows = materialize(rows.select("id", "text", "label", F.col("weak_pos_keywords").alias("weak_label")), "weak-rows")
     budget = class_sizes(rows, "label")[1]
-    write_sample(budget_sample(rows, budget, 0.9, SEED), path, "docs", "train", "10", budget)
-    test = rows.drop("weak_label")
-    write_sample(shuffled(test, SEED), path, "docs", "test", BASE)
-    write_sample(budget_sample(test, budget, 0.5, SEED), path, "docs", "test", "50", budget)
+    samples = materialize(budget_samples(rows, [(budget, 0.9), (budget, 0.5)], SEED), "drawn")
+    write_samples(samples.filter("sample = '10'"), path, "docs", "train")
+    write_sample(shuffled(rows.drop("weak_label"), SEED), path, "docs", "test", BASE)
+    write_samples(samples.filter("sample = '50'").drop("weak_label"), path, "docs", "test")
     train = read_train(spark, path, "docs", budget, 10)
     tests = read_tests(spark, path, "docs", 30)
     columns = ["part", "id", "label", "weak_label", "pos"]
