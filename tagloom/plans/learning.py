@@ -13,12 +13,12 @@ from datetime import datetime, timezone
 from math import ceil
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import LogisticRegression
 from pyspark.errors import AnalysisException
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.operators.epochs import EpochClassifier
 from tagloom.operators.experiments import experiment_key
 from tagloom.operators.features import fit_tfidf_vectors
 from tagloom.operators.metrics import set_scores
@@ -77,25 +77,29 @@ def svm(n_rows: int) -> Estimator:
     return SquaredHingeSVM(cost=1.0)
 
 
-def logistic(n_rows: int, max_iter: int = 3) -> Estimator:
-    """Two-class classifier for embedding features; `max_iter` takes the place of epochs."""
-    return LogisticRegression(maxIter=max_iter, family="binomial")
+def logistic(n_rows: int, n_epochs: int = 3) -> Estimator:
+    """Two-class classifier for embedding features, which keeps the epoch that is best on held-out rows."""
+    return EpochClassifier(n_epochs)
 
 
 def fit(classifier: Callable[[int], Estimator], rows: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> Model:
-    """Fit on `<label, features>`. An SVM needs both classes. `rows_per_task` says how small a labelled set may be per
+    """Fit on `<id, label, features>`. Rows flagged `is_valid` are held out; classifiers that choose by them get them as well.
+    An SVM needs both classes. `rows_per_task` is for other estimators: it says how small a labelled set may be per
     task before it is put into fewer; wide rows want fewer rows in a task."""
-    sizes = class_sizes(rows, "label")
+    train = rows.filter(~F.col("is_valid")) if "is_valid" in rows.columns else rows
+    sizes = class_sizes(train, "label")
     n_rows = sum(sizes.values())
     estimator = classifier(n_rows)
-    if isinstance(estimator, SquaredHingeSVM) and not (sizes[0] and sizes[1]):
-        raise TooFewRows(f"training needs both classes, have {sizes}")
-    rows = rows.select(F.col("label").cast("double").alias("label"), "features")
     if isinstance(estimator, SquaredHingeSVM):
-        return estimator.fit(rows)  # puts its rows into blocks itself
+        if not (sizes[0] and sizes[1]):
+            raise TooFewRows(f"training needs both classes, have {sizes}")
+        return estimator.fit(train)  # puts its rows into blocks itself
+    if getattr(estimator, "holds_out", False):
+        return estimator.fit(rows)
+    train = train.select(F.col("label").cast("double").alias("label"), "features")
     # Other solvers run one job per step. A labelled set of a few thousand rows belongs in one task; a large
     # one has more partitions than this and keeps them as they are, since coalesce never adds any.
-    return estimator.fit(rows.coalesce(ceil(n_rows / rows_per_task) or 1))
+    return estimator.fit(train.coalesce(ceil(n_rows / rows_per_task) or 1))
 
 
 def predict(model: Model, rows: DataFrame) -> DataFrame:
@@ -202,10 +206,6 @@ def _evaluate(model: Model, labelled: DataFrame, tests: DataFrame, result: RunRe
     result.metrics[iteration] = metrics
 
 
-def _train_part(labelled: DataFrame) -> DataFrame:
-    return labelled.filter(~F.col("is_valid"))
-
-
 # --- round log ---------------------------------------------------------------------------------
 #
 # A round's tables lie in folders named by its number and are replaced as a whole, so a round that runs again leaves the
@@ -258,7 +258,7 @@ def run_supervised(train: DataFrame, tests: DataFrame, settings: Settings, class
         rows = rows.withColumn("is_valid", F.lit(False))
     rows.write.mode("overwrite").parquet(f"{result.labelled_path}/round=0")
     labelled = result.labelled(spark)
-    _evaluate(fit(classifier, _train_part(labelled)), labelled, tests, result, 0)
+    _evaluate(fit(classifier, labelled), labelled, tests, result, 0)
     _commit(spark, result, 0, int(result.metrics[0]["num_examples"]))
     return result
 
@@ -292,7 +292,7 @@ def run_active(
     # A round's entry counts the rows picked at its end, so it alone says whether the run is over.
     while not (result.metrics and n_labelled == _at_end(result)):
         labelled = result.labelled(spark, iteration)
-        model = fit(classifier, _train_part(labelled))
+        model = fit(classifier, labelled)
         _evaluate(model, labelled, tests, result, iteration)
         n = min(settings.query_n, settings.budget - n_labelled)
         if n > 0:

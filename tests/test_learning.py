@@ -154,7 +154,7 @@ def test_grid_row_to_run_on_stored_sets(spark, tmp_path):
     rows = L.predict(model, tests).collect()
     assert all(r.label == r.prediction for r in rows)
     epochs = L.classifier_from({"framework": "TF", "n_epochs": 7})(10)
-    assert epochs.getMaxIter() == 7
+    assert epochs.n_epochs == 7
     for framework, kind in (("SK", "sklearn_model"), ("TF", "transformer_model")):
         row = params | {"framework": framework, kind: "x", "run_n": 1, "n_epochs": 3}
         vector = F.array((F.col("id") % 4 == 0).cast("double"), F.lit(0.5))

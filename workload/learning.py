@@ -8,10 +8,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.operators.epochs import DECAYS, N_BATCHES, RATE, TINY
 from tagloom.operators.experiments import grid_slice, parameter_grid
 from tagloom.operators.features import STOP_WORDS, TERM_PATTERN
 from tagloom.operators.metrics import binary_scores
-from tagloom.operators.sampling import budget_sample, class_sizes, flag_test
+from tagloom.operators.sampling import budget_sample, class_sizes, flag_sl_validation, flag_test
 from tagloom.plans.batch import run_batch
 from tagloom.plans.corpus import add_weak_label
 from tagloom.plans.learning import Settings, fit, logistic, predict, run_experiment, run_once, svm, text_sets
@@ -23,6 +24,7 @@ from workload.registry import (
     query,
     quote,
     sql_cells,
+    sql_key,
     sql_rank,
     sql_scores,
     table,
@@ -115,10 +117,46 @@ def svm_metrics(spark, folder):
     return binary_scores(predict(fit(svm, train), test), places=6)
 
 
-@query("embedding_classifier")
+EPOCHS = 3
+
+
+def sql_epochs(seed: int = 0) -> str:
+    """The same batches one after the other, each a relation, and the held-out loss after each epoch."""
+    batch = f"('0x' || {sql_key('id', f'{seed}:batch')}[1:8])::BIGINT % {N_BATCHES}"
+    steps = [
+        f"""rows AS MATERIALIZED (SELECT vec_id AS id, (label = 0)::INT AS y, list_append(list_transform(embedding, lambda x: x::DOUBLE), 1.0::DOUBLE) AS x,
+          {sql_rank('vec_id', '42')} <= ceil(0.25::DOUBLE * count(*) OVER ()) AS is_test FROM embeddings)""",
+        f"""train AS MATERIALIZED (SELECT *, CASE WHEN {sql_rank('id', f'{seed}:valid', 'y')}
+          <= floor(0.1::DOUBLE * count(*) OVER (PARTITION BY y)) THEN -1 ELSE {batch} END AS batch FROM rows WHERE NOT is_test)""",
+        "size AS (SELECT any_value(len(x)) AS n FROM rows)",
+        """s0 AS MATERIALIZED (SELECT list_transform(range(n), lambda i: 0.0::DOUBLE) AS w, list_transform(range(n), lambda i: 0.0::DOUBLE) AS m,
+          list_transform(range(n), lambda i: 0.0::DOUBLE) AS v, 0 AS t FROM size)""",
+    ]
+    a, b = DECAYS
+    at, losses = 0, []
+    for epoch in range(EPOCHS):
+        for number in range(N_BATCHES):
+            steps.append(f"""g{at} AS MATERIALIZED (SELECT list(g ORDER BY place) AS g FROM (SELECT place, avg(gap * x) AS g FROM (
+              SELECT 1 / (1 + exp(-list_inner_product(x, w))) - y AS gap, unnest(x) AS x, generate_subscripts(x, 1) AS place
+              FROM train, s{at} WHERE batch = {number}) GROUP BY place))""")
+            steps.append(f"""n{at} AS MATERIALIZED (SELECT w, t + 1 AS t, list_transform(list_zip(m, g), lambda p: {a} * p[1] + {1 - a}::DOUBLE * p[2]) AS m,
+              list_transform(list_zip(v, g), lambda p: {b} * p[1] + {1 - b}::DOUBLE * p[2] * p[2]) AS v FROM s{at}, g{at} WHERE g IS NOT NULL)""")
+            steps.append(f"""s{at + 1} AS MATERIALIZED (SELECT list_transform(list_zip(w, m, v), lambda p: p[1] - {RATE} * (p[2] / (1 - {a}::DOUBLE ** t))
+                / (sqrt(p[3] / (1 - {b}::DOUBLE ** t)) + {TINY})) AS w, m, v, t FROM n{at}
+              UNION ALL SELECT s.* FROM s{at} s WHERE NOT EXISTS (FROM n{at}))""")
+            at += 1
+        steps.append(f"""l{epoch} AS MATERIALIZED (SELECT {epoch} AS epoch, any_value(w) AS w, avg(ln(1 + exp(CASE WHEN y = 1 THEN -z ELSE z END))) AS loss
+          FROM (SELECT y, w, list_inner_product(x, w) AS z FROM train, s{at} WHERE batch = -1))""")
+        losses.append(f"SELECT * FROM l{epoch}")
+    return f"""WITH {', '.join(steps)} SELECT id, y AS label, (list_inner_product(x, w) > 0)::INT AS prediction
+      FROM rows, (SELECT w FROM ({' UNION ALL '.join(losses)}) ORDER BY loss, epoch LIMIT 1) WHERE is_test"""
+
+
+@query("embedding_classifier", sql_epochs())
 def embedding_classifier(spark, folder):
+    """A tenth of each class of the training rows says which epoch is kept."""
     train, test = _vector_sets(spark, folder)
-    rows = predict(fit(logistic, train), test)
+    rows = predict(fit(lambda n_rows: logistic(n_rows, EPOCHS), flag_sl_validation(train)), test)
     return rows.select("id", "label", "prediction")
 
 
