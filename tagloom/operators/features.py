@@ -83,6 +83,28 @@ def fit_tfidf(df: DataFrame, text_col: str = "text", stop_words=STOP_WORDS) -> T
     return TfidfModel(materialize(counts.withColumn("idf", idf), "vocabulary"), list(stop_words))
 
 
+def fit_transform_tfidf(
+    df: DataFrame, id_col: str = "id", text_col: str = "text", stop_words=STOP_WORDS
+) -> tuple[TfidfModel, DataFrame]:
+    """The model fitted on `df` and what it makes of `df`. Terms are found and counted once per text; rows of one id are one
+    text."""
+    counts = materialize(term_counts(df, id_col, text_col, stop_words), "term-counts")
+    model = _from_counts(counts, df, id_col, stop_words)
+    return model, _weighted(_known(model.vocabulary, counts, id_col, "idf"), id_col, "term")
+
+
+def _from_counts(counts: DataFrame, df: DataFrame, id_col: str, stop_words) -> TfidfModel:
+    """The model from stored `<id, term, tf>`: a row per text and term, so rows are texts that have the term."""
+    n_docs = df.agg(F.count(F.lit(1))).scalar()
+    found = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log((n_docs + 1) / (F.col("df") + 1)) + 1
+    return TfidfModel(materialize(found.withColumn("idf", idf), "vocabulary"), list(stop_words))
+
+
+def _known(vocabulary: DataFrame, counts: DataFrame, id_col: str, *columns: str) -> DataFrame:
+    return lookup_join(counts, vocabulary.select("term", *columns, "df"), "term", counts="df", spread_by=id_col)
+
+
 def _weighted(known: DataFrame, id_col: str, *keep: str) -> DataFrame:
     """`<id, .., weight>` with length 1 per id, from `<id, .., tf, idf>`; one text is one group."""
     raw = F.col("tf") * F.col("idf")
@@ -96,8 +118,7 @@ def _weighted(known: DataFrame, id_col: str, *keep: str) -> DataFrame:
 def transform_tfidf(model: TfidfModel, df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """`<id, term, weight>`, each text with length 1. Terms outside the vocabulary vanish."""
     counts = term_counts(df, id_col, text_col, model.stop_words)
-    known = lookup_join(counts, model.vocabulary.select("term", "idf", "df"), "term", counts="df", spread_by=id_col)
-    return _weighted(known, id_col, "term")
+    return _weighted(_known(model.vocabulary, counts, id_col, "idf"), id_col, "term")
 
 
 @dataclass
@@ -110,18 +131,22 @@ class TextVectors:
 
     def weights(self, df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
         """`<id, term_id, weight>`, the weights of `transform_tfidf`."""
-        counts = term_counts(df, id_col, text_col, self.stop_words)
-        lookup = self.terms.select("term", "term_id", "idf", "df")
-        return _weighted(lookup_join(counts, lookup, "term", counts="df", spread_by=id_col), id_col, "term_id")
+        return self._weights(term_counts(df, id_col, text_col, self.stop_words), id_col)
+
+    def _weights(self, counts: DataFrame, id_col: str) -> DataFrame:
+        return _weighted(_known(self.terms, counts, id_col, "term_id", "idf"), id_col, "term_id")
 
     def transform(self, df: DataFrame, id_col: str = "id", text_col: str = "text", out: str = "features") -> DataFrame:
         """`df` without its text but with sparse vectors, stored. Rows with one id have one text.
 
         Vectors are put together in Spark as the columns they consist of, and read back as vectors.
         """
-        pairs = F.array_sort(F.collect_list(F.struct(F.col("term_id").cast("int").alias("i"), "weight")))
         distinct = df.select(id_col, text_col).dropDuplicates([id_col])
-        gathered = self.weights(distinct, id_col, text_col).groupBy(id_col).agg(pairs.alias("_pairs"))
+        return self._stored(df, term_counts(distinct, id_col, text_col, self.stop_words), id_col, text_col, out)
+
+    def _stored(self, df: DataFrame, counts: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
+        pairs = F.array_sort(F.collect_list(F.struct(F.col("term_id").cast("int").alias("i"), "weight")))
+        gathered = self._weights(counts, id_col).groupBy(id_col).agg(pairs.alias("_pairs"))
         vector = F.struct(
             F.lit(0).cast("tinyint").alias("type"),
             F.lit(self.n_terms).alias("size"),
@@ -139,7 +164,19 @@ class TextVectors:
 def fit_tfidf_vectors(df: DataFrame, text_col: str = "text", stop_words=STOP_WORDS) -> TextVectors:
     """Vocabulary for sparse vectors. It stays a table of any size; only a model fitted on the vectors holds a number
     per term. Vectors number their places with 32 bits, so 2 ** 31 terms are the end of the format."""
-    model = fit_tfidf(df, text_col, stop_words)
+    return _numbered(fit_tfidf(df, text_col, stop_words))
+
+
+def fit_transform_tfidf_vectors(
+    df: DataFrame, id_col: str = "id", text_col: str = "text", stop_words=STOP_WORDS, out: str = "features"
+) -> tuple[TextVectors, DataFrame]:
+    """The vocabulary of `df`, whose ids are unique, and its rows with their vectors; terms are found once per text."""
+    counts = materialize(term_counts(df, id_col, text_col, stop_words), "term-counts")
+    model = _numbered(_from_counts(counts, df, id_col, stop_words))
+    return model, model._stored(df, counts, id_col, text_col, out)
+
+
+def _numbered(model: TfidfModel) -> TextVectors:
     numbered = with_position(model.vocabulary, "term", 0, out="term_id")
     table = materialize(numbered, "numbered-vocabulary")
     n_terms = table.count()

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators.epochs import EpochClassifier
 from tagloom.operators.experiments import experiment_key
-from tagloom.operators.features import fit_tfidf_vectors
+from tagloom.operators.features import fit_transform_tfidf_vectors
 from tagloom.operators.metrics import set_scores
 from tagloom.operators.sampling import TooFewRows, class_sizes, cold_start, flag_al_validation, flag_sl_validation
 from tagloom.operators.select import (
@@ -158,8 +158,8 @@ def classifier_from(params: dict) -> Callable[[int], Estimator]:
 
 def text_sets(train: DataFrame, tests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add `features` to both: TF-IDF fitted on the training texts. Stored, since every round reads them."""
-    model = fit_tfidf_vectors(train)
-    return model.transform(train), model.transform(tests)
+    model, vectors = fit_transform_tfidf_vectors(train)
+    return vectors, model.transform(tests)
 
 
 def load_text_sets(spark: SparkSession, path: str, params: dict) -> tuple[DataFrame, DataFrame]:

@@ -57,6 +57,9 @@ def test_tfidf_against_brute_force(spark, docs):
 def test_tfidf_with_a_vocabulary_too_large_to_broadcast(docs, monkeypatch):
     monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
     close(as_dict(X.transform_tfidf(X.fit_tfidf(docs), docs)), brute(DOCS, DOCS))
+    model, weights = X.fit_transform_tfidf(docs)
+    close(as_dict(weights), brute(DOCS, DOCS))
+    close(as_dict(X.transform_tfidf(model, docs)), brute(DOCS, DOCS))
 
 
 def test_vectors_have_the_same_weights(spark, docs):

@@ -11,7 +11,8 @@ from tagloom.operators.features import (
     WORD_PATTERN,
     encode_fixed,
     fit_tfidf,
-    fit_tfidf_vectors,
+    fit_transform_tfidf,
+    fit_transform_tfidf_vectors,
     fit_word_ids,
     transform_tfidf,
 )
@@ -46,7 +47,7 @@ def _rounded(weights):
 @query("tfidf_fit", f"{TFIDF} WHERE NOT is_test")
 def tfidf_fit(spark, folder):
     train, _ = _parts(spark, folder)
-    return _rounded(transform_tfidf(fit_tfidf(train), train, "doc_id"))
+    return _rounded(fit_transform_tfidf(train, "doc_id")[1])
 
 
 @query("tfidf_transform", f"{TFIDF} WHERE is_test")
@@ -64,7 +65,7 @@ def tfidf_transform(spark, folder):
 def tfidf_vectors(spark, folder):
     """The stored vectors, taken apart again."""
     train, _ = _parts(spark, folder)
-    vectors = fit_tfidf_vectors(train).transform(train, "doc_id")
+    _, vectors = fit_transform_tfidf_vectors(train, "doc_id")
     parts = F.unwrap_udt("features")
     pairs = F.arrays_zip(parts["indices"].alias("term_id"), parts["values"].alias("weight"))
     return _rounded(vectors.select("doc_id", F.inline(pairs)).withColumn("term_id", F.col("term_id").cast("bigint")))
