@@ -624,3 +624,49 @@ def test_pipeline_stages(spark, documents, texts, tokenizer, tmp_path):
         assert base_spans(texts[i]) or row.text == texts[i]
         assert row.n_chars == len(row.text)
         assert tables["encode"][i].ids == tokenizer.encode(row.text, add_special_tokens=False).ids
+
+
+# Quality rules: what hosts do to their documents
+
+
+def hosted(spark, hosts):
+    """Documents by host from {host: (failing, good)}; a good text has 60 different words, a failing one has five."""
+    rows, good = [], " ".join(f"w{i}" for i in range(60))
+    for host, (n_bad, n_good) in hosts.items():
+        rows += [(len(rows) + i, "too short to be kept here" if i < n_bad else good, host) for i in range(n_bad + n_good)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+
+
+HOSTED = {
+    # Every good text of a large host that mostly fails goes; a small one with such a share is saved by the prior.
+    "shrunk": ({"large": (90, 10), "small": (2, 1), None: (0, 8), **{f"h{i}": (i % 3, 30) for i in range(20)}}, {"large"}),
+    "all alike": ({f"h{i}": (1, 3) for i in range(6)}, set()),
+    "alike and bad": ({f"h{i}": (3, 1) for i in range(6)}, {f"h{i}" for i in range(6)}),
+    "exactly one half": ({f"h{i}": (2, 2) for i in range(5)}, set()),
+    "one host": ({"only": (5, 4)}, {"only"}),
+}
+
+
+@pytest.mark.parametrize("name", HOSTED)
+def test_hosts_decide(spark, tmp_path, name):
+    import duckdb
+
+    from llm import quality_rules
+    from tools.compare import compare
+
+    hosts, rejected = HOSTED[name]
+    documents = hosted(spark, hosts)
+    rows = quality_rules.quality_rules(documents).collect()
+    assert len(rows) == sum(map(sum, hosts.values()))
+    for r in rows:
+        assert r.kept == (not r.base_failed and r.host not in rejected)
+    if name == "shrunk":
+        rates = {r.host: r.rate for r in rows}
+        assert rates["small"] < 0.5 < 2 / 3 and 0.5 < rates["large"] < 0.9
+    if name == "exactly one half":
+        assert {r.rate for r in rows} == {0.5}
+    # The SQL on tables in which hosts are rejected.
+    documents.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert compare(spark, connection, str(tmp_path), "op6_quality_rules")[0] == "same"
