@@ -1,6 +1,7 @@
 """Models and whole runs. Solvers iterate, so they have no SQL and tests check their properties; which rows a run labels,
 and what it stores, has SQL where the classifier is a plug-in with a known margin."""
 
+import zlib
 from functools import reduce
 
 from pyspark.ml import Estimator, Model
@@ -30,6 +31,7 @@ from workload.registry import (
     table,
     texts,
 )
+from workload.selection import coreset_steps, kmeans_steps
 
 
 def _text_sets(spark, folder, weak: bool = True):
@@ -64,7 +66,7 @@ def _test_sets(test):
 
 
 def sql_margins(iterations: int = 3_000) -> str:
-    """`<id, label, margin>` of the test rows. Another way to the same minimum: steps with momentum on the dual, whose matrix
+    """`<id, label, is_test, margin>` of all rows. Another way to the same minimum: steps with momentum on the dual, whose matrix
     is the inner products of the training rows."""
     stop = ", ".join(map(quote, STOP_WORDS))
     return f"""
@@ -92,13 +94,14 @@ def sql_margins(iterations: int = 3_000) -> str:
           x[1] - (list_inner_product(x[2], v) + 0.5 * x[1] - 1) / top)), a
       FROM (SELECT step, a, q, top, list_transform(list_zip(a, b), lambda x: x[1] + momentum * (x[1] - x[2])) AS v FROM steps, sized)
       WHERE step < {iterations})
-    SELECT l.id, l.label, list_inner_product(line, a) AS margin
-    FROM lines l, (SELECT a FROM steps WHERE step = {iterations}) WHERE is_test"""
+    SELECT l.id, l.label, l.is_test, list_inner_product(line, a) AS margin
+    FROM lines l, (SELECT a FROM steps WHERE step = {iterations})"""
 
 
 @query(
     "svm_predict",
-    f"""SELECT id, label, (margin > 0)::INT AS prediction, round(abs(margin), 4) AS confidence FROM ({sql_margins()})""",
+    f"""SELECT id, label, (margin > 0)::INT AS prediction, round(abs(margin), 4) AS confidence FROM ({sql_margins()})
+    WHERE is_test""",
 )
 def svm_predict(spark, folder):
     train, test = _text_sets(spark, folder, weak=False)
@@ -109,7 +112,7 @@ def svm_predict(spark, folder):
 @query(
     "svm_metrics",
     "SELECT * EXCLUDE (one) FROM ("
-    + sql_scores(f"SELECT 1 AS one, {sql_cells('label', '(margin > 0)::INT')} FROM ({sql_margins()})", "one", 6)
+    + sql_scores(f"SELECT 1 AS one, {sql_cells('label', '(margin > 0)::INT')} FROM ({sql_margins()}) WHERE is_test", "one", 6)
     + ")",
 )
 def svm_metrics(spark, folder):
@@ -165,7 +168,24 @@ def _metric_rows(spark, result):
     return spark.createDataFrame(rows, "iteration int, metric string, value double")
 
 
-@query("sl_run")
+def sql_supervised() -> str:
+    """Metrics of the SVM on its own rows, on all test rows, and on a sample of them at half and half."""
+    cells = f"SELECT test_set, {sql_cells('label', 'prediction')} FROM sets GROUP BY test_set"
+    place = sql_rank("id", "0:0.5", "label")
+    return f"""
+    WITH scored AS MATERIALIZED (SELECT id, label, is_test, (margin > 0)::INT AS prediction FROM ({sql_margins()})),
+    budget AS (SELECT count(*) AS n FROM scored WHERE is_test AND label = 1),
+    sets AS (SELECT 'train' AS test_set, label, prediction FROM scored WHERE NOT is_test
+      UNION ALL SELECT 'test_base', label, prediction FROM scored WHERE is_test
+      UNION ALL SELECT 'test_50', label, prediction FROM (SELECT *, {place} AS place FROM scored WHERE is_test), budget
+        WHERE place <= CASE label WHEN 0 THEN n // 2 ELSE n - n // 2 END),
+    rows AS (SELECT * FROM ({sql_scores(cells, 'test_set')}))
+    SELECT 0 AS iteration, CASE test_set WHEN 'train' THEN 'train_f1' ELSE test_set || '_f1' END AS metric, f1_macro AS value FROM rows
+    UNION ALL SELECT 0, 'train_imbalance', (tp + fn)::DOUBLE / (tn + fp + fn + tp) FROM rows WHERE test_set = 'train'
+    UNION ALL SELECT 0, 'num_examples', (tn + fp + fn + tp)::DOUBLE FROM rows WHERE test_set = 'train'"""
+
+
+@query("sl_run", sql_supervised())
 def sl_run(spark, folder):
     train, test = _text_sets(spark, folder)
     return _metric_rows(spark, run_once(train, _test_sets(test), Settings(method="SL")))
@@ -285,6 +305,45 @@ def al_least_confident_rows(spark, folder):
     return _labelled_rows(spark, folder, cold_strategy="BalancedWeak", query_strategy="LeastConfidence()")
 
 
+INIT_N, NEXT_N = 20, 8
+
+
+def sql_vector_rounds(seed: int, steps_of, rounds: int = 2) -> str:
+    """`<id, label, round>`: a random start, then in each round what `steps_of` (pool, labelled, round, prefix) makes."""
+    steps = [
+        f"train AS MATERIALIZED ({VECTOR_TRAIN})",
+        f"r0 AS MATERIALIZED (SELECT id AS vec_id, 0 AS round FROM (SELECT id, {sql_rank('id', str(seed))} AS place FROM train) WHERE place <= {INIT_N})",
+    ]
+    for i in range(1, rounds + 1):
+        seen = " UNION ALL ".join(f"SELECT vec_id FROM r{j}" for j in range(i))
+        pool = f"SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (SELECT id FROM train) AND vec_id NOT IN ({seen})"
+        steps += steps_of(pool, f"SELECT vec_id, embedding FROM embeddings WHERE vec_id IN ({seen})", i, f"x{i}")
+        steps.append(f"r{i} AS MATERIALIZED (SELECT vec_id, {i} AS round FROM x{i}picks)")
+    rows = " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(rounds + 1))
+    return f"WITH {', '.join(steps)} SELECT id, label, round FROM ({rows}) JOIN train ON id = vec_id"
+
+
+def _vector_rounds(spark, folder, strategy):
+    train, test = _vector_sets(spark, folder)
+    tests = materialize(test.withColumn("test_set", F.lit("test_base")), "tests")
+    settings = Settings(init_n=INIT_N, query_n=NEXT_N, query_strategy=strategy, budget=INIT_N + 2 * NEXT_N)
+    result = run_once(train, tests, settings, lambda n_rows: ConstantMargin(), "embedding")
+    return result.labelled(spark).select("id", "label", "round")
+
+
+@query("al_coreset_rows", sql_vector_rounds(0, lambda pool, labelled, i, x: coreset_steps(pool, labelled, NEXT_N, x)))
+def al_coreset_rows(spark, folder):
+    return _vector_rounds(spark, folder, "GreedyCoreset(normalize=True)")
+
+
+@query(
+    "al_kmeans_rows",
+    sql_vector_rounds(0, lambda pool, labelled, i, x: kmeans_steps(pool, NEXT_N, zlib.crc32(f"0:{i}".encode()), 20, x)),
+)
+def al_kmeans_rows(spark, folder):
+    return _vector_rounds(spark, folder, "EmbeddingKMeans(normalize=True)")
+
+
 def _sql_run(seed: int, share: int = 20) -> str:
     rounds = f"SELECT DISTINCT round AS iteration FROM ({sql_random_rounds(seed, share)})"
     return f"""SELECT 'run_{seed}' AS run, iteration, count(*)::DOUBLE AS num_examples, round(avg(label::DOUBLE), 6) AS train_imbalance

@@ -141,37 +141,44 @@ def nearest_to_centre_labels(spark, folder):
 KMEANS_ROUNDS = 6
 
 
-def sql_kmeans() -> str:
-    """The oversampled start, its thinning and all rounds, one relation after the other, without any bounds."""
-    k, seed, more = N_QUERY, 1, OVERSAMPLING * N_QUERY
+def kmeans_steps(pool: str, k: int, seed: int, rounds: int, x: str = "") -> list[str]:
+    """The oversampled start, its thinning and all rounds, one relation after the other, without any bounds, up to
+    `{x}picks`. Names begin with `x`."""
+    more = OVERSAMPLING * k
     draw = "(('0x' || md5(concat_ws(':', vec_id, '{}'))[1:13])::BIGINT + 1)::DOUBLE / 4503599627370496::DOUBLE"
     steps = [
-        f"""units AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE /
-          sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM ({POOL}))""",
-        f"c0 AS MATERIALIZED (SELECT * FROM units ORDER BY {sql_key('vec_id', str(seed))}, vec_id LIMIT 1)",
+        f"""{x}units AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE /
+          sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM ({pool}))""",
+        f"{x}c0 AS MATERIALIZED (SELECT * FROM {x}units ORDER BY {sql_key('vec_id', str(seed))}, vec_id LIMIT 1)",
     ]
     for i in range(START_ROUNDS):
-        steps.append(f"""g{i} AS (SELECT u.vec_id, any_value(u.v) AS v, min(list_distance(u.v, c.v)) AS gap FROM units u, c{i} c GROUP BY u.vec_id)""")
-        steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT * FROM c{i} UNION ALL (SELECT vec_id, v FROM g{i} WHERE gap > 1e-9
+        steps.append(f"""{x}g{i} AS (SELECT u.vec_id, any_value(u.v) AS v, min(list_distance(u.v, c.v)) AS gap FROM {x}units u, {x}c{i} c GROUP BY u.vec_id)""")
+        steps.append(f"""{x}c{i + 1} AS MATERIALIZED (SELECT * FROM {x}c{i} UNION ALL (SELECT vec_id, v FROM {x}g{i} WHERE gap > 1e-9
           ORDER BY ln({draw.format(f'{seed}:{i}')}) / (gap * gap) DESC, vec_id LIMIT {more}))""")
-    last = f"c{START_ROUNDS}"
-    steps.append(f"""near AS (SELECT u.vec_id, arg_min(c.vec_id, (list_distance(u.v, c.v), c.vec_id)) AS c FROM units u, {last} c GROUP BY u.vec_id)""")
-    steps.append(f"weighted AS MATERIALIZED (SELECT c.vec_id, c.v, count(n.c)::DOUBLE AS w FROM {last} c LEFT JOIN near n ON n.c = c.vec_id GROUP BY ALL)")
-    steps.append("t0 AS MATERIALIZED (SELECT *, 0 AS cluster FROM weighted ORDER BY w DESC, vec_id LIMIT 1)")
-    steps.append("d0 AS MATERIALIZED (SELECT w.*, list_distance(w.v, t.v) ** 2 AS gap FROM weighted w, t0 t)")
+    last = f"{x}c{START_ROUNDS}"
+    steps.append(f"""{x}near AS (SELECT u.vec_id, arg_min(c.vec_id, (list_distance(u.v, c.v), c.vec_id)) AS c FROM {x}units u, {last} c GROUP BY u.vec_id)""")
+    steps.append(f"{x}weighted AS MATERIALIZED (SELECT c.vec_id, c.v, count(n.c)::DOUBLE AS w FROM {last} c LEFT JOIN {x}near n ON n.c = c.vec_id GROUP BY ALL)")
+    steps.append(f"{x}t0 AS MATERIALIZED (SELECT *, 0 AS cluster FROM {x}weighted ORDER BY w DESC, vec_id LIMIT 1)")
+    steps.append(f"{x}d0 AS MATERIALIZED (SELECT w.*, list_distance(w.v, t.v) ** 2 AS gap FROM {x}weighted w, {x}t0 t)")
     for i in range(1, k):
-        steps.append(f"t{i} AS MATERIALIZED (SELECT vec_id, v, w, {i} AS cluster FROM d{i - 1} ORDER BY round(w * gap, 9) DESC, vec_id LIMIT 1)")
-        steps.append(f"d{i} AS MATERIALIZED (SELECT d.* EXCLUDE (gap), least(gap, list_distance(d.v, t.v) ** 2) AS gap FROM d{i - 1} d, t{i} t)")
-    steps.append("m0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT cluster, v FROM t{i}" for i in range(k)) + ")")
-    for i in range(KMEANS_ROUNDS + 1):
-        steps.append(f"""a{i} AS MATERIALIZED (SELECT u.vec_id, any_value(u.v) AS v, arg_min(m.cluster, (list_distance(u.v, m.v), m.cluster)) AS cluster
-          FROM units u, m{i} m GROUP BY u.vec_id)""")
-        steps.append(f"""p{i} AS (SELECT cluster, place, avg(x) AS x FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS place
-          FROM a{i}) GROUP BY ALL)""")
-        steps.append(f"""m{i + 1} AS MATERIALIZED (SELECT m.cluster, coalesce(any_value(n.v), any_value(m.v)) AS v FROM m{i} m
-          LEFT JOIN (SELECT cluster, list(x ORDER BY place) AS v FROM p{i} GROUP BY cluster) n USING (cluster) GROUP BY m.cluster)""")
-    return f"""WITH {', '.join(steps)} SELECT vec_id, label FROM embeddings WHERE vec_id IN (
-      SELECT arg_min(a.vec_id, (list_distance(a.v, m.v), a.vec_id)) FROM a{KMEANS_ROUNDS} a JOIN m{KMEANS_ROUNDS} m USING (cluster) GROUP BY a.cluster)"""
+        steps.append(f"{x}t{i} AS MATERIALIZED (SELECT vec_id, v, w, {i} AS cluster FROM {x}d{i - 1} ORDER BY round(w * gap, 9) DESC, vec_id LIMIT 1)")
+        steps.append(f"{x}d{i} AS MATERIALIZED (SELECT d.* EXCLUDE (gap), least(gap, list_distance(d.v, t.v) ** 2) AS gap FROM {x}d{i - 1} d, {x}t{i} t)")
+    steps.append(f"{x}m0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT cluster, v FROM {x}t{i}" for i in range(k)) + ")")
+    for i in range(rounds + 1):
+        steps.append(f"""{x}a{i} AS MATERIALIZED (SELECT u.vec_id, any_value(u.v) AS v, arg_min(m.cluster, (list_distance(u.v, m.v), m.cluster)) AS cluster
+          FROM {x}units u, {x}m{i} m GROUP BY u.vec_id)""")
+        steps.append(f"""{x}p{i} AS (SELECT cluster, place, avg(x) AS x FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS place
+          FROM {x}a{i}) GROUP BY ALL)""")
+        steps.append(f"""{x}m{i + 1} AS MATERIALIZED (SELECT m.cluster, coalesce(any_value(n.v), any_value(m.v)) AS v FROM {x}m{i} m
+          LEFT JOIN (SELECT cluster, list(x ORDER BY place) AS v FROM {x}p{i} GROUP BY cluster) n USING (cluster) GROUP BY m.cluster)""")
+    steps.append(f"""{x}picks AS MATERIALIZED (SELECT arg_min(a.vec_id, (list_distance(a.v, m.v), a.vec_id)) AS vec_id
+      FROM {x}a{rounds} a JOIN {x}m{rounds} m USING (cluster) GROUP BY a.cluster)""")
+    return steps
+
+
+def sql_kmeans() -> str:
+    steps = kmeans_steps(POOL, N_QUERY, 1, KMEANS_ROUNDS)
+    return f"WITH {', '.join(steps)} SELECT vec_id, label FROM embeddings WHERE vec_id IN (FROM picks)"
 
 
 @query("query_kmeans", sql_kmeans())
@@ -183,23 +190,28 @@ def query_kmeans(spark, folder):
 N_CORESET = 50
 
 
-def sql_coreset() -> str:
-    """Greedy picks one after the other; each is a farthest point given all before it."""
+def coreset_steps(pool: str, labelled: str, n: int, x: str = "") -> list[str]:
+    """Greedy picks one after the other, each a farthest point given all before it, up to `{x}picks`."""
+    unit = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])))"
     steps = [
-        "units AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / "
-        "sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings)",
-        f"labelled AS MATERIALIZED (SELECT * FROM units WHERE vec_id IN ({LABELLED_IDS}))",
-        "d0 AS MATERIALIZED (SELECT p.vec_id, any_value(p.v) AS v, min(list_distance(p.v, l.v)) AS d "
-        "FROM units p, labelled l WHERE p.vec_id NOT IN (SELECT vec_id FROM labelled) GROUP BY p.vec_id)",
+        f"{x}units AS MATERIALIZED (SELECT vec_id, {unit} AS v FROM ({pool}))",
+        f"{x}labelled AS MATERIALIZED (SELECT vec_id, {unit} AS v FROM ({labelled}))",
+        f"{x}d0 AS MATERIALIZED (SELECT p.vec_id, any_value(p.v) AS v, min(list_distance(p.v, l.v)) AS d "
+        f"FROM {x}units p, {x}labelled l GROUP BY p.vec_id)",
     ]
-    for i in range(N_CORESET):
-        steps.append(f"p{i} AS MATERIALIZED (SELECT vec_id, v FROM d{i} ORDER BY round(d, 9) DESC, vec_id LIMIT 1)")
+    for i in range(n):
+        steps.append(f"{x}p{i} AS MATERIALIZED (SELECT vec_id, v FROM {x}d{i} ORDER BY round(d, 9) DESC, vec_id LIMIT 1)")
         steps.append(
-            f"d{i + 1} AS MATERIALIZED (SELECT d.vec_id, d.v, least(d.d, list_distance(d.v, p.v)) AS d FROM d{i} d, p{i} p "
+            f"{x}d{i + 1} AS MATERIALIZED (SELECT d.vec_id, d.v, least(d.d, list_distance(d.v, p.v)) AS d FROM {x}d{i} d, {x}p{i} p "
             f"WHERE d.vec_id <> p.vec_id)"
         )
-    picks = " UNION ALL ".join(f"SELECT vec_id, {i} AS picked_rank FROM p{i}" for i in range(N_CORESET))
-    return f"WITH {', '.join(steps)} {picks}"
+    picks = " UNION ALL ".join(f"SELECT vec_id, {i} AS picked_rank FROM {x}p{i}" for i in range(n))
+    return [*steps, f"{x}picks AS MATERIALIZED ({picks})"]
+
+
+def sql_coreset() -> str:
+    steps = coreset_steps(POOL, f"SELECT * FROM embeddings WHERE vec_id IN ({LABELLED_IDS})", N_CORESET)
+    return f"WITH {', '.join(steps)} FROM picks"
 
 
 @query("query_coreset", sql_coreset())
