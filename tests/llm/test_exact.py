@@ -670,3 +670,34 @@ def test_hosts_decide(spark, tmp_path, name):
     connection = duckdb.connect()
     connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert compare(spark, connection, str(tmp_path), "op6_quality_rules")[0] == "same"
+
+
+def test_fitted_grades_are_where_the_likelihood_has_no_slope():
+    """The likelihood written out, its slopes by differences, on rows drawn from a model with three grades."""
+    draw = np.random.default_rng(6)
+    n, used = 400, 5
+    x = draw.normal(size=(n, used))
+    true, cuts = np.array([2.0, -1.0, 0.5, 0.0, 1.0]), np.array([-0.5, 1.0])
+    z = x @ true + draw.logistic(size=n)
+    grade = (z[:, None] > cuts).sum(axis=1)
+    row, bucket = np.repeat(np.arange(n), used), np.tile(np.arange(used), n)
+    weights, found = grades.fit_ordinal(grade, row, bucket, x.ravel(), 3)
+    assert list(found) == sorted(found) and not weights[used:].any()
+
+    def cost(w, c):
+        total = 0.0
+        for i in range(n):
+            s = sum(x[i, j] * w[j] for j in range(used))
+            tails = [1.0, *(1 / (1 + np.exp(-(s - t))) for t in c), 0.0]
+            total -= np.log(tails[grade[i]] - tails[grade[i] + 1])
+        return total / n + grades.RIDGE / 2 * sum(v * v for v in w)
+
+    best = np.concatenate([weights[:used], found])
+    step = 1e-4
+    for j in range(used + 2):
+        up, down = best.copy(), best.copy()
+        up[j] += step
+        down[j] -= step
+        slope = (cost(up[:used], up[used:]) - cost(down[:used], down[used:])) / (2 * step)
+        assert abs(slope) < 5e-3
+    assert np.abs(weights[:used] - true).max() < 0.6 and np.abs(found - cuts).max() < 0.6
