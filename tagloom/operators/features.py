@@ -197,11 +197,15 @@ class WordIds:
     table: DataFrame
 
 
-def fit_word_ids(df: DataFrame, text_col: str = "text", seed=0) -> WordIds:
-    """Number the distinct words 7, 8, ... in md5 order, which needs no global sort."""
-    found = df.select(F.explode(F.array_distinct(words(F.col(text_col)))).alias("word"))
+def word_lists(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """`<id, words>`, stored: the words of each text, found once for all that reads them."""
+    return materialize(df.select(id_col, words(F.col(text_col)).alias("words")), "word-lists")
+
+
+def fit_word_ids(lists: DataFrame, seed=0) -> WordIds:
+    """Number the distinct words in `<.., words>` 7, 8, ... in md5 order, which needs no global sort."""
+    found = lists.select(F.explode(F.array_distinct("words")).alias("word"))
     counted = found.groupBy("word").agg(F.count(F.lit(1)).alias("n_texts"))
-    # Numbering reads the words twice; stored, the texts are read once.
     plain = materialize(counted.filter(~F.col("word").isin(list(RESERVED))), "distinct-words")
     numbered = with_position(plain, "word", seed).select(
         "word", "n_texts", (F.col("pos") + FIRST_WORD_ID).alias("word_id")
@@ -209,15 +213,14 @@ def fit_word_ids(df: DataFrame, text_col: str = "text", seed=0) -> WordIds:
     return WordIds(materialize(numbered, "words"))
 
 
-def encode_fixed(ids: WordIds, df: DataFrame, id_col: str = "id", text_col: str = "text", max_length=MAX_LENGTH):
-    """Add `input_ids` and `attention_mask`, both exactly `max_length` long.
+def encode_fixed(ids: WordIds, lists: DataFrame, id_col: str = "id", max_length=MAX_LENGTH):
+    """`<id, input_ids, attention_mask>` from `<id, words>`, both exactly `max_length` long.
 
     A text is start, its words, end, then padding; longer texts are cut to fit, which is what a
     fixed length means. Unseen words share one id. Each text looks its distinct words up once and gets
     them back as a map of at most `max_length` entries.
     """
-    kept = F.slice(words(F.col(text_col)), 1, max_length - 2)
-    placed = df.select(id_col, kept.alias("_words"))
+    placed = lists.select(id_col, F.slice("words", 1, max_length - 2).alias("_words"))
     spread = placed.select(id_col, F.explode(F.array_distinct("_words")).alias("word"))
     known = lookup_join(spread, ids.table, "word", counts="n_texts", spread_by=id_col)
     found = known.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("word", "word_id"))).alias("_ids"))

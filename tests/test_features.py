@@ -100,10 +100,11 @@ def test_lookup_join_paths_agree(spark, monkeypatch, fits, how):
 def test_encode_fixed(spark):
     rows = [(1, "[URL] Dog dog [USER]x"), (2, ""), (3, " ".join(["dog"] * 20)), (4, "dog [EMOJI] new")]
     df = spark.createDataFrame(rows, "id long, text string")
-    ids = X.fit_word_ids(df.filter("id < 4"))
+    lists = X.word_lists(df)
+    ids = X.fit_word_ids(lists.filter("id < 4"))
     table = {r.word: r.word_id for r in ids.table.collect()}
     assert set(table) == {"Dog", "dog", "x"} and sorted(table.values()) == [7, 8, 9]
-    got = {r.id: (list(r.input_ids), list(r.attention_mask)) for r in X.encode_fixed(ids, df, max_length=8).collect()}
+    got = {r.id: (list(r.input_ids), list(r.attention_mask)) for r in X.encode_fixed(ids, lists, max_length=8).collect()}
     dog = table["dog"]
     assert got[1] == ([2, 5, table["Dog"], dog, 4, table["x"], 3, 0], [1] * 7 + [0])
     assert got[2] == ([2, 3] + [0] * 6, [1, 1] + [0] * 6)

@@ -15,6 +15,7 @@ from tagloom.operators.features import (
     fit_transform_tfidf_vectors,
     fit_word_ids,
     transform_tfidf,
+    word_lists,
 )
 from tagloom.operators.sampling import flag_test
 from tagloom.session import materialize
@@ -91,9 +92,8 @@ ENCODE = f"""
 @query("encode_fixed_length", ENCODE)
 def encode_fixed_length(spark, folder):
     text = clean_text(F.col("text"))
-    # Read by the vocabulary and by the encoding.
-    documents = materialize(texts(spark, folder).select("doc_id", text.alias("text")), "clean")
-    rows = encode_fixed(fit_word_ids(documents), documents, "doc_id")
+    lists = word_lists(texts(spark, folder).select("doc_id", text.alias("text")), "doc_id")
+    rows = encode_fixed(fit_word_ids(lists), lists, "doc_id")
     return rows.select(
         "doc_id",
         F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"),
