@@ -146,11 +146,12 @@ def numbered_turns(conversations: DataFrame) -> DataFrame:
         F.col("conv_id").cast("bigint").alias("conv_id"),
         "turn",
         role.alias("role"),
-        _halves(key)[0].alias("a"),
-        _halves(key)[1].alias("b"),
+        key.alias("key"),
         F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("words"),
     )
-    return running(materialize(rows, "turns"), "conv_id", ["turn", "role", "a", "b"]).drop("turn", "role")
+    placed = running(materialize(rows, "turns"), "conv_id", ["turn", "role", "key"])
+    a, b = _halves(F.col("key"))
+    return placed.select("conv_id", "place", a.alias("a"), b.alias("b"), "words")
 
 
 def _halves(key: Column) -> tuple[Column, Column]:
@@ -365,7 +366,8 @@ def ends_hashes(ends: DataFrame) -> DataFrame:
 
 SQL = rf"""
 WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+      md5(concat(strlen(coalesce(role, '')), ':', role, text))) - 1 AS place
   FROM conversations WHERE conv_id IS NOT NULL),
 c AS (SELECT DISTINCT conv_id, {SQL_CRC32.format('conv_id::VARCHAR')} % {HEADS} AS h FROM t),
 r AS (SELECT c.conv_id, 0 AS part, t.place, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % {EVERY} AND t.place < c.h
