@@ -152,7 +152,8 @@ def text_length_summary(spark, folder):
 )
 def clean_stream_documents(spark, folder):
     schema = table(spark, folder, "documents").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
+    # A pattern that matches the table alone, be it one file or a folder of part files.
+    source = spark.readStream.schema(schema).parquet(f"{folder}/documents.parque[t]")
     out = new_path(spark, "stream")
     run_available(clean_stream(source, "doc_id"), f"{out}/rows", f"{out}/progress")
     return spark.read.parquet(f"{out}/rows")
