@@ -287,8 +287,9 @@ def run_active(
         else:
             initial = initial.withColumn("is_valid", F.lit(False))
         start = train.join(initial.select("id", "is_valid"), "id")
-        start.write.mode("overwrite").parquet(f"{result.labelled_path}/round=0")
-        n_labelled = settings.init_n
+        path = f"{result.labelled_path}/round=0"
+        start.write.mode("overwrite").parquet(path)
+        n_labelled = spark.read.parquet(path).count()  # a balanced start from an odd `init_n` has one row less
     # A round's entry counts the rows picked at its end, so it alone says whether the run is over.
     while not (result.metrics and n_labelled == _at_end(result)):
         labelled = result.labelled(spark, iteration)

@@ -8,7 +8,7 @@ from tagloom.operators.experiments import metrics_long, summarize
 from tagloom.operators.sampling import TooFewRows
 from tagloom.plans import learning as L
 from tagloom.plans.corpus import store_sets
-from tagloom.session import materialize
+from tagloom.session import materialize, new_path
 from tagloom.sources.results import write_run_table
 
 
@@ -204,3 +204,19 @@ def test_run_goes_on_behind_its_last_round(spark, sets, tmp_path, monkeypatch, s
     assert rows[0] == rows[1]
     again = run(str(tmp_path / "broken"), done.append)  # a run that is over is only read
     assert again.metrics == unbroken.metrics and len(fits) == 3 - stops_at
+
+
+@pytest.mark.parametrize("strategy", ["RandomSampling()", "LeastConfidence()"])
+def test_balanced_start_from_an_odd_number(spark, sets, strategy):
+    """Half of each class: one row less than asked for. The run still ends, with the whole budget labelled."""
+    train, tests = sets
+    settings = L.Settings(init_n=21, cold_strategy="BalancedRandom", query_n=15, query_strategy=strategy, budget=45)
+
+    def stop(iteration):
+        assert iteration < 4, "the run goes on behind its budget"
+
+    root = new_path(spark, "odd")
+    result = L.run_once(train, tests, settings, L.logistic, root=root, after_round=stop)
+    assert [result.metrics[i]["num_examples"] for i in sorted(result.metrics)] == [20, 35, 45]
+    again = L.run_once(train, tests, settings, L.logistic, root=root, after_round=stop)
+    assert again.metrics == result.metrics
