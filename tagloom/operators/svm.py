@@ -24,7 +24,7 @@ from tagloom.operators.joins import lookup_join
 from tagloom.session import bucketed, materialize
 
 BIAS = -1
-ROWS_PER_BLOCK = 8_192
+NUMBERS_PER_BLOCK = 1 << 23  # values in the vectors of a block: at 24 bytes each in a task, and twice that while they are read
 STEPS = [0.5**k for k in range(12)]
 WEIGHTS = "term int, weight double, n bigint"
 
@@ -35,14 +35,12 @@ WEIGHTS = "term int, weight double, n bigint"
 class Block:
     """Rows as three flat arrays, terms numbered within the block."""
 
-    def __init__(self, labels, indices, values):
-        lengths = np.array([len(x) for x in indices], np.int64)
+    def __init__(self, labels, lengths, indices, values):
         n = len(lengths)
         self.y = np.where(np.asarray(labels) > 0, 1.0, -1.0)
         self.row = np.concatenate([np.repeat(np.arange(n), lengths), np.arange(n)])
-        terms = np.concatenate([*(np.asarray(x, np.int32) for x in indices), np.full(n, BIAS, np.int32)])
-        self.value = np.concatenate([*(np.asarray(x, np.float64) for x in values), np.ones(n)])
-        self.terms, self.at = np.unique(terms, return_inverse=True)
+        self.value = np.concatenate([values, np.ones(n)])
+        self.terms, self.at = np.unique(np.concatenate([indices, np.full(n, BIAS, np.int32)]), return_inverse=True)
 
     def times(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * weights[self.at], len(self.y))
@@ -58,8 +56,16 @@ class Block:
         short = self.short(w)
         return -2 * self.gathered(self.y * short), float(short @ short)
 
-    def curve(self, w, d) -> np.ndarray:
-        return 2 * self.gathered((self.short(w) > 0) * self.times(d))
+    def curving(self, w):
+        """Function of a direction. Only rows below the margin count, so only their values are gone through."""
+        kept = (self.short(w) > 0)[self.row]
+        row, at, value = self.row[kept], self.at[kept], self.value[kept]
+
+        def curve(d: np.ndarray) -> np.ndarray:
+            by_row = np.bincount(row, value * d[at], len(self.y))
+            return 2 * np.bincount(at, value * by_row[row], len(self.terms))
+
+        return curve
 
     def losses(self, w, p) -> list[float]:
         z, zp = self.y * self.times(w), self.y * self.times(p)
@@ -103,13 +109,14 @@ class Held:
 
     def slope(self):
         s, loss = self.block.slope(self.w)
+        self.along = self.block.curving(self.w)
         self.g = self.w + self.cost * s
         self.p, self.r = np.zeros_like(self.w), -self.g
         self.d = self.r
         return loss, self.w @ self.w, self.g @ self.g
 
     def curve(self):
-        self.h = self.d + self.cost * self.block.curve(self.w, self.d)
+        self.h = self.d + self.cost * self.along(self.d)
         return self.d @ self.h, self.r @ self.h, self.h @ self.h
 
     def advance(self, alpha, beta):
@@ -135,7 +142,9 @@ def _arrow_state(block, terms, n, share, numbers, s) -> pa.Table:
 
 
 def _read_block(table: pa.Table) -> Block:
-    return Block(table.column("label").to_numpy(), table.column("indices").to_pylist(), table.column("values").to_pylist())
+    lists = [pa.concat_arrays(table.column(c).chunks) if len(table) else pa.array([], pa.list_(t)) for c, t in (("indices", pa.int32()), ("values", pa.float64()))]
+    lengths, found = lists[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False), [x.flatten() for x in lists]
+    return Block(table.column("label").to_numpy(), lengths, *(x.to_numpy(zero_copy_only=False) for x in found))
 
 
 def _opened(table: pa.Table) -> pa.Table:
@@ -158,7 +167,7 @@ def _pass(kind: str):
             s, loss = block.slope(v["w"])
             losses = [loss]
         elif kind == "curve":
-            s = block.curve(v["w"], v["d"])
+            s = block.curving(v["w"])(v["d"])
         else:
             losses = block.losses(v["w"], v["p"])
         extra = np.zeros(len(losses))
@@ -246,14 +255,19 @@ def _whole(cost: float, tol: float):
     return run
 
 
-def fit_weights(rows: DataFrame, cost: float = 1.0, tol: float = 1e-10, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def fit_weights(rows: DataFrame, cost: float = 1.0, tol: float = 1e-10, rows_per_block: int | None = None) -> DataFrame:
     """`<term, weight, n>`, stored, for `<label, features>`: the weight of each term and the rows that have it.
 
-    Labels above 0 are one class. Both classes must occur for the weights to mean anything; no rows give no weights.
+    Labels above 0 are one class. Both classes must occur for the weights to mean anything; no rows give no weights. Blocks are
+    as many as the values of all vectors ask for, or as the rows do if `rows_per_block` says how many a block has.
     """
     indices, values = sparse("features")
     plain = rows.select(F.col("label").cast("double").alias("label"), indices.alias("indices"), values.alias("values"))
-    blocks = -(-rows.count() // rows_per_block)
+    if rows_per_block is None:
+        size = plain.agg(F.sum(F.size("values") + 1)).first()[0] or 0
+        blocks = -(-size // NUMBERS_PER_BLOCK)
+    else:
+        blocks = -(-rows.count() // rows_per_block)
     if blocks <= 1:
         one = plain.withColumn("block", F.lit(0)).groupBy("block").applyInArrow(_whole(cost, tol), WEIGHTS)
         return materialize(one, "svm-weights")
@@ -281,7 +295,7 @@ def margins(weights: DataFrame, rows: DataFrame, id_col: str = "id", vector: str
 class SquaredHingeSVM(Estimator):
     """The SVM as an estimator on `label` and `features`."""
 
-    def __init__(self, cost: float = 1.0, tol: float = 1e-10, id_col: str = "id", rows_per_block: int = ROWS_PER_BLOCK):
+    def __init__(self, cost: float = 1.0, tol: float = 1e-10, id_col: str = "id", rows_per_block: int | None = None):
         super().__init__()
         self.cost, self.tol, self.id_col, self.rows_per_block = cost, tol, id_col, rows_per_block
 

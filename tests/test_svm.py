@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from tagloom.operators import svm
 
@@ -101,3 +103,23 @@ def test_ties_and_no_rows(spark):
     w = dense(svm.fit_weights(frame(spark, x, y)), 1)
     assert np.abs(w).max() < 1e-9
     assert svm.fit_weights(frame(spark, x, y).limit(0)).count() == 0
+
+
+def test_a_block_is_bounded_by_its_values(spark, monkeypatch):
+    """Short rows, however many, are one block; few rows with many values are several."""
+    held = []
+
+    def spread(self, rows, cost, start=svm.Spread.__init__):
+        held.append(rows.select("block").distinct().count())
+        start(self, rows, cost)
+
+    monkeypatch.setattr(svm.Spread, "__init__", spread)
+    short = spark.range(9_000).select(
+        (F.col("id") % 2).alias("label"), array_to_vector(F.array(F.col("id") % 2 + 0.5, F.lit(1.0))).alias("features")
+    )
+    w = {r.term: r.weight for r in svm.fit_weights(short).collect()}
+    assert not held and w[0] > 0  # 9,000 rows of 2 values
+    x, y = sample()
+    monkeypatch.setattr(svm, "NUMBERS_PER_BLOCK", 400)
+    svm.fit_weights(frame(spark, x, y), tol=0.5)
+    assert held and held[0] > 1
