@@ -48,9 +48,9 @@ FOLDED[0] = 0xFF
 END = np.uint64(0xE4D0F7E87EED0001)  # stands for the end of a text among the hashes of words
 BLOCK_BYTES = 1 << 21
 STEP = np.uint64(0xD6E8FEB86659FD93)
-HELD = 1 << 22  # entries that a task counts before it sends them
+HELD = 1 << 20  # entries that a task counts before it sends them; merging takes some 80 bytes for each
 PIECE = 1 << 17  # entries in one row
-SHARD_TOKENS = 1 << 22  # tokens of the corpus per shard of n-grams
+SHARD_TOKENS = 1 << 21  # tokens of the corpus per shard of n-grams; adding up takes some 120 bytes for each
 
 
 # --- keys and arrays ---------------------------------------------------------------------------------

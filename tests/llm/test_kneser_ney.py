@@ -2,10 +2,12 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm import kneser_ney as kn
@@ -124,3 +126,20 @@ def test_discounts():
     y = 100 / 180
     assert kn.discounts(100, 40, 20, 12) == pytest.approx([0, 1 - 2 * y * 0.4, 2 - 3 * y * 0.5, 3 - 4 * y * 0.6])
     assert kn.discounts(100, 10, 1, 50) == [0.0, 0.5, 1.0, 1.5]  # the last would be below zero
+
+
+def test_a_task_holds_few_entries():
+    """Counting takes bounded memory, however many different n-grams a task has."""
+    draw = np.random.default_rng(1)
+    n = 1 << 18
+
+    def entries(data, offsets):
+        columns = [draw.integers(0, 1 << 32, n, np.uint32) for _ in range(2)]
+        return kn.key_of(columns), columns, [np.ones(n, np.uint64)]
+
+    batches = (pa.RecordBatch.from_pydict({"text": ["x"]}) for _ in range(24))
+    tracemalloc.start()
+    sent = sum(sum(b.column("n").to_pylist()) for b in kn._count(batches, 2, entries))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent == 24 * n and peak < 160 << 20
