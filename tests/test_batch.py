@@ -103,3 +103,15 @@ def test_result_folders_without_files_and_with_bad_names(spark, tmp_path):
         given = spark.createDataFrame([(folder, name, "")], "folder string, file_name string, content string")
         with pytest.raises(Exception, match="no names"):
             folders.write_result_folders(given, str(tmp_path / "bad"))
+
+
+def test_result_folders_in_a_bounded_number_of_tasks(spark, tmp_path):
+    for i in range(20_000):
+        (tmp_path / f"AL_{i:05}").mkdir()
+    (tmp_path / "AL_00007" / "START_1.json").write_text("a")
+    (tmp_path / "AL_19999" / "END_1.json").write_text("b")
+    read = folders.read_result_folders(spark, str(tmp_path))
+    slots = spark.sparkContext.defaultParallelism
+    # The least number of folders per task would make 79 tasks of these.
+    assert read.rdd.getNumPartitions() <= max(folders.MOST_TASKS, folders.TASKS_PER_SLOT * slots) < 20_000 / folders.FOLDERS_PER_PARTITION
+    assert [tuple(r) for r in read.collect()] == [("AL_00007", "START_1.json", "a"), ("AL_19999", "END_1.json", "b")]
