@@ -90,7 +90,7 @@ def fit_transform_tfidf(
     text."""
     counts = materialize(term_counts(df, id_col, text_col, stop_words), "term-counts")
     model = _from_counts(counts, df, id_col, stop_words)
-    return model, _weighted(_known(model.vocabulary, counts, id_col, "idf"), id_col, "term")
+    return model, _weighted(_known(model.vocabulary, counts, id_col, "idf", stored=True), id_col, "term")
 
 
 def _from_counts(counts: DataFrame, df: DataFrame, id_col: str, stop_words) -> TfidfModel:
@@ -101,17 +101,22 @@ def _from_counts(counts: DataFrame, df: DataFrame, id_col: str, stop_words) -> T
     return TfidfModel(materialize(found.withColumn("idf", idf), "vocabulary"), list(stop_words))
 
 
-def _known(vocabulary: DataFrame, counts: DataFrame, id_col: str, *columns: str) -> DataFrame:
-    return lookup_join(counts, vocabulary.select("term", *columns, "df"), "term", counts="df", spread_by=id_col)
+def _known(vocabulary: DataFrame, counts: DataFrame, id_col: str, *columns: str, stored: bool = False) -> DataFrame:
+    lookup = vocabulary.select("term", *columns, "df")
+    return lookup_join(counts, lookup, "term", counts="df", spread_by=id_col, stored=stored)
 
 
-def _weighted(known: DataFrame, id_col: str, *keep: str) -> DataFrame:
-    """`<id, .., weight>` with length 1 per id, from `<id, .., tf, idf>`; one text is one group."""
+def _gathered(known: DataFrame, id_col: str, *keep: str) -> DataFrame:
+    """`<id, _norm, _rows>` from `<id, .., tf, idf>`; one text is one group and its norm is computed once."""
     raw = F.col("tf") * F.col("idf")
     gathered = known.groupBy(id_col).agg(F.collect_list(F.struct(*keep, raw.alias("raw"))).alias("_rows"))
     norm = F.sqrt(F.aggregate("_rows", F.lit(0.0), lambda total, row: total + row["raw"] * row["raw"]))
-    # The norm is computed below the rows it is handed to: once per text, not once per row.
-    rows = gathered.select(id_col, norm.alias("_norm"), "_rows").select(id_col, "_norm", F.inline("_rows"))
+    return gathered.select(id_col, norm.alias("_norm"), "_rows")
+
+
+def _weighted(known: DataFrame, id_col: str, *keep: str) -> DataFrame:
+    """`<id, .., weight>` with length 1 per id, from `<id, .., tf, idf>`."""
+    rows = _gathered(known, id_col, *keep).select(id_col, "_norm", F.inline("_rows"))
     return rows.select(id_col, *keep, (F.col("raw") / F.col("_norm")).alias("weight"))
 
 
@@ -131,9 +136,7 @@ class TextVectors:
 
     def weights(self, df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
         """`<id, term_id, weight>`, the weights of `transform_tfidf`."""
-        return self._weights(term_counts(df, id_col, text_col, self.stop_words), id_col)
-
-    def _weights(self, counts: DataFrame, id_col: str) -> DataFrame:
+        counts = term_counts(df, id_col, text_col, self.stop_words)
         return _weighted(_known(self.terms, counts, id_col, "term_id", "idf"), id_col, "term_id")
 
     def transform(self, df: DataFrame, id_col: str = "id", text_col: str = "text", out: str = "features") -> DataFrame:
@@ -144,9 +147,17 @@ class TextVectors:
         distinct = df.select(id_col, text_col).dropDuplicates([id_col])
         return self._stored(df, term_counts(distinct, id_col, text_col, self.stop_words), id_col, text_col, out)
 
-    def _stored(self, df: DataFrame, counts: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
-        pairs = F.array_sort(F.collect_list(F.struct(F.col("term_id").cast("int").alias("i"), "weight")))
-        gathered = self._weights(counts, id_col).groupBy(id_col).agg(pairs.alias("_pairs"))
+    def _stored(
+        self, df: DataFrame, counts: DataFrame, id_col: str, text_col: str, out: str, stored: bool = False
+    ) -> DataFrame:
+        known = _known(self.terms, counts, id_col, "term_id", "idf", stored=stored)
+        # A text's rows are not taken apart for it. The norm is handed over as an array, else it is computed for every row.
+        pairs = F.zip_with(
+            "_rows",
+            F.array_repeat("_norm", F.size("_rows")),
+            lambda row, norm: F.struct(row["term_id"].cast("int").alias("i"), (row["raw"] / norm).alias("weight")),
+        )
+        gathered = _gathered(known, id_col, "term_id").select(id_col, F.sort_array(pairs).alias("_pairs"))
         vector = F.struct(
             F.lit(0).cast("tinyint").alias("type"),
             F.lit(self.n_terms).alias("size"),
@@ -173,7 +184,7 @@ def fit_transform_tfidf_vectors(
     """The vocabulary of `df`, whose ids are unique, and its rows with their vectors; terms are found once per text."""
     counts = materialize(term_counts(df, id_col, text_col, stop_words), "term-counts")
     model = _numbered(_from_counts(counts, df, id_col, stop_words))
-    return model, model._stored(df, counts, id_col, text_col, out)
+    return model, model._stored(df, counts, id_col, text_col, out, stored=True)
 
 
 def _numbered(model: TfidfModel) -> TextVectors:
@@ -217,23 +228,34 @@ def encode_fixed(ids: WordIds, lists: DataFrame, id_col: str = "id", max_length=
     """`<id, input_ids, attention_mask>` from `<id, words>`, both exactly `max_length` long.
 
     A text is start, its words, end, then padding; longer texts are cut to fit, which is what a
-    fixed length means. Unseen words share one id. Each text looks its distinct words up once and gets
-    them back as a map of at most `max_length` entries.
+    fixed length means. Unseen words share one id, as do all words of rows without an id. Each place of a text looks its word up,
+    at most `max_length` of them, and a row is put together by its places.
     """
-    placed = lists.select(id_col, F.slice("words", 1, max_length - 2).alias("_words"))
-    spread = placed.select(id_col, F.explode(F.array_distinct("_words")).alias("word"))
-    known = lookup_join(spread, ids.table, "word", counts="n_texts", spread_by=id_col)
-    found = known.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("word", "word_id"))).alias("_ids"))
-
-    def number(word):
-        out = F.coalesce(F.try_element_at("_ids", word), F.lit(UNKNOWN).cast("bigint"))
-        for mark, reserved in RESERVED.items():
-            out = F.when(word == mark, reserved).otherwise(out)
-        return out
-
-    body = F.concat(F.array(F.lit(START)), F.transform("_words", number), F.array(F.lit(END)))
+    # Stored with a number per row, since it is read for the lookup and for the rest.
+    words = F.slice("words", 1, max_length - 2)
+    placed = materialize(lists.select(id_col, F.monotonically_increasing_id().alias("_row"), words.alias("_words")), "placed-words")
+    spread = placed.select("_row", F.posexplode("_words").alias("_at", "word"))
+    is_mark = F.coalesce(F.col("word").isin(list(RESERVED)), F.lit(False))
+    known = lookup_join(spread.filter(~is_mark), ids.table, "word", "left", counts="n_texts", spread_by="_row", stored=True)
+    reserved = F.coalesce(*(F.when(F.col("word") == mark, number) for mark, number in RESERVED.items()))
+    marks = spread.filter(is_mark).withColumn("word_id", reserved.cast("bigint"))
+    ends = F.array(
+        F.struct(F.lit(-1).alias("_at"), F.lit(START).cast("bigint").alias("word_id")),
+        F.struct(F.size("_words").alias("_at"), F.lit(END).cast("bigint").alias("word_id")),
+    )
+    ends = placed.select("_row", F.struct(id_col).alias("_id"), F.inline(ends))
+    numbered = F.struct("_at", F.coalesce("word_id", F.lit(UNKNOWN).cast("bigint")).alias("word_id"))
+    places = known.select("_row", "_at", "word_id").unionByName(marks.select("_row", "_at", "word_id"))
+    rows = ends.unionByName(places, allowMissingColumns=True).groupBy("_row")
+    rows = rows.agg(
+        F.first("_id", ignorenulls=True)[id_col].alias(id_col),
+        F.bool_or(F.col("_at").isNull()).alias("_none"),  # no list of words
+        F.sort_array(F.collect_list(numbered))["word_id"].alias("_ids"),
+    )
+    unknown = F.transform("_ids", lambda x: F.when(x >= FIRST_WORD_ID, UNKNOWN).otherwise(x))
+    body = F.when(~F.col("_none"), F.when(F.col(id_col).isNull(), unknown).otherwise(F.col("_ids")))
     padding = F.lit(max_length) - F.size("body")
-    return placed.join(found, id_col, "left").select(id_col, body.alias("body")).select(
+    return rows.select(id_col, body.alias("body")).select(
         id_col,
         F.concat("body", F.array_repeat(F.lit(PAD), padding)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), F.size("body")), F.array_repeat(F.lit(0), padding)).alias("attention_mask"),

@@ -110,3 +110,35 @@ def test_encode_fixed(spark):
     assert got[2] == ([2, 3] + [0] * 6, [1, 1] + [0] * 6)
     assert got[3] == ([2] + [dog] * 6 + [3], [1] * 8)
     assert got[4] == ([2, dog, 6, 1, 3, 0, 0, 0], [1] * 5 + [0] * 3)
+
+
+def test_encode_fixed_of_repeated_and_missing_ids(spark):
+    rows = [(1, "dog cat"), (1, "dog [URL] dog"), (None, "cat [USER]"), (2, None), (3, "")]
+    lists = X.word_lists(spark.createDataFrame(rows, "id long, text string"))
+    ids = X.fit_word_ids(lists)
+    table = {r.word: r.word_id for r in ids.table.collect()}
+    dog, cat = table["dog"], table["cat"]
+    got = {(r.id, tuple(r.input_ids) if r.input_ids else None) for r in X.encode_fixed(ids, lists, max_length=5).collect()}
+    assert got == {
+        (1, (2, dog, cat, 3, 0)), (1, (2, dog, 5, dog, 3)), (None, (2, 1, 4, 3, 0)), (2, None), (3, (2, 3, 0, 0, 0)),
+    }
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_frequent_keys_of_a_stored_table_are_not_shuffled(spark, monkeypatch, how):
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(joins, "FREQUENT", 20)
+    big = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).alias("k"))
+    lookup = spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    counted = lookup.join(big.groupBy("k").count(), "k", "left").fillna(0)
+    got = lookup_join(big, counted, "k", how, counts="count", spread_by="id", stored=True)
+    want = big.join(lookup, "k", how)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2
+
+
+def test_vectors_find_the_norm_of_a_text_once(spark):
+    df = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(20_000))), (2, "word1")], "id long, text string")
+    _, vectors = X.fit_transform_tfidf_vectors(df)
+    got = {r.id: r.features for r in vectors.collect()}
+    assert got[1].size == 20_000 and abs(got[1].norm(2) - 1) < 1e-9 and got[2].norm(2) == 1
