@@ -22,6 +22,7 @@ from tagloom.session import bucketed, buckets_for
 START_ROUNDS = 3
 OVERSAMPLING = 2  # candidates per round and cluster
 SLACK = 1e-9  # bounds closer than this decide nothing
+SLICE = 1_024  # rows a task compares at once, whatever the size of the batches it is handed
 
 
 def distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -52,11 +53,15 @@ def _nearest_of(centres: np.ndarray):
 
         if len(points) == 0:
             return pd.DataFrame({"at": pd.Series([], dtype="int32"), "gap": pd.Series([], dtype="float64")})
-        found = distances(np.stack(points.to_numpy()), centres)
-        at = found.argmin(axis=1)
-        return pd.DataFrame({"at": at.astype("int32"), "gap": found[np.arange(len(at)), at]})
+        at, gap = np.empty(len(points), "int32"), np.empty(len(points))
+        for first in range(0, len(points), SLICE):
+            found = distances(np.stack(points.iloc[first : first + SLICE].to_numpy()), centres)
+            at[first : first + SLICE] = found.argmin(axis=1)
+            gap[first : first + SLICE] = found.min(axis=1)
+        return pd.DataFrame({"at": at, "gap": gap})
 
-    return nearest
+    # A filter on what it returns must not be pushed below it and make it run twice, in two Python processes.
+    return nearest.asNondeterministic()
 
 
 def spread_out(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
@@ -93,7 +98,7 @@ def start_centres(vectors: DataFrame, k: int, seed) -> np.ndarray:
         rows += more
     rows.sort(key=lambda r: r["id"])
     points = np.array([r["point"] for r in rows])
-    counted = vectors.groupBy(_nearest_of(points)("point")["at"].alias("at")).count().collect()  # a row per candidate
+    counted = vectors.select(_nearest_of(points)("point")["at"].alias("at")).groupBy("at").count().collect()  # a row per candidate
     weights = np.zeros(len(rows))
     for r in counted:
         weights[r["at"]] = r["count"]
@@ -132,9 +137,7 @@ def _round(centres: np.ndarray, shifts: np.ndarray | None):
         # Per cluster its sum and size; in one more row, how many rows moved and were compared.
         sums, counts = np.zeros((k + 1, centres.shape[1] + 1)), np.zeros(2, np.int64)
         kind = None
-        for batch in batches:
-            if len(batch) == 0:
-                continue
+        for batch in (batch.slice(at, SLICE) for batch in batches for at in range(0, len(batch), SLICE)):
             kind = batch.schema.field("id").type
             points = _matrix(batch.column("point"))
             if shifts is None:

@@ -56,8 +56,9 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """The vector scaled to length 1, in double precision; a zero vector stays zero."""
-    norm = F.sqrt(dot(vector, vector))
-    return F.transform(vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
+    # The norm is handed over as an array: inside the function it would be computed anew for every place.
+    norms = F.array_repeat(F.sqrt(dot(vector, vector)), F.size(vector))
+    return F.zip_with(vector, norms, lambda x, norm: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
 
 
 def mean_vectors(df: DataFrame, by: str, vector_col: str) -> DataFrame:

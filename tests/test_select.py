@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,22 @@ def test_pool_joins(spark):
 def test_least_confident_breaks_ties_by_id(spark):
     df = spark.createDataFrame([(3, 0.1), (1, 0.1), (2, 0.0), (4, 9.0)], "id long, confidence double")
     assert sorted(r.id for r in Q.least_confident(df, 2).collect()) == [1, 2]
+
+
+def test_unit_finds_the_length_of_a_vector_once(spark):
+    df = spark.range(3).select(F.array(F.col("id").cast("float"), F.lit(4.0)).alias("v"))
+    plan = df.select(Q.unit(F.col("v")))._jdf.queryExecution().analyzed().toString().split(" AS ")[0]
+    assert "aggregate(" in plan and "aggregate(" not in plan[plan.index("coalesce(") :]
+    odd = spark.sql("SELECT array(1D, NULL) AS v UNION ALL SELECT NULL UNION ALL SELECT array(CAST(3 AS DOUBLE), 4D)")
+    assert {str(r[0]) for r in odd.select(Q.unit(F.col("v"))).collect()} == {"[0.0, 0.0]", "None", "[0.6, 0.8]"}
+
+
+def test_kmeans_compares_a_slice_of_a_batch_at_a_time():
+    points = np.arange(6_000.0).reshape(3_000, 2)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3_000)), pa.array(points.tolist())], names=["id", "point"])
+    found = list(K._round(points[[10, 2_500]], None)([batch, batch.slice(0, 0)]))
+    rows, totals = pa.Table.from_batches(found[:-1]), found[-1].column("total").to_pylist()
+    assert max(len(part) for part in found) <= K.SLICE and rows.column("id").to_pylist() == list(range(3_000))
+    at = np.linalg.norm(points[:, None] - points[[10, 2_500]], axis=2).argmin(axis=1)
+    assert rows.column("cluster").to_pylist() == at.tolist()
+    assert totals == [[*points[at == c].sum(axis=0), (at == c).sum()] for c in (0, 1)] + [[3_000, 3_000]]
