@@ -123,3 +123,30 @@ def test_a_block_is_bounded_by_its_values(spark, monkeypatch):
     monkeypatch.setattr(svm, "NUMBERS_PER_BLOCK", 400)
     svm.fit_weights(frame(spark, x, y), tol=0.5)
     assert held and held[0] > 1
+
+
+def test_sums_that_go_to_the_driver(spark, monkeypatch):
+    """More than a block has room for: the same weights without a table per pass, also for terms that one row has."""
+    x, y = sample()
+    alone = np.zeros((len(x), 30))
+    alone[np.arange(30), np.arange(30)] = np.linspace(0.3, 2, 30)  # a row each
+    alone[np.arange(15), 29 - np.arange(15)] = 0.7  # two terms of one row, which others have too
+    x = np.hstack([x, alone])
+    rows = frame(spark, x, y)
+    one = {r.term: (r.weight, r.n) for r in svm.fit_weights(rows).collect()}
+    for name, value in (("NUMBERS_PER_BLOCK", 400), ("NUMBERS_PER_PART", 60), ("CHUNK", 16)):
+        monkeypatch.setattr(svm, name, value)
+    monkeypatch.setattr(svm.Spread, "_run", None)
+    many = svm.fit_weights(rows).collect()
+    assert len(many) == len(one) and {r.term: r.n for r in many} == {term: n for term, (_, n) in one.items()}
+    assert np.allclose([r.weight for r in many], [one[r.term][0] for r in many], atol=1e-8)
+
+
+def test_more_numbers_than_the_driver_holds(spark, monkeypatch):
+    x, y = sample()
+    passes = []
+    run = svm.Spread._run
+    monkeypatch.setattr(svm, "NUMBERS_PER_BLOCK", 400)
+    monkeypatch.setattr(svm, "HELD", 100)
+    monkeypatch.setattr(svm.Spread, "_run", lambda *a: passes.append(a[1]) or run(*a))
+    assert svm.fit_weights(frame(spark, x, y), tol=0.5).count() and passes
