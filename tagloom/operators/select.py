@@ -110,16 +110,42 @@ REFRESH = 0.9  # cells that may reach so much of the farthest distance are broug
 ROWS_PER_CELL = 4_096
 MOST_CELLS = 1_024
 _ROOM = 1e-6  # for rounding in what decides whether a cell is left alone
+_SLICE = 1_024  # rows and centres whose inner products are held at once
+_AHEAD = 256  # candidates brought up to date at once
+_PRODUCTS = 1e-11  # more than rounding in inner products can make up, as a share of squared lengths
 
 
 def _distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Distance of each row to the nearest centre; differences come first, so near copies keep their digits."""
     best = np.full(len(rows), np.inf)
-    for centre in centres:
-        np.minimum(best, ((rows - centre) ** 2).sum(axis=1), out=best)
+    for at in range(0, len(rows), _SLICE):
+        for first in range(0, len(centres), _SLICE):
+            part = slice(at, at + _SLICE)
+            best[part] = np.minimum(best[part], _squares(rows[part], centres[first : first + _SLICE]))
     return np.round(np.sqrt(best), 9)
 
 
+def _squares(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Least squared distance of each row. Inner products tell which centres may be the nearest; differences are taken for those."""
+    if len(rows) == 1 or len(centres) == 1:
+        gaps = ((rows - centres) ** 2).sum(axis=1)
+        return gaps if len(centres) == 1 else gaps.min(keepdims=True)
+    lengths, others = (rows**2).sum(axis=1), (centres**2).sum(axis=1)
+    about = rows @ (-2 * centres.T)
+    about += (1 - _PRODUCTS) * others
+    near = about.argmin(axis=1)
+    best = ((rows - centres[near]) ** 2).sum(axis=1)
+    # What rounding does not leave clearly farther is compared, and all of it where lengths overflow.
+    limit = about[np.arange(len(rows)), near] + 2 * _PRODUCTS * (lengths + others[near])
+    row, centre = np.nonzero(~(about > limit[:, None]))
+    more = centre != near[row]
+    row, centre = row[more], centre[more]
+    for at in range(0, len(row), _SLICE):
+        i, j = row[at : at + _SLICE], centre[at : at + _SLICE]
+        np.minimum.at(best, i, ((rows[i] - centres[j]) ** 2).sum(axis=1))
+    return best
+
+
 class _Cells:
     """The pool cut by pivots. Of a cell the driver knows the pivot, the radius, an upper bound of its rows' distances and how
     many picks they have been compared with; its rows lie in a folder of their own, in the version written last."""
@@ -250,12 +276,12 @@ def _coreset(pool, labelled, n, vector_col, id_col, normalize, candidates, block
 
     size = candidates or max(256, 2 * n)
     picked: list = []
-    chosen = np.zeros((0, pivots.shape[1]))
+    chosen = np.zeros((min(n, total), pivots.shape[1]))
     while len(picked) < min(n, total):
-        mask = held.pending(chosen)
+        mask = held.pending(chosen[: len(picked)])
         stale = used[mask[used].any(axis=1)]
         due = stale[held.top[stale] >= REFRESH * held.top[used].max()]
-        held.refresh(due, chosen, mask)
+        held.refresh(due, chosen[: len(picked)], mask)
         left = np.setdiff1d(stale, due)
         rest_top = held.top[left].max() if len(left) else -np.inf  # what no listed row may fall to
         fresh = np.setdiff1d(used, left)
@@ -281,19 +307,35 @@ def _coreset(pool, labelled, n, vector_col, id_col, normalize, candidates, block
         by_id = {i: at for at, i in enumerate(sorted(row[0] for row in listed))}
         id_rank = np.array([by_id[row[0]] for row in listed])
         bound, bound_rank = far[-1], id_rank[-1]
-        open_rows = np.ones(len(listed), dtype=bool)
-        while len(picked) < n and open_rows.any():
-            top = np.lexsort((id_rank, -far, ~open_rows))[0]
+        # Distances only shrink: the farthest row is brought up to date, against what was picked since, until it is on top as it is.
+        fresh_to = np.full(len(listed), len(picked))
+        while len(picked) < min(n, total):
+            top = _farthest(far, id_rank)
+            if far[top] < 0:
+                break  # all are picked
+            if fresh_to[top] < len(picked):
+                # Rows that are next and as old are brought up to date along with it.
+                ahead = np.argpartition(-far, _AHEAD)[:_AHEAD] if len(far) > _AHEAD else np.flatnonzero(far >= 0)
+                old = np.union1d(ahead[(fresh_to[ahead] == fresh_to[top]) & (far[ahead] >= 0)], [top])
+                since = chosen[fresh_to[top] : len(picked)]
+                far[old] = np.minimum(far[old], _distances(vectors[old], since))
+                fresh_to[old] = len(picked)
+                continue
             safe = whole or far[top] > bound or (far[top] == bound and id_rank[top] <= bound_rank)
             if not (safe and far[top] > rest_top):
                 break
+            chosen[len(picked)] = vectors[top]
             picked.append(listed[top][0])
-            chosen = np.vstack([chosen, vectors[top]])
-            open_rows[top] = False
-            far = np.minimum(far, _distances(vectors, vectors[top : top + 1]))
+            far[top] = -1.0
     return picked, held.compared
 
 
+def _farthest(far: np.ndarray, id_rank: np.ndarray) -> int:
+    """Place of the largest distance, of equals that with the smallest id."""
+    ties = np.flatnonzero(far == far.max())
+    return int(ties[id_rank[ties].argmin()])
+
+
 def _block(known: DataFrame, at: int, blocks: int) -> np.ndarray:
     """One of about equal parts of the labelled vectors."""
     rows = known.filter(F.pmod("_key", F.lit(blocks)) == at).select("_point").collect()

@@ -174,3 +174,26 @@ def test_kmeans_compares_a_slice_of_a_batch_at_a_time():
     at = np.linalg.norm(points[:, None] - points[[10, 2_500]], axis=2).argmin(axis=1)
     assert rows.column("cluster").to_pylist() == at.tolist()
     assert totals == [[*points[at == c].sum(axis=0), (at == c).sum()] for c in (0, 1)] + [[3_000, 3_000]]
+
+
+def test_candidates_are_compared_when_they_come_to_the_top(spark, monkeypatch):
+    """And not with every pick: that grew with picks times candidates."""
+    points = np.random.default_rng(5).normal(size=(1_500, 6))
+    points[700:720] = points[700]
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, embedding array<double>")
+    compared, plain = [], Q._distances
+    monkeypatch.setattr(Q, "_distances", lambda rows, centres: compared.append(len(rows) * len(centres)) or plain(rows, centres))
+    monkeypatch.setattr(Q, "_AHEAD", 16)
+    picks, _ = Q._coreset(df.filter("id > 0"), df.filter("id = 0"), 400, "embedding", "id", False, 1_000, 4_096, 1)
+    assert picks == greedy(points, [0], 400, False)
+    assert sum(compared) < 0.5 * 400 * 1_000
+
+
+def test_inner_products_leave_distances_as_they_are():
+    draw = np.random.default_rng(2)
+    rows = np.vstack([draw.normal(size=(1_100, 7)), 1e4 * draw.normal(size=(20, 7)), np.ones((30, 7))])
+    near = rows[::3] + 1e-8 * draw.normal(size=rows[::3].shape)
+    centres = np.vstack([near, rows[:9], np.ones((40, 7)), draw.normal(size=(900, 7))])
+    want = np.round(np.sqrt([((row - centres) ** 2).sum(axis=1).min() for row in rows]), 9)
+    assert (Q._distances(rows, centres) == want).all()
+    assert (Q._distances(rows[:1], centres) == want[:1]).all() and np.isinf(Q._distances(rows[:2], centres[:0])).all()
