@@ -32,6 +32,7 @@ BIAS = -1
 NUMBERS_PER_BLOCK = 1 << 23  # values in the vectors of a block: at 24 bytes each in a task, and twice that while they are read
 NUMBERS_PER_PART = 1 << 20  # values in the vectors of a block whose sums go to the driver
 HELD = 1 << 23  # numbers in a vector on the driver, which has eight of them: 64 MB each
+SHUFFLED = 1 << 29  # bytes of shuffle files that passes may leave behind
 CHUNK = 1 << 16  # numbers of a vector that are summed up in one go
 STEPS = [0.5**k for k in range(12)]
 WEIGHTS = "term int, weight double, n bigint"
@@ -331,6 +332,7 @@ class Sums:
         self.first = {b: shared + 1 + int(end) - n for (b, n), end in zip(self.rows.items(), ends)}
         self.terms = np.arange(shared + 1 + int(ends[-1]))
         self.slots = min(len(self.rows), self.sc.defaultParallelism)
+        self.shuffled = 0
         columns = ["block", "rows", *list(_KINDS)[:6]]
         self.parts = parts.select(columns).repartition(self.slots).rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -367,11 +369,19 @@ class Sums:
             got = dict(self.parts.mapPartitions(run).reduceByKey(np.add, self.slots).collect())  # one vector
         finally:
             held.destroy()
+            self._tidy(0 if kind == "line" else self.slots * 8 * (shared + 1))
         if kind == "line":
             return np.zeros(0), got[chunks], {}
         sums = np.concatenate([got[k] for k in range(chunks)] + [got[numbers[b]] for b in self.rows])
         return sums, got[chunks], {b: got[numbers[b] + 1] for b in self.rows} if kind == "slope" else {}
 
+    def _tidy(self, shuffled: int) -> None:
+        """Spark deletes shuffle files once the driver's garbage is collected; left alone that may be after hundreds of passes."""
+        self.shuffled += shuffled
+        if self.shuffled > SHUFFLED:
+            self.sc._jvm.System.gc()
+            self.shuffled = 0
+
     def slope(self, w) -> tuple[np.ndarray, float]:
         sums, losses, self.short = self._run("slope", w)
         return sums, float(losses[0])

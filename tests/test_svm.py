@@ -1,5 +1,7 @@
 """The squared-hinge SVM: its minimum, and the same weights from blocks that exchange sums."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -150,3 +152,13 @@ def test_more_numbers_than_the_driver_holds(spark, monkeypatch):
     monkeypatch.setattr(svm, "HELD", 100)
     monkeypatch.setattr(svm.Spread, "_run", lambda *a: passes.append(a[1]) or run(*a))
     assert svm.fit_weights(frame(spark, x, y), tol=0.5).count() and passes
+
+
+def test_passes_leave_few_shuffle_files():
+    calls = []
+    java = SimpleNamespace(System=SimpleNamespace(gc=lambda: calls.append(1)))
+    space = SimpleNamespace(shuffled=0, sc=SimpleNamespace(_jvm=java))
+    svm.Sums._tidy(space, svm.SHUFFLED)
+    assert not calls
+    svm.Sums._tidy(space, 1)
+    assert calls == [1] and space.shuffled == 0
